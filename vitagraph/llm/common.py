@@ -92,3 +92,55 @@ def arrow_map(
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
+
+
+def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal (numeric) keys, from sorted batches; a run may span batches."""
+    import numpy as np
+
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        columns = [table.column(k).to_numpy() for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        if last is not None and first != last:
+            yield pa.concat_tables(held)
+            held = []
+        last = tuple(c[-1] for c in columns)
+        cuts = np.flatnonzero(change).tolist()
+        at = 0
+        for cut in cuts:
+            yield pa.concat_tables([*held, table.slice(at, cut - at)])
+            held, at = [], cut
+        held.append(table.slice(at))
+    if held:
+        yield pa.concat_tables(held)
+
+
+class Forest:
+    """Union-find over 0 .. n-1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, a: int) -> int:
+        up = self.up
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        if a > b:
+            a, b = b, a
+        self.up[b] = a
+        return True

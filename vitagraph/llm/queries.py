@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_bands, curriculum_mix, piece_codec, secret_scan, url_rules
+from . import (
+    compression_bands,
+    cross_polytope,
+    curriculum_mix,
+    language_kernel,
+    license_scan,
+    piece_codec,
+    secret_scan,
+    toxicity_chain,
+    url_rules,
+)
 from .common import read
 
 
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.compression_bands(read(spark, sf_dir, "documents"))
 
@@ -64,6 +78,18 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op6_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_kernel.identify(read(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages"))
 
@@ -73,9 +99,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_chain": op1_toxicity_chain,
     "op2_compression_bands": op2_compression_bands,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_piece_codec": op4_piece_codec,
+    "op5_cross_polytope": op5_cross_polytope,
+    "op6_language_kernel": op6_language_kernel,
+    "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,
     "op10_secret_scan": op10_secret_scan,
 }
