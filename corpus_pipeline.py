@@ -1,8 +1,73 @@
-"""A training-data pipeline over ``documents``: five stages, each on all that its predecessor kept."""
+"""A training-data pipeline over ``documents``: five stages, each on all that its predecessor kept.
 
+1. quality rules: documents that fail the base rules or the compression bands go;
+2. n-gram Jaccard join: of each group of near copies the least document stays;
+3. secret scans: credentials that are no widely copied examples are masked in the text;
+4. mixing: sources are taken to their target weights, documents repeated as often as they
+   are taken, in the order of their training positions;
+5. encoding: token counts and digests of every document that training sees.
+
+All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vitagraph.llm import compression_bands, curriculum_mix, jaccard_pivots, piece_codec, secret_scan
+from vitagraph.llm.common import materialize, read
+
+#: SQL has no zstandard, so the rows of ``run`` are tested against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
+#: Near copies here: sets of five-word shingles that are at least this similar (per cent).
+SHINGLE_WORDS, SIMILAR = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return compression_bands.filter_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The keeper of each group; of rows that equal it in id and text, one."""
+    groups = jaccard_pivots.join(docs, SHINGLE_WORDS, SIMILAR)
+    keepers = groups.select("keeper.doc_id", "keeper.txt").distinct()
+    keepers = keepers.select(F.col("doc_id").alias("_kid"), F.coalesce("txt", F.lit(b"")).alias("_ktxt"))
+    names = docs.columns
+    row = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
+        F.col("doc_id").cast("long").alias("_id"),
+        F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("_txt"),
+    )
+    kept = row.join(keepers, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_txt") == F.col("_ktxt")), "left_semi")
+    return kept.dropDuplicates(["_id", "_txt"]).select("_row.*")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return curriculum_mix.mix(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_codec.digest_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", encoding),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs = materialize(docs, f"pipeline-{number + 1}")
+    return docs

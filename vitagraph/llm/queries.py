@@ -11,6 +11,7 @@ from . import (
     compression_bands,
     cross_polytope,
     curriculum_mix,
+    jaccard_pivots,
     language_kernel,
     license_scan,
     piece_codec,
@@ -86,6 +87,32 @@ def op6_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_kernel.identify(read(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_pivots.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE WHEN coalesce(len(ws), 0) = 0 THEN []
+      WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+      ELSE [array_to_string(ws[i : i + 3], ' ') FOR i IN range(1, len(ws) - 2)] END) AS sh
+  FROM w),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles, sh FROM g),
+e AS (SELECT doc_id, unnest(sh) AS s FROM n),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.x, p.y FROM p JOIN n a ON p.x = a.doc_id JOIN n b ON p.y = b.doc_id
+      WHERE 100 * p.c >= 85 * (a.n_shingles + b.n_shingles - p.c)),
+m AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, other) AS (SELECT x, y FROM m UNION SELECT r.doc_id, m.y FROM r JOIN m ON r.other = m.x)
+SELECT n.doc_id, n.n_shingles, least(n.doc_id, coalesce(min(r.other), n.doc_id)) AS component_id
+FROM n LEFT JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n.n_shingles
+"""
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -105,9 +132,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_codec": op4_piece_codec,
     "op5_cross_polytope": op5_cross_polytope,
     "op6_language_kernel": op6_language_kernel,
+    "op7_jaccard_pivots": op7_jaccard_pivots,
     "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op3_curriculum_mix": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_curriculum_mix": OP3_SQL, "op7_jaccard_pivots": OP7_SQL}
