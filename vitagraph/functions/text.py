@@ -80,16 +80,12 @@ def sparse_vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return counts.join(norms, keys).select(*keys, "bucket", (F.col("tf") / F.col("norm")).alias("weight"))
 
 
-def dense_vector(text: Column) -> Column:
-    """The same vector as an array of DIMENSION numbers, zero where there is no token."""
-    buckets = F.transform(tokens(text), lambda t: (ascii_hash(t) % DIMENSION).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMENSION - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
-    return l2_normalize(counts)
-
-
 def l2_normalize(vector: Column) -> Column:
+    """The vector scaled to length 1; a zero vector stays.  The norm is worked out once: it is the
+    single element that an outer transform hands to the inner one."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(vector, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    scaled = F.transform(F.array(norm), lambda n: F.transform(vector, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n)))
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -328,7 +324,8 @@ DESIGN_BY_TITLE = (
 def study_design(pubtypes: Column, title: Column, kind: Column) -> Column:
     """Design by publication types, else by the title, else by the record's type."""
     types = F.transform(F.coalesce(pubtypes, F.array().cast("array<string>")), F.lower)
-    rules = [(F.exists(types, lambda p, w=w: p.contains(w)), d) for w, d in DESIGN_BY_PUBTYPE]
+    holds = lambda w: F.exists(types, lambda p: p.contains(w))
+    rules = [(holds(w), d) for w, d in DESIGN_BY_PUBTYPE]
     rules += [(F.coalesce(F.lower(title).rlike(w), F.lit(False)), d) for w, d in DESIGN_BY_TITLE]
     rules += [(F.coalesce(kind.isin("standard", "guideline"), F.lit(False)), "guideline")]
     out = F.lit(None).cast("string")

@@ -61,10 +61,15 @@ def search(g: Graph, q: str, k: int = 5, owner: str | None = None, index: DataFr
 
 
 def embeddings(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """Dense vectors in the layout of the embedding table."""
-    return rows.select(
+    """Dense vectors in the layout of the embedding table; all zero for a text without tokens."""
+    sparse = vectors(rows).groupBy(F.col("owner_type").alias("_t"), F.col("owner_id").alias("_i")).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m")  # at most 256 entries
+    )
+    out = rows.join(sparse, (F.col("owner_type") == F.col("_t")) & (F.col("owner_id") == F.col("_i")), "left")
+    weight = lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0))
+    return out.select(
         F.concat(F.lit("emb-"), "owner_type", F.lit("-"), "owner_id").alias("id"), "owner_type", "owner_id",
-        F.lit(model).alias("model"), text.l2_normalize(text.dense_vector(F.col("text"))).alias("vector"),
+        F.lit(model).alias("model"), F.transform(F.sequence(F.lit(0), F.lit(text.DIMENSION - 1)), weight).alias("vector"),
     )
 
 
