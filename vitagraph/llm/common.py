@@ -94,8 +94,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
 
 
-def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal (numeric) keys, from sorted batches; a run may span batches."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups from batches sorted by numeric keys, with the place where each group starts.
+
+    A group is held until its last row has come, however many batches it spans.
+    """
     import numpy as np
 
     held: list[pa.Table] = []
@@ -106,21 +109,27 @@ def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         table = pa.Table.from_batches([batch])
         columns = [table.column(k).to_numpy() for k in keys]
         change = np.zeros(batch.num_rows, bool)
+        change[0] = last is not None and last != tuple(c[0] for c in columns)
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in columns)
-        if last is not None and first != last:
-            yield pa.concat_tables(held)
-            held = []
         last = tuple(c[-1] for c in columns)
-        cuts = np.flatnonzero(change).tolist()
-        at = 0
-        for cut in cuts:
-            yield pa.concat_tables([*held, table.slice(at, cut - at)])
-            held, at = [], cut
-        held.append(table.slice(at))
+        cuts = np.flatnonzero(change)
+        if not len(cuts):
+            held.append(table)
+            continue
+        # all up to the last change is complete
+        end, before = int(cuts[-1]), sum(t.num_rows for t in held)
+        yield pa.concat_tables([*held, table.slice(0, end)]), [0] * bool(before or cuts[0]) + [before + int(c) for c in cuts[:-1]]
+        held = [table.slice(end)]
     if held:
-        yield pa.concat_tables(held)
+        yield pa.concat_tables(held), [0]
+
+
+def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Each group of batches sorted by numeric keys."""
+    for table, starts in whole_groups(batches, keys):
+        for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+            yield table.slice(a, b - a)
 
 
 class Forest:

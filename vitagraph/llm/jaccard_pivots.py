@@ -9,12 +9,12 @@ first of them is the Voronoi region of x.  The triangle inequality bounds how ma
 nearest pivots x may lose on the way to a linked y: |x| - ceil(0.85 |x|).  Replicated into
 the regions of one pivot more than that, x meets every y it may link with.
 
-Within a region two more pivots' distances prune: the empty set (sizes) and ``CLASSES``
-fixed parts of the universe, whose overlaps with x and y differ by no more than |x - y| in
-all.  What remains is compared exactly, on the whole shingle sets of both texts.
+Within a region the distances to further pivots prune: the empty set (sizes) and fixed
+parts of the universe, whose overlaps with x and y differ by no more than the symmetric
+difference in all, and in parity no more often.  What remains is compared exactly, on the whole shingle sets of both texts.
 
-Regions are joined in rounds.  First, each document meets only a leader in each of its
-nearest shared regions; links found there are closed transitively.  Last, all regions that
+Regions are joined in rounds.  First, a forest of likely links is verified in the nearest
+shared regions of each document; what links there is closed transitively.  Last, all regions that
 still hold more than one component are joined fully, but only across components: what is
 connected already needs no further comparison.  So large groups of near copies cost a
 comparison or so for each member, and no link between components is lost.  Regions of more
@@ -41,18 +41,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, materialize, segments, ship
+from .common import Forest, arrow_map, materialize, segments, ship, whole_groups
 from .components import components
 from .shingles import WordHashes, shingle_set
 
 CLASSES = 64
+#: Parts of the universe, for each shingle of a set, whose parities are kept (a power of two is taken).
+PARITIES = 4
 HOT = 64
 MAX_HOT = 100_000
 #: Shingles kept beyond the window, from which those that replace frequent ones are taken.
 SLACK = 16
 BLOCK = 4096
-#: Nearest shared regions in which a document meets a leader.
+#: Texts that are compared together.
+VERIFY = 1024
+#: Nearest shared regions in which a document is connected first, and rounds of this.
 NEAREST = 3
+ROUNDS = 1
 #: Text keys up to this number are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_KEYS = 400_000
 
@@ -78,25 +83,39 @@ class Limit:
         return (100 + self.percent) * (a + b - distance) >= 2 * self.percent * (a + b)
 
 
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parities by fewer parts: residues of the hashes, so halves fold onto each other."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Least symmetric difference of two sets: each element of it flips one parity."""
+    k = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, k) ^ _folded(y, k)).sum())
+
+
 def _sketch(docs: DataFrame, words: int, limit: Limit) -> DataFrame:
-    """doc_id, txt (digest of the text), n, key (digest of the set), parts, low (its least hashes)."""
+    """doc_id, txt (digest of the text), n, key (digest of the set), parts (its overlaps with coarse parts of
+    the universe), bits (parities of its overlaps with fine ones), low (its least hashes)."""
 
     def make():
         known = WordHashes()
 
         def step(columns: list[list]) -> list[list]:
-            out: list[list] = [columns[0], columns[1], [], [], [], []]
+            out: list[list] = [columns[0], columns[1], [], [], [], [], []]
             for text in columns[2]:
                 s = shingle_set(text, words, known)
                 n = len(s)
                 out[2].append(n)
                 if n:
                     out[3].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    parts = np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-                    out[4].append(np.minimum(parts, 255).astype(np.uint8).tobytes())
-                    out[5].append(s[: limit.window(n) + SLACK].tobytes())
+                    count = lambda k: np.bincount((s & np.uint64(k - 1)).astype(np.int64), minlength=k)  # noqa: B023, E731
+                    out[4].append(np.minimum(count(CLASSES), 255).astype(np.uint8).tobytes())
+                    k = CLASSES << max(0, (PARITIES * n - 1) // CLASSES).bit_length()
+                    out[5].append(np.packbits((count(k) & 1).astype(bool), bitorder="little").tobytes())
+                    out[6].append(s[: limit.window(n) + SLACK].tobytes())
                 else:
-                    for k in (3, 4, 5):
+                    for k in (3, 4, 5, 6):
                         out[k].append(None)
             return out
 
@@ -106,7 +125,7 @@ def _sketch(docs: DataFrame, words: int, limit: Limit) -> DataFrame:
     return arrow_map(
         docs,
         [F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("txt"), text.alias("text")],
-        "doc_id bigint, txt binary, n bigint, key binary, parts binary, low binary",
+        "doc_id bigint, txt binary, n bigint, key binary, parts binary, bits binary, low binary",
         make,
     )
 
@@ -171,30 +190,44 @@ def _frequent(classes: DataFrame, limit: Limit) -> np.ndarray:
     return hot
 
 
-def _leaders(rows: DataFrame, limit: Limit) -> DataFrame:
-    """Pairs (a, b) of each row with the leader of its sizes in the region: rows hold s, sub, cid, spot, comp."""
+def _forests(rows: DataFrame, limit: Limit) -> DataFrame:
+    """Pairs (a, b) that would connect the rows of a region: rows hold s, sub, cid, spot, comp, bits.
+
+    Each row proposes the nearest member, by parities, of each component before it that it may
+    link with.  The bound is close, so nearly all of these links hold, and a row of pairs for
+    each member is enough to find nearly all connections of a region.
+    """
 
     def step(batches):
-        for part in segments(batches, ["s", "sub"]):
-            if part.num_rows < 2:
-                continue
-            cid, spot, comp = (part.column(k).to_numpy() for k in ("cid", "spot", "comp"))
+        for table, starts in whole_groups(batches, ["s", "sub"]):
+            cid, spot, comp = (table.column(k).to_numpy() for k in ("cid", "spot", "comp"))
             size = spot >> 32
+            raw = table.column("bits").to_pylist()
             a, b = [], []
-            lead = 0
-            for k in range(1, len(cid)):  # by size
-                if comp[k] == comp[lead]:
+            for start, end in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                if end - start < 2 or (comp[start:end] == comp[start]).all():
                     continue
-                if 100 * size[lead] < limit.percent * size[k]:
-                    lead = k
-                else:
-                    a.append(cid[lead])
-                    b.append(cid[k])
+                # by size, so widths of the parities ascend; all are folded to the least
+                width = len(raw[start])
+                bits = np.stack([_folded(np.frombuffer(raw[k], np.uint8), width) for k in range(start, end)])
+                n, c = size[start:end], comp[start:end]
+                names, local = np.unique(c, return_inverse=True)
+                forest = Forest(len(names))
+                for k in range(1, end - start):
+                    since = int(np.searchsorted(100 * n[:k], limit.percent * n[k]))
+                    far = np.bitwise_count(bits[since:k] ^ bits[k]).sum(axis=1)
+                    near = np.flatnonzero(limit.apart(far, n[since:k], n[k]))
+                    for o in near[np.argsort(far[near], kind="stable")].tolist():
+                        if forest.join(int(local[since + o]), int(local[k])):
+                            x, y = int(cid[start + since + o]), int(cid[start + k])
+                            a.append(min(x, y))
+                            b.append(max(x, y))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b)], names=["a", "b"])
 
     keys = ["s", "sub"]
-    dealt = rows.select("s", "sub", "cid", "spot", "comp").repartition(*keys).sortWithinPartitions(*keys, "spot", "cid")
+    columns = [*keys, "cid", "spot", "comp", "bits"]
+    dealt = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "spot", "cid")
     return dealt.mapInArrow(step, "a bigint, b bigint")
 
 
@@ -202,33 +235,33 @@ def _across(rows: DataFrame, limit: Limit) -> DataFrame:
     """All pairs (a, b) of different components in a region that no pivot's distance rules out."""
 
     def step(batches):
-        for part in segments(batches, ["s", "i", "j"]):
-            if part.num_rows < 2:
-                continue
-            cid, spot, comp, home = (part.column(k).to_numpy() for k in ("cid", "spot", "comp", "home"))
+        for table, starts in whole_groups(batches, ["s", "i", "j"]):
+            n = table.num_rows
+            cid, spot, comp, home, i, j = (table.column(k).to_numpy() for k in ("cid", "spot", "comp", "home", "i", "j"))
             size, place = spot >> 32, spot & 0xFFFFFFFF
-            parts = np.stack([np.frombuffer(p, np.uint8) for p in part.column("parts").to_pylist()]).astype(np.int16)
-            cut = part.column("i")[0].as_py() != part.column("j")[0].as_py()
-            made_a, made_b, held = [], [], 0
-            for k in range(len(cid) - 1):
-                o = slice(k + 1, None)
-                fit = (comp[o] != comp[k]) & limit.sizes(size[o], size[k])
+            parts = np.frombuffer(b"".join(table.column("parts").to_pylist()), np.uint8).reshape(n, CLASSES)
+            group = np.zeros(n, np.int64)
+            group[starts[1:]] = 1
+            group = np.cumsum(group)
+            cut = i != j
+            # rows k and k + d of one region, for all regions at once
+            for d in range(1, n):
+                k = np.flatnonzero(group[d:] == group[:-d])
+                if not len(k):
+                    break
+                o = k + d
+                fit = (comp[o] != comp[k]) & limit.sizes(size[o], size[k]) & ~(cut[k] & (home[o] == home[k]))
                 # s is the first shingle in common, so what comes before it is not
                 fit &= limit.common(np.minimum(size[o] - place[o], size[k] - place[k]), size[o], size[k])
-                if cut:
-                    fit &= home[o] != home[k]
-                some = np.flatnonzero(fit) + k + 1
-                if len(some):
-                    far = np.abs(parts[some] - parts[k]).sum(axis=1)
-                    some = some[limit.apart(far, size[some], size[k])]
-                    made_a.append(np.minimum(cid[some], cid[k]))
-                    made_b.append(np.maximum(cid[some], cid[k]))
-                    held += len(some)
-                if held >= 50_000 or (held and k == len(cid) - 2):
+                k, o = k[fit], o[fit]
+                if len(k):
+                    far = np.abs(parts[o].astype(np.int16) - parts[k]).sum(axis=1)
+                    fit = limit.apart(far, size[o], size[k])
+                    k, o = k[fit], o[fit]
+                if len(k):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(v)) for v in (made_a, made_b)], names=["a", "b"]
+                        [pa.array(np.minimum(cid[k], cid[o])), pa.array(np.maximum(cid[k], cid[o]))], names=["a", "b"]
                     )
-                    made_a, made_b, held = [], [], 0
 
     keys = ["s", "i", "j"]
     columns = [*keys, "cid", "spot", "comp", "home", "parts"]
@@ -237,60 +270,76 @@ def _across(rows: DataFrame, limit: Limit) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, limit: Limit) -> DataFrame:
-    """The pairs that link, by the whole shingle sets of both texts."""
+    """The pairs that link, by the whole shingle sets of both texts.
+
+    Each text travels once, to the group of all pairs that it is connected with; groups of
+    more than ``VERIFY`` texts are cut into blocks that meet pairwise.
+    """
 
     def near(batches):
         for batch in batches:
-            na, nb = (batch.column(k).to_numpy() for k in ("na", "nb"))
-            pa_, pb = (
-                np.stack([np.frombuffer(p, np.uint8) for p in batch.column(k).to_pylist()] or [np.empty(0, np.uint8)]).astype(np.int16)
-                for k in ("pa", "pb")
-            )
-            if not batch.num_rows:
-                continue
-            keep = limit.sizes(na, nb) & limit.apart(np.abs(pa_ - pb).sum(axis=1), na, nb)
-            yield batch.select(["a", "b", "ta", "tb"]).filter(pa.array(keep))
-
-    side = lambda x: classes.select(
-        F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"), F.col("txt").alias(f"t{x}")
-    )
+            n = batch.num_rows
+            if n:
+                na, nb = (batch.column(k).to_numpy() for k in ("na", "nb"))
+                x, y = (
+                    np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, CLASSES).astype(np.int16)
+                    for k in ("pa", "pb")
+                )
+                keep = limit.sizes(na, nb) & limit.apart(np.abs(x - y).sum(axis=1), na, nb)
+                ba, bb = batch.column("ba"), batch.column("bb")
+                for k in np.flatnonzero(keep).tolist():
+                    far = _distance(np.frombuffer(ba[k].as_py(), np.uint8), np.frombuffer(bb[k].as_py(), np.uint8))
+                    keep[k] = limit.apart(far, na[k], nb[k])
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"), F.col("bits").alias(f"b{x}"))
     met = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    met = met.select("a", "b", "ta", "tb", "na", "nb", "pa", "pb").mapInArrow(near, "a bigint, b bigint, ta binary, tb binary")
+    met = met.select("a", "b", "na", "nb", "pa", "pb", "ba", "bb").mapInArrow(near, "a bigint, b bigint")
     met = materialize(met, "jaccard-pairs")
-    keys = met.select(F.col("ta").alias("k")).union(met.select(F.col("tb").alias("k"))).distinct()
-    keys = materialize(keys, "jaccard-keys")
-    if keys.count() <= BROADCAST_KEYS:
+    groups = components(met)
+    sizes = groups.groupBy(F.col("component").alias("_c")).agg(F.ceil(F.count("*") / VERIFY).alias("blocks"))
+    groups = groups.join(sizes, F.col("component") == F.col("_c")).drop("_c")
+    groups = groups.withColumn("home", F.pmod(F.xxhash64("id"), "blocks"))
+    members = materialize(groups.join(classes.select("cid", "txt"), F.col("id") == F.col("cid")).drop("cid"), "jaccard-members")
+    keys = members.select(F.col("txt").alias("k")).distinct()
+    if members.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     text = F.col("text").cast("string")
     texts = docs.select(F.unhex(F.md5(text)).alias("t"), text.alias("body")).join(keys, F.col("t") == F.col("k"), "left_semi")
-    texts = materialize(texts.groupBy("t").agg(F.first("body").alias("body")), "jaccard-texts")
-    both = met.join(texts.withColumnRenamed("body", "xa"), F.col("ta") == F.col("t")).drop("t")
-    both = both.join(texts.withColumnRenamed("body", "xb"), F.col("tb") == F.col("t")).drop("t")
+    texts = texts.groupBy("t").agg(F.first("body").alias("body"))
+    spots = ["component", "i", "j"]
+    whole = members.join(texts, F.col("txt") == F.col("t"))
+    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    whole = whole.select(
+        "component", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), F.col("id").alias("a"), F.lit(-1).cast("long").alias("b"), "body"
+    )
+    ends = [members.select(F.col("id").alias(x), "component", F.col("home").alias(f"h{x}")) for x in ("a", "b")]
+    asked = met.join(ends[0], "a").join(ends[1].drop("component"), "b")
+    asked = asked.select("component", F.least("ha", "hb").alias("i"), F.greatest("ha", "hb").alias("j"), "a", "b", F.lit(None).cast("string").alias("body"))
 
-    def make():
+    def compare(batches):
         known = WordHashes()
-        sets: dict[int, np.ndarray] = {}
-
-        def of(cid, body):
-            if cid not in sets:
-                if len(sets) >= 256:
-                    sets.clear()
-                sets[cid] = shingle_set(body, words, known)
-            return sets[cid]
-
-        def step(columns: list[list]) -> list[list]:
-            out: list[list] = [[], []]
-            for a, b, xa, xb in zip(*columns, strict=True):
-                x, y = of(a, xa), of(b, xb)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                if limit.common(shared, len(x), len(y)):
-                    out[0].append(a)
-                    out[1].append(b)
-            return out
-
-        return step
-
-    return arrow_map(both, [F.col(k) for k in ("a", "b", "xa", "xb")], "a bigint, b bigint", make)
+        for part in segments(batches, spots):
+            a, b = (part.column(k).to_numpy() for k in ("a", "b"))
+            owners = int((b < 0).sum())  # texts come first
+            if owners == len(a):
+                continue
+            sets = {
+                int(a[k]): shingle_set(body, words, known) for k, body in enumerate(t.as_py() for t in part.column("body").slice(0, owners))
+            }
+            found = []
+            for x, y in zip(a[owners:].tolist(), b[owners:].tolist(), strict=True):
+                p, q = sets[x], sets[y]
+                both = np.concatenate([p, q])
+                both.sort(kind="stable")  # two sorted runs: a merge
+                shared = int((both[1:] == both[:-1]).sum())
+                if limit.common(shared, len(p), len(q)):
+                    found.append((x, y))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["a", "b"])
+
+    dealt = whole.unionByName(asked).repartition(*spots).sortWithinPartitions(*spots, "b")
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -307,7 +356,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         .groupBy("key")
         .agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "txt")).alias("least"),
-            *[F.first(c).alias(c) for c in ("n", "parts", "low", "txt")],
+            *[F.first(c).alias(c) for c in ("n", "parts", "bits", "low", "txt")],
         )
         .withColumn("cid", F.monotonically_increasing_id())
     )
@@ -317,17 +366,15 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     placed = placed.withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1")
     placed = materialize(placed.withColumn("blocks", F.ceil(F.col("df") / BLOCK)).drop("df"), "jaccard-places")
 
-    # rounds of leaders: in the nearest shared regions of each document
+    # rounds of forests: in the nearest shared regions of each document
     nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.col("spot").bitwiseAND(0xFFFFFFFF)))
-    nearest = materialize(
-        placed.withColumn("nth", nth).where(F.col("nth") <= NEAREST).withColumn("sub", F.pmod(F.xxhash64("cid"), "blocks")),
-        "jaccard-nearest",
-    )
+    nearest = placed.withColumn("nth", nth).where(F.col("nth") <= NEAREST).withColumn("sub", F.pmod(F.xxhash64("cid"), "blocks"))
+    nearest = materialize(nearest.join(classes.select("cid", "bits"), "cid"), "jaccard-nearest")
     links = None
     comp = classes.select(F.col("cid").alias("id"), F.col("cid").alias("component")).limit(0)
-    for _ in range(2):
+    for _ in range(ROUNDS):
         known = nearest.join(comp, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "cid"))
-        found = materialize(_verify(_leaders(known, limit), classes, docs, words, limit), "jaccard-links")
+        found = materialize(_verify(_forests(known, limit), classes, docs, words, limit), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         comp = components(links)
 

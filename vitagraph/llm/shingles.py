@@ -7,7 +7,7 @@ import xxhash
 
 #: Odd constants that spread a product over all bits; any fixed odd numbers serve.
 MIX = tuple(np.uint64(2 * (0x9E3779B97F4A7C15 * (i + 1) % 2**63) + 1) for i in range(2))
-CACHE = 400_000
+CACHE = 150_000
 
 
 class WordHashes(dict):
