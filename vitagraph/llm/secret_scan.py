@@ -56,8 +56,11 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    for k, (_, pattern) in enumerate(FURTHER, BASE):
-        out += [(m.start(), k, m.end(), m[0]) for m in pattern.finditer(text)]
+    for k, (kind, pattern) in enumerate(FURTHER, BASE):
+        new = [(m.start(), k, m.end(), m[0]) for m in pattern.finditer(text)]
+        if kind == "random" and out:  # what another kind explains is not reported again
+            new = [x for x in new if not any(x[0] < b and a < x[2] for a, _, b, _ in out)]
+        out += new
     out.sort()
     return out
 
