@@ -186,7 +186,7 @@ def q_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_queue(spark: SparkSession, d: str) -> DataFrame:
-    rows = review.review_queue(M.graph(spark, d), M.agent_runs(spark, d), "unverified", 40, 20, "a_t")
+    rows = review.review_queue(M.graph(spark, d), M.agent_runs(spark, d), "unverified", 40, 20, "r_a")
     return rows.select("id", "subj", "obj", "pop", "type", "score", F.size(F.coalesce("evidence_rows", F.array().cast(rows.schema["evidence_rows"].dataType))).cast("long").alias("n_evidence"))
 
 
@@ -260,7 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resolve_codes": q_codes,
     "match_nodes": q_match_nodes,
     "review_queue": q_queue,
-    "queue_count": _on(lambda g: review.queue_count(g, "unverified", "a_t")),
+    "queue_count": _on(lambda g: review.queue_count(g, "unverified", "r_a")),
     "claims_by_status": _on(review.claims_by_status),
     "reviewable": _on(lambda g: review.reviewable(g).select("id")),
     "recent_activity": q_activity,
@@ -371,8 +371,8 @@ ORACLES: dict[str, str] = {
     "resolve_codes": PRELUDE + """, t AS (SELECT p_name, 'MESH:D' || min(p_partkey) AS curie FROM part GROUP BY p_name)
       SELECT id, CASE WHEN code <> '' THEN code ELSE curie END AS codes FROM node JOIN t ON node.name = t.p_name WHERE type = 'outcome'""",
     "review_queue": PRELUDE + """ SELECT a.id, a_subject AS subj, a_object AS obj, a_population AS pop, a.type, score::INT AS score, (SELECT count(*) FROM evidence e WHERE e.claim = a.id) AS n_evidence
-      FROM answer a WHERE status = 'unverified' AND (a_subject ILIKE '%a_t%' OR a_object ILIKE '%a_t%' OR type ILIKE '%a_t%') ORDER BY updated_at DESC, id LIMIT 40 OFFSET 20""",
-    "queue_count": PRELUDE + " SELECT count(*) AS n FROM answer WHERE status = 'unverified' AND (a_subject ILIKE '%a_t%' OR a_object ILIKE '%a_t%' OR type ILIKE '%a_t%')",
+      FROM answer a WHERE status = 'unverified' AND (a_subject ILIKE '%r_a%' OR a_object ILIKE '%r_a%' OR type ILIKE '%r_a%') ORDER BY updated_at DESC, id LIMIT 40 OFFSET 20""",
+    "queue_count": PRELUDE + " SELECT count(*) AS n FROM answer WHERE status = 'unverified' AND (a_subject ILIKE '%r_a%' OR a_object ILIKE '%r_a%' OR type ILIKE '%r_a%')",
     "claims_by_status": PRELUDE + " SELECT status, count(*) AS n FROM claim GROUP BY status",
     "reviewable": PRELUDE + " SELECT id FROM claim WHERE status = 'unverified' AND id IN (SELECT claim FROM evidence)",
     "recent_activity": f""" SELECT agent, coalesce(outcome, '?') AS outcome, n FROM (SELECT event_type AS agent, CASE WHEN value >= 5 THEN event_type END AS outcome, count(*) AS n
@@ -389,6 +389,13 @@ ORACLES: dict[str, str] = {
     "nearest": """ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
       s AS (SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(v.v, q.v), 6) AS cos FROM v JOIN v q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
       SELECT q_id, vec_id, cos, rk::INT AS rk FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, vec_id) AS rk FROM s) WHERE rk <= 5""",
+    "page_text": r""" WITH a AS (SELECT page_id, regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gis') AS h FROM pages),
+      b AS (SELECT page_id, regexp_replace(regexp_replace(h, '<style\b[^>]*>.*?</style\s*>', ' ', 'gis'), '<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'gis') AS h FROM a),
+      c AS (SELECT page_id, regexp_replace(h, '<head\b[^>]*>.*?</head\s*>', ' ', 'gis') AS h FROM b),
+      d AS (SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM c)
+      SELECT page_id, length(body) AS n, md5(body) AS body_md5 FROM d""",
+    "match_nodes": """ SELECT 'pt:' || a.p_partkey AS cand_id, 'pt:' || min(b.p_partkey) AS node_id, 1.0::DOUBLE AS score, true AS exact
+      FROM part a JOIN part b ON a.p_name = b.p_name AND b.p_partkey < 200 GROUP BY a.p_partkey""",
     "cited_ids": """ SELECT conv_id, turn, CASE WHEN conv_id = turn THEN 'PMID:' || conv_id || ';pmid:' || turn ELSE 'PMID:' || conv_id || ';pmid:' || turn END AS cited FROM conversations""",
     "claim_ids": PRELUDE + """, k AS (SELECT id, subject || '|' || type || '|' || object || '|' || coalesce(population, '') AS key FROM claim),
       h AS (SELECT id, """ + FNV.format("key") + """ AS h FROM k)
