@@ -96,6 +96,7 @@ class PieceEncoder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.asked: dict[int, bool] = {}
+        self.decimal = list(map(str, range(size)))
         letters = "".join(re.escape(p) for p in self.text if len(p) == 1)
         self.unknown = re.compile(f"([^{letters}]+)").split
 
@@ -266,7 +267,7 @@ def digest_documents(docs: DataFrame, model_file: str | None = None) -> DataFram
             for text in columns[1]:
                 ids = own.encode(text or "")
                 out[1].append(len(ids))
-                out[2].append(sha(" ".join(map(str, ids)).encode()).hexdigest())
+                out[2].append(sha(" ".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
                 out[3].append(sha(own.decode(ids).encode()).hexdigest())
             return out
 
