@@ -50,8 +50,9 @@ class Mining:
     min_support: float = 0.01
     min_confidence: float = 0.8
     max_tokens: int = 3
-    #: Rules up to this number are broadcast; more are joined by shuffle.
+    #: Rules, and verdicts on distinct token sets, up to these numbers are broadcast; more are joined by shuffle.
     broadcast_rules: int = 5_000
+    broadcast_sets: int = 50_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -169,7 +170,11 @@ def judge(pages: DataFrame, rules=RULES, how: Mining = Mining()) -> DataFrame:
                 F.struct("confidence", "support", F.col("verdict") == "block", F.concat_ws(" ", "antecedent")),
             ).alias("best")
         )
-        open_rows = open_rows.join(best.withColumnRenamed("toks", "set"), F.col("toks") == F.col("set"), "left")
+        # written first, so that a set which very many URLs share can be split in the join
+        best = materialize(best.withColumnRenamed("toks", "set"), "url-verdicts")
+        if best.count() <= how.broadcast_sets:
+            best = F.broadcast(best)
+        open_rows = open_rows.join(best, F.col("toks") == F.col("set"), "left")
     else:
         open_rows = open_rows.withColumn("best", F.lit(None).cast("struct<verdict:string,mined:string>"))
     rest = open_rows.select(
