@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -39,7 +41,54 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    for scope in _scopes[-1:]:
+        scope.append(out)
+    return out
+
+
+#: Written tables of the scopes that are open, innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of past jobs.
+
+    Spark drops these once the JVM's garbage collector has seen that no plan refers to them.
+    """
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for scope in _scopes:
+            scope[:] = [t for t in scope if t is not table]
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def scoped(label: str) -> Callable:
+    """For a function that returns a table: its result is written, and all that it wrote before is deleted."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(f)
+        def run(*args, **kwargs) -> DataFrame:
+            _scopes.append([])
+            try:
+                made = f(*args, **kwargs)
+                inner = _scopes.pop()
+            except BaseException:
+                discard(*_scopes.pop())
+                raise
+            out = materialize(made, label)
+            del made
+            discard(*inner)
+            return out
+
+        return run
+
+    return wrap
 
 
 _shipped: set[str] = set()

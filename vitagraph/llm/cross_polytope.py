@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_map, materialize, segments, ship
+from .common import Forest, arrow_map, materialize, scoped, segments, ship
 from .components import components
 
 THRESHOLD = 0.93
@@ -169,6 +169,7 @@ def _meetings(part: pa.Table, tables: int, probes: int) -> tuple[np.ndarray, lis
     return counts, edges, cid
 
 
+@scoped("vec-groups")
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each vector."""
     spark = vectors.sparkSession

@@ -86,7 +86,8 @@ def position(demand: Column, target: Column, tilt: Column) -> Column:
 
 
 def plan(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, taken, passes, positions.
+    """One row for each document: doc_id, source, content (hash of the text), size, source_size, target,
+    taken, passes, positions.
 
     ``positions`` holds the training position of each pass that is taken.
     """
@@ -94,6 +95,7 @@ def plan(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("src"),
         n_words(F.col("text")).alias("size"),
+        F.xxhash64("text").alias("content"),
     ).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = materialize(rows, "mix-sizes")
     n_buckets = max(1, -(-rows.count() // BUCKET_ROWS))
@@ -155,6 +157,7 @@ def plan(docs: DataFrame) -> DataFrame:
     return placed.select(
         "doc_id",
         F.col("src").alias("source"),
+        "content",
         "size",
         "source_size",
         "target",
@@ -167,31 +170,24 @@ def plan(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The documents in training order: each row as often as it is taken, range-sorted by position.
 
-    Rows are told apart by (doc_id, source, size) and, where several share all three, by their
-    number among these: the plan holds as many rows with these values, whose passes go to them in turn.
+    Rows that share doc_id, source, size and content are copies of each other: the plan's positions
+    of all of them go to one, and the others give none.  Copies are rare, so only rows that have
+    some are counted off; all texts travel to the plan once, and to their places once.
     """
     names = docs.columns
+    key = ("doc_id", "source", "size", "content")
     left = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
-        F.col("doc_id").cast("long").alias("_k"),
-        F.col("source").cast("string").alias("_o"),
-        n_words(F.col("text")).alias("_s"),
-        F.xxhash64("text").alias("_x"),
+        F.col("doc_id").cast("long").alias("_doc_id"),
+        F.col("source").cast("string").alias("_source"),
+        n_words(F.col("text")).alias("_size"),
+        F.xxhash64("text").alias("_content"),
     )
-    left = left.withColumn("_t", F.row_number().over(Window.partitionBy("_k", "_o", "_s").orderBy("_x")))
-    twin = Window.partitionBy("doc_id", "source", "size").orderBy("passes", F.array_min("positions"))
-    right = (
-        plan(docs)
-        .withColumn("_t", F.row_number().over(twin))
-        .where("passes > 0")
-        .select(*[F.col(c).alias(f"_p{c}") for c in ("doc_id", "source", "size", "_t")], "positions")
-    )
-    hit = left.join(
-        right,
-        F.col("_k").eqNullSafe(F.col("_pdoc_id"))
-        & F.col("_o").eqNullSafe(F.col("_psource"))
-        & (F.col("_s") == F.col("_psize"))
-        & (F.col("_t") == F.col("_p_t")),
-    )
-    out = hit.select("_row", F.explode("positions").alias("_at"))
+    right = plan(docs).groupBy(*key).agg(F.flatten(F.collect_list("positions")).alias("positions"), F.count("*").alias("copies"))
+    right = materialize(right.where(F.size("positions") > 0), "mix-plan")
+    hit = left.join(right, [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in key])
+    one = hit.where("copies = 1").select("_row", F.explode("positions").alias("_at"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("_content"))
+    many = hit.where("copies > 1").withColumn("_nth", nth).where("_nth = 1").select("_row", F.explode("positions").alias("_at"))
+    out = one.unionByName(many) if right.where("copies > 1").limit(1).count() else one
     return out.repartitionByRange("_at").sortWithinPartitions("_at").select("_row.*")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Forest, arrow_map, materialize, segments, ship, whole_groups
+from .common import Forest, arrow_map, discard, materialize, scoped, segments, ship, whole_groups
 from .components import components
 from .shingles import WordHashes, shingle_set
 
@@ -342,6 +342,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, l
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
+@scoped("jaccard-groups")
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, txt, n_shingles, component_id, keeper: one row for each document.
 
@@ -361,10 +362,14 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = materialize(classes, "jaccard-classes")
+    whole, rows = rows, materialize(rows.select("doc_id", "txt", "n", "key"), "jaccard-rows")
+    discard(whole)
     hot = _frequent(classes, limit)
     placed = _explode(classes, limit, hot, None, "place")
     placed = placed.withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1")
     placed = materialize(placed.withColumn("blocks", F.ceil(F.col("df") / BLOCK)).drop("df"), "jaccard-places")
+    whole, classes = classes, materialize(classes.drop("low"), "jaccard-classes")
+    discard(whole)
 
     # rounds of forests: in the nearest shared regions of each document
     nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.col("spot").bitwiseAND(0xFFFFFFFF)))
