@@ -31,7 +31,7 @@ from .common import arrow_map
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8, 9)
-MAX_TRAIN = 10_000
+MAX_TRAIN = 8_000
 FOLDS = 3
 STEPS = 60
 L1 = 2e-3
@@ -77,11 +77,14 @@ def fit_linear(sets: list[np.ndarray], dense: np.ndarray, y: np.ndarray) -> Line
         rate = (y.sum() + 0.5) / (len(y) + 1)
         return Linear(w, v, float(np.log(rate / (1 - rate))))
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     often = np.bincount(flat, minlength=size) >= MIN_DOCS
     keep = often[flat]
-    bins_used, flat = np.unique(flat[keep], return_inverse=True)
     owner = owner[keep]
+    bins_used = np.flatnonzero(often)
+    place = np.zeros(size, np.int32)
+    place[bins_used] = np.arange(len(bins_used))
+    flat = place[flat[keep]]
     u = np.zeros(len(bins_used))
     share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     seen_u, seen_v, seen_b = np.full(len(u), 1e-12), np.full(len(v), 1e-12), 1e-12
@@ -155,8 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) ->
     if not got:
         return None
     first = {r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], bytes(r["bins"])))}  # a doc_id counts once
+    del got
     rows_ = [first[k] for k in sorted(first)]
-    sets = [np.frombuffer(bytes(r["bins"]), np.int32) for r in rows_]
+    sets = [np.frombuffer(r["bins"], np.int32) for r in rows_]  # no copy: the rows stay
     y = np.array([[r[n] for n in names] for r in rows_], float)
     folds = np.array([zlib.crc32(str(r["doc_id"]).encode()) % FOLDS for r in rows_])
     return fit_chain(sets, y, folds)
