@@ -1,6 +1,7 @@
 """Queries on a small graph with known answers."""
 
 import random
+from pathlib import Path
 
 import pytest
 
@@ -213,6 +214,24 @@ def test_linkage(spark, g):
     assert [(c["want_id"], c["source_id"], c["via"]) for c in cites] == [(1, "DOI:10.1/b", "crossref")]
 
 
+def test_match_nodes_sees_every_part(spark, tmp_path):
+    """A name that first occurs beyond the 200th part is matched, to its first part."""
+    from pyspark.sql import functions as F
+
+    from vitagraph.plans.contract import QUERIES
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").withColumn("p_name", F.lit("plain thing"))
+    key = part.schema["p_partkey"].dataType
+    late = part.where("p_partkey in (1, 2)").withColumn("p_partkey", (F.col("p_partkey") + 300).cast(key)).withColumn("p_name", F.lit("rare gadget"))
+    part.unionByName(late).write.parquet(str(tmp_path / "part.parquet"))
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        if p.stem != "part":
+            (tmp_path / p.name).symlink_to(p)
+    got = {r["cand_id"]: (r["node_id"], r["score"], r["exact"]) for r in QUERIES["match_nodes"](spark, str(tmp_path)).collect()}
+    assert got["pt:301"] == got["pt:302"] == ("pt:301", 1.0, True)
+    assert got["pt:7"] == ("pt:0", 1.0, True) and len(got) == 202
+
+
 def test_dedup(spark, g):
     from vitagraph import schema
     from vitagraph.graph import conform, listed_from

@@ -17,12 +17,11 @@ NODE_THRESHOLD = 0.82
 TITLE_THRESHOLD = 0.6
 
 
-def _forms(df: DataFrame, id_column: str) -> DataFrame:
-    """id, type, form, canon, toks for the name and each alias; empty ones are dropped."""
+def _forms(df: DataFrame, *ids: Column) -> DataFrame:
+    """ids, type, canon for the name and each alias; empty ones are dropped."""
     all_ = F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda f: F.coalesce(f, F.lit("")) != "")
-    rows = df.select(F.col(id_column).alias("_id"), "type", F.explode(all_).alias("form"))
-    rows = rows.withColumn("canon", text.canonical(F.col("form")))
-    return rows.withColumn("toks", text.token_set(F.col("canon")))
+    rows = df.select(*ids, "type", F.explode(all_).alias("form"))
+    return rows.withColumn("canon", text.canonical(F.col("form"))).drop("form")
 
 
 def best_match(candidates: DataFrame, nodes: DataFrame, threshold: float = NODE_THRESHOLD) -> DataFrame:
@@ -31,11 +30,17 @@ def best_match(candidates: DataFrame, nodes: DataFrame, threshold: float = NODE_
     ``candidates`` has cand_id, name, type, aliases; ``nodes`` has ord, id, name, type, aliases.
     Equal canonical names score 1; two names that both come out empty are equal too.  Else the
     score is the greatest Jaccard of token sets over all pairs of forms.  Ties: the first node.
+
+    Each distinct canonical name is compared once, however many candidates or nodes bear it: it
+    stands for the first node that bears it, which wins all ties among them.
     """
-    c, n = _forms(candidates, "cand_id"), _forms(nodes, "id")
-    ct, nt = (x.select(F.col("_id").alias(f"{k}_id"), F.col("type").alias(f"{k}_type"), F.col("canon").alias(f"{k}_canon"), F.col("toks").alias(f"{k}_toks")) for k, x in (("c", c), ("n", n)))
+    c, n = _forms(candidates, F.col("cand_id")), _forms(nodes, F.col("ord"), F.col("id"))
+    ct = c.select(F.col("type").alias("c_type"), F.col("canon").alias("c_canon")).distinct()
+    ct = ct.withColumn("c_toks", text.token_set(F.col("c_canon")))
+    nt = n.groupBy(F.col("type").alias("n_type"), F.col("canon").alias("n_canon")).agg(F.min(F.struct("ord", "id")).alias("n"))
+    nt = nt.withColumn("n_toks", text.token_set(F.col("n_canon")))
     exact = ct.join(nt, (F.col("c_type") == F.col("n_type")) & (F.col("c_canon") == F.col("n_canon")))
-    exact = exact.select("c_id", "n_id", F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
+    exact = exact.select("c_type", "c_canon", "n", F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
     # a pair at the threshold t shares a token among the first size - ceil(t * size) + 1 of each, in
     # one fixed order; so only these few tokens are matched, and sizes must be in proportion
     window = lambda toks: F.slice(F.array_sort(toks), 1, (F.size(toks) - F.ceil(F.size(toks) * threshold) + 1).cast("int"))
@@ -43,12 +48,13 @@ def best_match(candidates: DataFrame, nodes: DataFrame, threshold: float = NODE_
     ne = nt.where(F.size("n_toks") > 0).withColumn("n_tok", F.explode(window(F.col("n_toks"))))
     size = (F.least(F.size("c_toks"), F.size("n_toks")) / F.greatest(F.size("c_toks"), F.size("n_toks"))) >= threshold
     near = ce.join(ne, (F.col("tok") == F.col("n_tok")) & (F.col("c_type") == F.col("n_type"))).where(size)
-    near = near.select("c_id", "n_id", text.jaccard(F.col("c_toks"), F.col("n_toks")).alias("score"), F.lit(False).alias("exact"))
-    best = exact.unionByName(near.where(F.col("score") >= threshold)).groupBy("c_id", "n_id").agg(F.max("score").alias("score"), F.max("exact").alias("exact"))
-    order = nodes.select(F.col("id").alias("_n"), F.col("ord").alias("n_ord"))
-    w = Window.partitionBy("c_id").orderBy(F.desc("score"), "n_ord")
-    ranked = best.join(order, F.col("n_id") == F.col("_n")).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return ranked.select(F.col("c_id").alias("cand_id"), F.col("n_id").alias("node_id"), F.round("score", 4).alias("score"), "exact")
+    near = near.select("c_type", "c_canon", "n", text.jaccard(F.col("c_toks"), F.col("n_toks")).alias("score"), F.lit(False).alias("exact"))
+    # the least is the best: by score, then the first node, then exact before not
+    rank = F.struct((-F.col("score")).alias("minus"), F.col("n.ord"), F.col("n.id"), (~F.col("exact")).alias("inexact"))
+    best = exact.unionByName(near.where(F.col("score") >= threshold)).groupBy("c_type", "c_canon").agg(F.min(rank).alias("best"))
+    each = c.join(best, (F.col("type") == F.col("c_type")) & (F.col("canon") == F.col("c_canon")))
+    top = each.groupBy("cand_id").agg(F.min("best").alias("best"))
+    return top.select("cand_id", F.col("best.id").alias("node_id"), F.round(-F.col("best.minus"), 4).alias("score"), (~F.col("best.inexact")).alias("exact"))
 
 
 def resolve_or_create(candidates: DataFrame, g: Graph, threshold: float = NODE_THRESHOLD) -> DataFrame:

@@ -158,10 +158,10 @@ def q_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_match_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Parts resolved against suppliers and parts of the graph by name, same type only."""
+    """Parts resolved against all nodes of the graph by name, same type only."""
     g = M.graph(spark, d)
     cand = g.node.where("type = 'outcome'").select(F.col("id").alias("cand_id"), F.concat(F.lit("The "), "name", F.lit(" (trial)")).alias("name"), "type", "aliases")
-    return link.best_match(cand, g.node.where("ord < 3000000200"))
+    return link.best_match(cand, g.node)
 
 
 def q_codes(spark: SparkSession, d: str) -> DataFrame:
