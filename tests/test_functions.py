@@ -151,3 +151,17 @@ def test_stream(spark, tmp_path):
     got = []
     keep_current(tail(spark, str(tmp_path / "log"), schema.ASK_LOG), lambda df: got.extend(df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert [r["question"] for r in got] == ["q"]
+
+
+def test_canonical_names_read_whole_texts(spark, tmp_path):
+    from vitagraph.plans.contract import QUERIES
+
+    texts = ["The first line\nand a second (dropped)\n\nThird, too", "(an opening\nparenthesis) kept", "\nstarts empty", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["canon"], r["topic_id"]) for r in QUERIES["canonical_names"](spark, str(tmp_path)).collect()}
+    assert got == {
+        0: ("first line second third too", "t:the-first-line-and-a-second-dropped-third-too"),
+        1: ("kept", "t:an-opening-parenthesis-kept"),
+        2: ("starts empty", "t:starts-empty"),
+        3: ("", "t:x"),
+    }

@@ -205,8 +205,9 @@ def q_claim_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_canonical(spark: SparkSession, d: str) -> DataFrame:
-    rows = M.read(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("t"))
-    return rows.select("doc_id", text.canonical(F.col("t")).alias("canon"), text.topic_id(F.col("t")).alias("topic_id"))
+    """Canonical form and topic id of every document's whole text."""
+    rows = M.read(spark, d, "documents")
+    return rows.select("doc_id", text.canonical(F.col("text")).alias("canon"), text.topic_id(F.col("text")).alias("topic_id"))
 
 
 def q_context(g) -> DataFrame:
