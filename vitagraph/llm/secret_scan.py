@@ -9,6 +9,11 @@ Three base kinds (assign, access, hex) are reported wherever they occur.  The fu
 kinds (provider tokens, private keys, passwords in URLs, mixed-case random identifiers)
 are reported only where the value looks live: shown by at most ``MAX_OWNERS`` owners.
 
+A private key's span is its whole block, from BEGIN to END, and its value is the body's
+key characters, so that re-wrapped, quoted or escaped copies count as one value.  A block
+that is cut off before its END goes as far as its key characters do; a header without any
+has only itself as its value.
+
 Owners are the ``source`` of a document and repositories its ``doc_id``; a null one counts
 as one further owner or repository.  Other columns may be named.
 
@@ -37,12 +42,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones are drop
 #: Further kinds, in the order in which they are listed after the base ones.
 FURTHER = (
     ("provider", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{12,}|[sr]k[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
-    ("key", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
+    ("key", re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:((?:[^-]|-(?!----))*+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|((?:(?:[\s>|*#\"'+,]|\\[nrt])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nrt])++[A-Za-z0-9+/]{1,15}+(?:={1,2}+|\Z))?))")),
     ("url", re.compile(r"(?<=://)[^\s/:@]{1,64}:[^\s/:@]{4,128}(?=@[A-Za-z0-9])")),
-    ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,128}(?![A-Za-z0-9+/_=-])")),
+    ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/_=-])")),
 )
 KINDS = ("assign", "access", "hex", *(k for k, _ in FURTHER))
 BASE = 3
+#: What is no part of a private key's body: escaped line ends, and characters out of its alphabet.
+NO_KEY = re.compile(r"\\[nrt]|[^A-Za-z0-9+/=]")
 #: A value of more owners than this is a widely copied example.
 MAX_OWNERS = 2
 
@@ -57,7 +64,10 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
         out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     for k, (kind, pattern) in enumerate(FURTHER, BASE):
-        new = [(m.start(), k, m.end(), m[0]) for m in pattern.finditer(text)]
+        if kind == "key":
+            new = [(m.start(), k, m.end(), NO_KEY.sub("", m[1] or m[2] or "") or m[0]) for m in pattern.finditer(text)] if "PRIVATE KEY" in text else []
+        else:
+            new = [(m.start(), k, m.end(), m[0]) for m in pattern.finditer(text)]
         if kind == "random" and out:  # what another kind explains is not reported again
             new = [x for x in new if not any(x[0] < b and a < x[2] for a, _, b, _ in out)]
         out += new
