@@ -66,6 +66,36 @@ def test_bands_keep_prose_and_reject_extremes(spark):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(k for k, v in kept.items() if v)
 
 
+def test_chunks_reach_short_documents_and_tails(spark):
+    import base64
+
+    from vitagraph.llm.compression_bands import compression_bands, filter_documents
+
+    rng = random.Random(12)
+    noise = lambda n: " ".join(base64.b64encode(rng.randbytes(60)).decode() for _ in range(n // 81 + 1))[:n]
+    signs = lambda n: "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+    mixed = [prose(rng, 900)[:4096] + " " + noise(3900), prose(rng, 120)[:500] + " " + noise(450), noise(450) + " " + prose(rng, 120)[:500]]
+    tail = [prose(rng, 2000)[:8191] + " " + signs(8100)]
+    fine = [prose(rng, n) for n in (100, 150, 300, 500, 900, 1300, 1500, 1600, 2300)]
+    df = docs(spark, mixed + tail + fine)
+    got = {r["doc_id"]: r for r in compression_bands(df).collect()}
+    for i, share in ((0, 0.4), (1, 0.4), (2, 0.4), (3, 0.45)):
+        assert not got[i]["base_failed"] and got[i]["reason"] == "chunks" and got[i]["bad_chunks"] > share
+    assert all(got[i]["kept"] and got[i]["bad_chunks"] == 0 for i in range(4, 13))
+    assert sorted(r["doc_id"] for r in filter_documents(df).collect()) == list(range(4, 13))
+
+
+def test_every_byte_is_in_a_chunk():
+    import zstandard
+
+    from vitagraph.llm.compression_bands import ratios
+
+    press = zstandard.ZstdCompressor(level=3).compress
+    rng = random.Random(13)
+    for n in (512, 513, 767, 2047, 2048, 8191, 8192, 12287, 12288, 20000):
+        assert sum(x[1] for x in ratios(prose(rng, n)[:n].encode(), press)[1]) == n
+
+
 # --- encoding ------------------------------------------------------------------
 
 

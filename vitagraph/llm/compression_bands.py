@@ -2,8 +2,11 @@
 
 zstandard shrinks prose by a factor that depends on its length and little else.  Text
 that shrinks far more repeats itself; text that hardly shrinks is noise (hex dumps,
-random identifiers).  Each document is measured as a whole, and long ones also in fixed
-chunks, so that a repetitive or random stretch shows even where the whole looks normal.
+random identifiers).  Each document is measured as a whole and in fixed chunks, so that a
+repetitive or random stretch shows even where the whole looks normal.  Shorter documents
+have smaller chunks with a band of their own; what is left after the full chunks is
+measured by a last chunk that ends where the text ends, so every byte is in one.  A text
+below two of the smallest chunks is one chunk itself: its whole is the only measure.
 
 Edge cases: a null text has no words and fails the base rules; so does an empty one.
 Repeated rows are judged alike, each on its own.  Only ``doc_id`` and ``text`` are read,
@@ -29,10 +32,13 @@ DOCUMENT_BANDS = (
     (4096, 1.30, 4.4),
     (16384, 1.30, 5.5),
 )
-CHUNK_BYTES = 4096
-#: Least and greatest ratio of a full chunk.
-CHUNK_BAND = (1.25, 4.4)
-#: A document goes if more than this share of its full chunks lies outside the band.
+#: (UTF-8 bytes of a document from, bytes of a chunk, least and greatest ratio of a chunk).
+CHUNKS = (
+    (512, 256, 1.10, 3.4),
+    (2048, 1024, 1.35, 3.8),
+    (8192, 4096, 1.25, 4.4),
+)
+#: A document goes if more than this share of its bytes lies in chunks outside the band.
 BAD_CHUNKS = 0.34
 LEVEL = 3
 
@@ -90,19 +96,24 @@ def band_of(n_bytes: int) -> tuple[float, float]:
     return low, high
 
 
-def ratios(data: bytes, compress) -> tuple[float, list[float]]:
-    """Ratio of the whole, and of each full chunk if there are at least two."""
-    whole = len(data) / len(compress(data)) if data else 0.0
-    ends = range(CHUNK_BYTES, len(data) + 1, CHUNK_BYTES)
-    chunks = [CHUNK_BYTES / len(compress(data[e - CHUNK_BYTES : e])) for e in ends] if len(ends) > 1 else []
+def ratios(data: bytes, compress) -> tuple[float, list[tuple[float, int, bool]]]:
+    """Ratio of the whole; and of each chunk its ratio, the bytes that no chunk before holds, and if it is in the band."""
+    n = len(data)
+    whole = n / len(compress(data)) if data else 0.0
+    size, low, high = next(((c, a, b) for start, c, a, b in reversed(CHUNKS) if n >= start), (0, 0.0, 0.0))
+    chunks = []
+    for at in range(0, n, size) if size else ():
+        end = min(at + size, n)
+        r = size / len(compress(data[end - size : end]))
+        chunks.append((r, end - at, low <= r <= high))
     return whole, chunks
 
 
 def verdict(data: bytes, compress) -> tuple[float, float, str]:
-    """Ratio of the whole, share of chunks outside the band, and the reason to reject or ''."""
+    """Ratio of the whole, share of bytes in chunks outside the band, and the reason to reject or ''."""
     whole, chunks = ratios(data, compress)
     low, high = band_of(len(data))
-    bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks) / len(chunks) if chunks else 0.0
+    bad = sum(n for _, n, fine in chunks if not fine) / len(data) if chunks else 0.0
     if whole > high:
         return whole, bad, "repetitive"
     if data and whole < low:
