@@ -235,6 +235,27 @@ def test_licenses(spark):
     assert L.scan(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_whole_texts_and_parts_of_licenses(spark, tmp_path):
+    from vitagraph.llm import license_scan as L
+    from vitagraph.llm.queries import QUERIES
+
+    mit, bsd = L.TEMPLATES["MIT text"], L.TEMPLATES["BSD-3-Clause text"]
+    end = mit[mit.index("THE SOFTWARE IS") :]
+    clauses = bsd[bsd.index("Neither the name") : bsd.index("THIS SOFTWARE IS")]
+    texts = [f"x {mit} y", f"x y {end} bye", f"so {clauses}, they said", " ".join(mit.split()[:30]), "nothing at all", *AWKWARD]
+    nullified(docs(spark, texts)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["license"]): r for r in QUERIES["op8_license_scan"](spark, str(tmp_path)).collect()}
+    m = got[0, "MIT text"]
+    assert m["complete"] and m["coverage"] == 1.0 and (m["start"], m["end"]) == (2, len(texts[0]) - 2)
+    m = got[1, "MIT text"]
+    assert not m["complete"] and m["n_words"] == len(end.split()) and texts[1][m["start"] : m["end"]] == end
+    m = got[2, "BSD-3-Clause text"]
+    assert not m["complete"] and m["n_words"] == len(clauses.split()) and m["coverage"] == m["n_words"] / len(bsd.split())
+    m = got[3, "MIT"]
+    assert not m["complete"] and m["n_words"] == 30 and texts[3][m["start"] : m["end"]] == texts[3]
+    assert {i for i, _ in got} == {0, 1, 2, 3}
+
+
 def test_alignment_against_full_table():
     import numpy as np
 

@@ -7,8 +7,15 @@ The kept runs form an inverted index (hash to template and place), which is boun
 templates and sent along with the code.  All runs of every text are looked up in it; each
 hit proposes a template and a diagonal (place in the text minus place in the template).
 Hits on nearby diagonals are merged, and the words around them are aligned with the
-template in a band of ``BAND`` words to either side.  A match is reported when the aligned
-equal words cover at least ``MIN_COVERAGE`` of the template.
+template in a band of ``BAND`` words to either side.  A match is complete when the aligned
+equal words cover at least ``MIN_COVERAGE`` of the template.  Where the whole template does
+not match so well, the passages that do are matches too, partial ones: neighbouring hits (at
+most ``GAP`` words apart) are aligned by themselves, and a passage counts from
+``K + WINDOW - 1`` equal words, which winnowing is sure to find.  Coverage is always of the
+whole template.
+
+Short licences stand here as their opening and as their whole text ("... text"); Apache-2.0,
+GPL-3.0, MPL-2.0 and the CC ones only as the notices that they ask files to bear.
 
 Words are lower-cased (A-Z) and stripped of punctuation at both ends, so wrapped and
 re-punctuated copies align.  Spans are in code points of the original text.
@@ -34,9 +41,40 @@ K = 3
 WINDOW = 3
 BAND = 6
 MIN_COVERAGE = 0.8
+GAP = 16
 STRIP = b".,;:!?\"'()[]{}<>*#/-_&%$|"
 
-#: Short notices and opening passages of well-known licences.
+_AS_IS = ' THE SOFTWARE IS PROVIDED "AS IS"'
+_BSD_2 = (
+    " Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+    " following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list"
+    " of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright"
+    " notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided"
+    " with the distribution."
+)
+_BSD_3 = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+    " products derived from this software without specific prior written permission."
+)
+_BSD_END = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,'
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+    " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
+    " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE"
+    " OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_LIABLE = (
+    " WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,"
+    " FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"
+)
+_DEALINGS = (
+    " BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING"
+    " FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
+#: Notices, opening passages and short whole texts of well-known licences.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and"
     ' associated documentation files (the "Software"), to deal in the Software without restriction, including'
@@ -60,6 +98,34 @@ TEMPLATES = {
     "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+TEMPLATES |= {
+    "MIT text": TEMPLATES["MIT"] + ": The above copyright notice and this permission notice shall be included in all copies or"
+    " substantial portions of the Software." + _AS_IS + "," + _LIABLE + " AUTHORS OR COPYRIGHT HOLDERS" + _DEALINGS,
+    "BSD-2-Clause text": _BSD_2 + _BSD_END,
+    "BSD-3-Clause text": _BSD_2 + _BSD_3 + _BSD_END,
+    "ISC text": TEMPLATES["ISC"] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS'
+    " SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR"
+    " ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR"
+    " PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH"
+    " THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Unlicense text": TEMPLATES["Unlicense"] + " Anyone is free to copy, modify, publish, use, compile, sell, or distribute this"
+    " software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any"
+    " means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all"
+    " copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large"
+    " and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in"
+    " perpetuity of all present and future rights to this software under copyright law." + _AS_IS + "," + _LIABLE + " AUTHORS"
+    + _DEALINGS + " For more information, please refer to <https://unlicense.org>",
+    "Apache-2.0 full notice": TEMPLATES["Apache-2.0"] + " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law"
+    ' or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR'
+    " CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and"
+    " limitations under the License.",
+    "GPL-3.0 full notice": TEMPLATES["GPL-3.0"] + " This program is distributed in the hope that it will be useful, but WITHOUT ANY"
+    " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General"
+    " Public License for more details. You should have received a copy of the GNU General Public License along with this"
+    " program. If not, see <https://www.gnu.org/licenses/>.",
+    "MPL-2.0 full notice": TEMPLATES["MPL-2.0"] + " If a copy of the MPL was not distributed with this file, You can obtain one at"
+    " https://mozilla.org/MPL/2.0/.",
+}
 
 
 def normal(word: bytes) -> bytes:
@@ -112,7 +178,26 @@ class Index:
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.keys >> np.uint64(48)).astype(int)] = True
 
-    def matches(self, text: str | None) -> list[tuple[str, int, int, float, int]]:
+    def passages(self, seq: np.ndarray, template: np.ndarray, seeds: list[tuple[int, int]]):
+        """(equal words, first and last text place) of each run of neighbouring hits (template place, shift)."""
+        at = 0
+        while at < len(seeds):
+            end, far = at + 1, {seeds[at][1]}
+            while end < len(seeds) and seeds[end][0] - seeds[end - 1][0] <= GAP:
+                far.add(seeds[end][1])
+                end += 1
+            (low, first), (high, last) = seeds[at], seeds[end - 1]
+            high += K
+            while low > 0 and 0 < low + first <= len(seq) and template[low - 1] == seq[low + first - 1]:
+                low -= 1
+            while high < len(template) and high + last < len(seq) and template[high] == seq[high + last]:
+                high += 1
+            n, a, b = align(seq, template[low:high], (min(far) + max(far)) // 2 + low)
+            if n >= K + WINDOW - 1:
+                yield n, a, b
+            at = end
+
+    def matches(self, text: str | None, partial: bool = False) -> list[tuple[str, int, int, float, int]]:
         """(template, start, end, coverage, equal words) of a text, by start."""
         if not text:
             return []
@@ -121,25 +206,30 @@ class Index:
         near = np.flatnonzero(self.sieve[(hashes >> np.uint64(48)).astype(np.int64)])
         if not len(near):
             return []
-        proposed: dict[int, set[int]] = {}
+        proposed: dict[int, dict[int, list[int]]] = {}
         left = np.searchsorted(self.keys, hashes[near], "left")
         right = np.searchsorted(self.keys, hashes[near], "right")
         for at, a, b in zip(near.tolist(), left.tolist(), right.tolist(), strict=True):
             for t, p in self.where[a:b]:
-                proposed.setdefault(t, set()).add(at - p)
+                proposed.setdefault(t, {}).setdefault(at - p, []).append(p)
         if not proposed:
             return []
         found = []
         for t, shifts in proposed.items():
             template = self.seqs[t]
-            last = None
+            groups: list[list[int]] = []
             for shift in sorted(shifts):
-                if last is not None and shift - last <= BAND // 2:
-                    continue  # the band of the diagonal before covers this one
-                last = shift
-                n, a, b = align(seq, template, shift)
+                if groups and shift - groups[-1][0] <= BAND // 2:
+                    groups[-1].append(shift)  # the band of the diagonal before covers this one
+                else:
+                    groups.append([shift])
+            for group in groups:
+                n, a, b = align(seq, template, group[0])
                 if n >= MIN_COVERAGE * len(template):
                     found.append((-n / len(template), a, b, n, t))
+                elif partial:
+                    seeds = sorted((p, shift) for shift in group for p in shifts[shift])
+                    found += [(-n / len(template), a, b, n, t) for n, a, b in self.passages(seq, template, seeds)]
         if not found:
             return []
         spans = [m.span() for m in re.finditer(WORD, text)]
@@ -152,21 +242,21 @@ class Index:
         return sorted(out, key=lambda m: (m[1], m[2], m[0]))
 
 
-SCHEMA = "doc_id bigint, license string, start int, end int, coverage double, n_words int"
+SCHEMA = "doc_id bigint, license string, start int, end int, coverage double, n_words int, complete boolean"
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """A row for each match; no shuffle."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, partial: bool = False) -> DataFrame:
+    """A row for each match, partial ones only if asked for; no shuffle."""
     chosen = TEMPLATES if templates is None else templates
 
     def make():
         index = Index(chosen)
 
         def step(columns: list[list]) -> list[list]:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for doc_id, text in zip(*columns, strict=True):
-                for row in index.matches(text):
-                    for column, value in zip(out, (doc_id, *row), strict=True):
+                for row in index.matches(text, partial):
+                    for column, value in zip(out, (doc_id, *row, row[3] >= MIN_COVERAGE), strict=True):
                         column.append(value)
             return out
 
