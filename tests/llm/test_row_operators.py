@@ -187,6 +187,19 @@ def test_ownership_separates_examples_from_secrets(spark):
     assert S.redact(df).columns == df.columns and S.redact(df.limit(0)).count() == 0
 
 
+def test_one_owner_can_copy_an_example_widely(spark):
+    from vitagraph.llm import secret_scan as S
+
+    copied, own = "ghp_" + "a1B2" * 9, "ghp_" + "Z9y8" * 9
+    texts = [f"use {copied} password = abcdef123" for _ in range(S.MAX_REPOS + 1)] + [f"mine {own}"] * S.MAX_REPOS
+    df = docs(spark, texts, sources=["hot"] * len(texts))
+    got = {r["doc_id"]: r for r in S.digest(df).collect()}
+    red = {r["doc_id"]: r["text"] for r in S.redact(df).collect()}
+    for i in range(S.MAX_REPOS + 1):
+        assert "provider" not in got[i]["spans"] and (got[i]["n_live"], got[i]["n_copied"]) == (0, 1) and red[i] == texts[i]
+    assert all(got[i]["n_live"] == 1 and red[i] == "mine [SECRET]" for i in range(S.MAX_REPOS + 1, len(texts)))
+
+
 def test_private_keys_are_whole_blocks(spark):
     """Many owners show private keys, each another one; one key is an example that is wrapped anew each time."""
     from vitagraph.llm import secret_scan as S

@@ -7,7 +7,8 @@ distinct repositories, and the verdict on a value goes back to each place where
 
 Three base kinds (assign, access, hex) are reported wherever they occur.  The further
 kinds (provider tokens, private keys, passwords in URLs, mixed-case random identifiers)
-are reported only where the value looks live: shown by at most ``MAX_OWNERS`` owners.
+are reported only where the value looks live: shown by at most ``MAX_OWNERS`` owners and
+at most ``MAX_REPOS`` repositories, as one owner may hold a large part of the corpus.
 
 A private key's span is its whole block, from BEGIN to END, and its value is the body's
 key characters, so that re-wrapped, quoted or escaped copies count as one value.  A block
@@ -52,6 +53,9 @@ BASE = 3
 NO_KEY = re.compile(r"\\[nrt]|[^A-Za-z0-9+/=]")
 #: A value of more owners than this is a widely copied example.
 MAX_OWNERS = 2
+#: So is one of more repositories than this, whoever owns them: a secret may stand in many files of
+#: its owner, but seldom in so many.
+MAX_REPOS = 50
 
 
 def find(text: str) -> list[tuple[int, int, int, str]]:
@@ -128,6 +132,10 @@ def ownership(cands: DataFrame) -> DataFrame:
     return owners.join(repos, "value")
 
 
+def _live(owners: Column, repos: Column) -> Column:
+    return (owners <= MAX_OWNERS) & (repos <= MAX_REPOS)
+
+
 def _span(s: Column) -> Column:
     return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"])
 
@@ -139,7 +147,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFr
     # spans depend on the text alone: verdicts are worked out once for each distinct text
     texts = cands.where(F.size("found") > 0).groupBy("txt").agg(F.first("found").alias("found"))
     each = texts.select("txt", F.explode("found").alias("f")).select("txt", "f.*")
-    judged = each.join(ownership(cands), "value").where((F.col("kind") < BASE) | (F.col("owners") <= MAX_OWNERS))
+    judged = each.join(ownership(cands), "value").where((F.col("kind") < BASE) | _live(F.col("owners"), F.col("repos")))
     spans = judged.groupBy("txt").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repos"))).alias("all")
     )
@@ -152,7 +160,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFr
 
 def digest(docs: DataFrame) -> DataFrame:
     """The result columns: counts, digest of base spans, all spans, and how many look live or copied."""
-    live = lambda s: s["owners"] <= MAX_OWNERS
+    live = lambda s: _live(s["owners"], s["repos"])
     return scan(docs).select(
         "doc_id",
         "n_assign",
@@ -172,7 +180,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     names = docs.columns
     found = scan(docs)
-    live = F.filter("all", lambda s: s["owners"] <= MAX_OWNERS)
+    live = F.filter("all", lambda s: _live(s["owners"], s["repos"]))
     marks = found.select("txt", F.transform(live, lambda s: F.struct(s["start"], s["end"])).alias("cut"))
     marks = marks.where(F.size("cut") > 0).groupBy("txt").agg(F.first("cut").alias("cut"))
     # [start, end) in order; a span that begins within the text already cut only extends the cut
