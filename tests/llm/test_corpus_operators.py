@@ -227,7 +227,7 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, small):
     from vitagraph.llm import jaccard_pivots as J
 
     if small:  # frequent shingles, short spares, blocks everywhere
-        for name, value in (("HOT", 4), ("SLACK", 2), ("BLOCK", 5), ("VERIFY", 4), ("BROADCAST_KEYS", 1)):
+        for name, value in (("HOT", 4), ("SLACK", 2), ("BLOCK", 5), ("PIVOTS", 3), ("VERIFY", 4), ("BROADCAST_KEYS", 1), ("BROADCAST_REGIONS", 1)):
             monkeypatch.setattr(J, name, value)
     texts = corpus(random.Random(6))
     df = docs(spark, texts)
@@ -244,6 +244,42 @@ def test_jaccard_edges(spark):
     assert J.join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [60, 85])
+def test_cells_lose_no_pair(percent):
+    """Every pair within reach meets in exactly one leaf, whatever the pivots cut."""
+    from vitagraph.llm import jaccard_pivots as J
+
+    rng, limit = np.random.default_rng(11), J.Limit(percent)
+    heads = rng.integers(0, 2, (20, 256)).astype(bool)
+    rows = np.concatenate([h ^ (rng.random((40, 256)) < rng.uniform(0, 0.15)) for h in heads])
+    size = rng.integers(130, 256, len(rows))
+    code = np.packbits(rows, axis=1).view(np.uint64)
+    outer = rng.integers(0, 2, len(rows))
+    seen, work = {}, 0
+    for k, o in J._leaves(code, size, outer, limit):
+        work += len(k)
+        for pair in zip(np.minimum(k, o).tolist(), np.maximum(k, o).tolist(), strict=True):
+            seen[pair] = seen.get(pair, 0) + 1
+    far = (rows[:, None] ^ rows[None]).sum(2)
+    want = {
+        (a, b)
+        for a, b in zip(*np.nonzero(limit.apart(far, size[:, None], size[None]) & limit.sizes(size[:, None], size[None])), strict=True)
+        if a < b and not outer[a] & outer[b]
+    }
+    assert len(want) > 1000 and all(seen.get(p) == 1 for p in want)
+    assert max(seen.values()) == 1 and (percent < 80 or work < len(rows) ** 2 / 6)
+
+
+def test_rings():
+    from vitagraph.llm.jaccard_pivots import Limit
+
+    for percent in (40, 80, 85):
+        limit = Limit(percent)
+        for a, b in itertools.combinations_with_replacement(range(1, 300), 2):
+            if 100 * a >= percent * b:
+                assert limit.rings(a)[0] in limit.rings(b)
+
+
 def test_parity_bound():
     from vitagraph.llm import jaccard_pivots as J
 
@@ -254,7 +290,7 @@ def test_parity_bound():
         y |= common
         bits = []
         for s in (x, y):
-            k = J.CLASSES << max(0, (J.PARITIES * len(s) - 1) // J.CLASSES).bit_length()
+            k = J.PARTS << max(0, (J.PARITIES * len(s) - 1) // J.PARTS).bit_length()
             count = np.bincount(np.array(list(s)) & (k - 1), minlength=k)
             bits.append(np.packbits((count & 1).astype(bool), bitorder="little"))
         assert J._distance(*bits) <= len(x ^ y)

@@ -1,24 +1,35 @@
-"""Exact n-gram Jaccard join in metric space: pivots, Voronoi regions, triangle-inequality windows.
-
-Texts are sets of word shingles, and 1 - Jaccard is a metric.  Whole documents make poor
-pivots for it: nearly all distances between texts are exactly 1, so every region would
-have to be replicated everywhere.  The pivots used here are the sets of a single shingle.
-The distance of x to {s} is 1 - 1/|x| if s is in x, else 1, so the nearest pivots of x are
-its own shingles; ties go by one global order, rare shingles before frequent ones, and the
-first of them is the Voronoi region of x.  The triangle inequality bounds how many of its
-nearest pivots x may lose on the way to a linked y: |x| - ceil(0.85 |x|).  Replicated into
-the regions of one pivot more than that, x meets every y it may link with.
-
-Within a region the distances to further pivots prune: the empty set (sizes) and fixed
-parts of the universe, whose overlaps with x and y differ by no more than the symmetric
-difference in all, and in parity no more often.  What remains is compared exactly, on the whole shingle sets of both texts.
-
-Regions are joined in rounds.  First, a forest of likely links is verified in the nearest
-shared regions of each document; what links there is closed transitively.  Last, all regions that
+"""Exact n-gram Jaccard join in metric space: pivots, Voronoi regions, triangle-inequality windows, recursion.
+
+Texts are sets of word shingles, and 1 - Jaccard is a metric in which linked texts are at
+most 0.15 apart.  Nearly all texts are at distance 1 from each other, where no pivot tells
+them apart, so the space is cut by three kinds of pivots, one after another:
+
+1. Sets of a single shingle.  Only the nearest of these matter to x, its own shingles, taken in
+   one global order (rare before frequent).  x may lose |x| - ceil(0.85 |x|) of them on the way
+   to a linked y; replicated into the regions of one more, x meets every y it may link with.
+2. The empty set, whose distance is the size: rings of sizes up to a power of two.  A text of an
+   outer ring that may link into an inner one stands in its window too.
+3. Documents.  A region of more than ``BLOCK`` rows is dealt to the Voronoi cells of some of its
+   documents, again and again until cells are small; within a task regions of more than ``LEAF``
+   rows go on likewise.  A row belongs to the cell of its nearest pivot q, and to the window of
+   any earlier cell p with d(y, p) <= d(y, q) + 2 r, where r bounds how far a linked text may be.
+   By the triangle inequality a linked pair of two cells so meets in the earlier one, and only
+   there: a row notes at which levels it is in a window, and two rows that share such a level
+   are not compared.
+
+The distance d to documents is the number of differing parities of a set's overlaps with fixed
+parts of the universe.  It is a metric too, and no larger than the symmetric difference, so
+linked texts, whose symmetric difference is at most 0.15 |x or y|, stay within r.  A cut that
+does not lessen the work is not made: such a region is cut into blocks that join pairwise.
+
+Pairs leave a task only if their parities allow a link, and are then compared exactly, on the
+whole shingle sets of both texts.
+
+There are two rounds.  First, a forest of likely links is verified in the nearest shared
+regions of each document; what links there is closed transitively.  Then all regions that
 still hold more than one component are joined fully, but only across components: what is
 connected already needs no further comparison.  So large groups of near copies cost a
-comparison or so for each member, and no link between components is lost.  Regions of more
-than ``BLOCK`` rows are cut into blocks that join pairwise, each pair in a group of its own.
+comparison or so for each member, and no link between components is lost.
 
 Equal shingle sets are one class from the start.  Frequent shingles (in over ``HOT``
 documents, the most frequent ``MAX_HOT`` of these) are ordered last.  Any such list gives a
@@ -45,21 +56,34 @@ from .common import Forest, arrow_map, discard, materialize, scoped, segments, s
 from .components import components
 from .shingles import WordHashes, shingle_set
 
-CLASSES = 64
-#: Parts of the universe, for each shingle of a set, whose parities are kept (a power of two is taken).
+#: Fewest parts of the universe whose parities are kept, and parts for each shingle (a power of two is taken).
+PARTS = 64
 PARITIES = 4
+#: Most parities that a row takes into a region; all of them are looked at once a pair has left it.
+CARRY = 4096
 HOT = 64
 MAX_HOT = 100_000
 #: Shingles kept beyond the window, from which those that replace frequent ones are taken.
 SLACK = 16
-BLOCK = 4096
+#: Rows of a region that one task joins; pivots that cut a larger one, and how often this is tried.
+BLOCK = 1024
+PIVOTS = 16
+LEVELS = 4
+#: Rows that are compared directly within a task.
+LEAF = 96
+#: Number of the first ring; cells have the numbers that follow from their region's.
+RING = 64
+#: Bits of ``outer``: 0 for rings, 1 to LEVELS for cells of tables, from this one on for cells within a task.
+INNER = 8
+#: A cut by pivots is made if it leaves at most this share of the comparisons.
+GAIN = 0.8
 #: Texts that are compared together.
 VERIFY = 1024
-#: Nearest shared regions in which a document is connected first, and rounds of this.
+#: Nearest shared regions in which a document is connected first.
 NEAREST = 3
-ROUNDS = 1
-#: Text keys up to this number are broadcast to find their texts; more are joined by shuffle.
+#: Up to this number, keys of texts and pivots of regions are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 400_000
+BROADCAST_REGIONS = 2_000
 
 
 class Limit:
@@ -82,6 +106,18 @@ class Limit:
         """Whether the symmetric difference may be as large as ``distance``."""
         return (100 + self.percent) * (a + b - distance) >= 2 * self.percent * (a + b)
 
+    def reach(self, n):
+        """Largest symmetric difference between a set of size n and any that it may link with."""
+        return (100 - self.percent) * n // self.percent
+
+    def rings(self, n: int) -> list[int]:
+        """The ring of a set of size n, and the inner ones whose window it is in."""
+        own = (n - 1).bit_length()
+        out = [own]
+        while out[-1] and self.percent * n <= 100 << (out[-1] - 1):
+            out.append(out[-1] - 1)
+        return out
+
 
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     """Parities by fewer parts: residues of the hashes, so halves fold onto each other."""
@@ -94,9 +130,25 @@ def _distance(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(_folded(x, k) ^ _folded(y, k)).sum())
 
 
+def _width(ring: int) -> int:
+    """Bytes of the parities that rows of a ring carry."""
+    return min(max(PARTS, 1 << ring), CARRY) // 8
+
+
+def _fold_all(raw: list[bytes], size: int) -> np.ndarray:
+    """Parities of many sets, folded to ``size`` bytes, as rows of 64-bit words."""
+    out = np.empty((len(raw), size), np.uint8)
+    lengths = np.array([len(b) for b in raw])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        bits = np.frombuffer(b"".join([raw[k] for k in at]), np.uint8).reshape(len(at), -1, size)
+        out[at] = bits[:, 0] if length == size else np.bitwise_xor.reduce(bits, axis=1)
+    return out.view(np.uint64)
+
+
 def _sketch(docs: DataFrame, words: int, limit: Limit) -> DataFrame:
-    """doc_id, txt (digest of the text), n, key (digest of the set), parts (its overlaps with coarse parts of
-    the universe), bits (parities of its overlaps with fine ones), low (its least hashes)."""
+    """doc_id, txt (digest of the text), n, key (digest of the set), bits (parities of its overlaps with parts
+    of the universe), code (these folded to what regions carry), low (its least hashes)."""
 
     def make():
         known = WordHashes()
@@ -109,10 +161,11 @@ def _sketch(docs: DataFrame, words: int, limit: Limit) -> DataFrame:
                 out[2].append(n)
                 if n:
                     out[3].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    count = lambda k: np.bincount((s & np.uint64(k - 1)).astype(np.int64), minlength=k)  # noqa: B023, E731
-                    out[4].append(np.minimum(count(CLASSES), 255).astype(np.uint8).tobytes())
-                    k = CLASSES << max(0, (PARITIES * n - 1) // CLASSES).bit_length()
-                    out[5].append(np.packbits((count(k) & 1).astype(bool), bitorder="little").tobytes())
+                    k = PARTS << max(0, (PARITIES * n - 1) // PARTS).bit_length()
+                    odd = np.bincount((s & np.uint64(k - 1)).astype(np.int64), minlength=k) & 1
+                    bits = np.packbits(odd.astype(bool), bitorder="little")
+                    out[4].append(bits.tobytes())
+                    out[5].append(_folded(bits, _width((n - 1).bit_length())).tobytes())
                     out[6].append(s[: limit.window(n) + SLACK].tobytes())
                 else:
                     for k in (3, 4, 5, 6):
@@ -125,14 +178,15 @@ def _sketch(docs: DataFrame, words: int, limit: Limit) -> DataFrame:
     return arrow_map(
         docs,
         [F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("txt"), text.alias("text")],
-        "doc_id bigint, txt binary, n bigint, key binary, parts binary, bits binary, low binary",
+        "doc_id bigint, txt binary, n bigint, key binary, bits binary, code binary, low binary",
         make,
     )
 
 
 def _explode(classes: DataFrame, limit: Limit, hot: np.ndarray | None, often: np.ndarray | None, ask: str) -> DataFrame:
     """From each class: ``near`` its window's shingles in hash order; ``spare`` the frequent shingles
-    that must lose their late place; ``place`` (s, cid, size and place in one number) of its window."""
+    that must lose their late place; ``place`` (s, g, outer, cid, size and place in one number) of its
+    window, for its ring and those whose window it is in (``outer`` = 1)."""
 
     def order(low: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(hot, low)
@@ -143,7 +197,8 @@ def _explode(classes: DataFrame, limit: Limit, hot: np.ndarray | None, often: np
     def step(batches):
         for batch in batches:
             sizes, lows = batch.column("n").to_pylist(), batch.column("low").to_pylist()
-            made, cids, spots = [], [], []
+            made, cids, spots, rings, outer = [], [], [], [], []
+            cid_of = batch.column("cid").to_pylist()
             for row, (n, data) in enumerate(zip(sizes, lows, strict=True)):
                 low = np.frombuffer(data, np.uint64)
                 m = limit.window(n)
@@ -159,20 +214,23 @@ def _explode(classes: DataFrame, limit: Limit, hot: np.ndarray | None, often: np
                         made.append(low[is_hot][np.argsort(often[ranks], kind="stable")[:lack]])
                     continue
                 chosen = np.concatenate([low[~is_hot], low[is_hot]])[:m]
-                made.append(chosen)
-                cids.append(np.full(len(chosen), batch.column("cid")[row].as_py()))
-                spots.append((n << 32) + np.arange(len(chosen)))
+                for nth, ring in enumerate(limit.rings(n)):
+                    made.append(chosen)
+                    cids.append(np.full(len(chosen), cid_of[row]))
+                    spots.append((n << 32) + np.arange(len(chosen)))
+                    rings.append(np.full(len(chosen), RING + ring))
+                    outer.append(np.full(len(chosen), min(nth, 1)))
             s = np.concatenate(made).view(np.int64) if made else np.empty(0, np.int64)
             columns = [pa.array(s)]
             names = ["s"]
             if ask == "place":
                 empty = np.empty(0, np.int64)
-                columns += [pa.array(np.concatenate(v).astype(np.int64) if v else empty) for v in (cids, spots)]
-                names += ["cid", "spot"]
+                columns += [pa.array(np.concatenate(v).astype(np.int64) if v else empty) for v in (cids, spots, rings, outer)]
+                names += ["cid", "spot", "g", "outer"]
             for at in range(0, len(s), 50_000):
                 yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names=names)
 
-    schema = "s bigint" + ", cid bigint, spot bigint" * (ask == "place")
+    schema = "s bigint" + ", cid bigint, spot bigint, g bigint, outer bigint" * (ask == "place")
     return classes.select("cid", "n", "low").mapInArrow(step, schema)
 
 
@@ -191,84 +249,226 @@ def _frequent(classes: DataFrame, limit: Limit) -> np.ndarray:
 
 
 def _forests(rows: DataFrame, limit: Limit) -> DataFrame:
-    """Pairs (a, b) that would connect the rows of a region: rows hold s, sub, cid, spot, comp, bits.
+    """Pairs (a, b) that would connect the rows of a region: rows hold s, g, sub, cid, spot, bits.
 
     Each row proposes the nearest member, by parities, of each component before it that it may
     link with.  The bound is close, so nearly all of these links hold, and a row of pairs for
     each member is enough to find nearly all connections of a region.
     """
+    keys = ["s", "g", "sub"]
 
     def step(batches):
-        for table, starts in whole_groups(batches, ["s", "sub"]):
-            cid, spot, comp = (table.column(k).to_numpy() for k in ("cid", "spot", "comp"))
+        for table, starts in whole_groups(batches, keys):
+            cid, spot = (table.column(k).to_numpy() for k in ("cid", "spot"))
             size = spot >> 32
             raw = table.column("bits").to_pylist()
             a, b = [], []
             for start, end in zip(starts, [*starts[1:], table.num_rows], strict=True):
-                if end - start < 2 or (comp[start:end] == comp[start]).all():
+                if end - start < 2:
                     continue
                 # by size, so widths of the parities ascend; all are folded to the least
-                width = len(raw[start])
-                bits = np.stack([_folded(np.frombuffer(raw[k], np.uint8), width) for k in range(start, end)])
-                n, c = size[start:end], comp[start:end]
-                names, local = np.unique(c, return_inverse=True)
-                forest = Forest(len(names))
+                bits, n = _fold_all(raw[start:end], len(raw[start])), size[start:end]
+                forest = Forest(end - start)
                 for k in range(1, end - start):
                     since = int(np.searchsorted(100 * n[:k], limit.percent * n[k]))
                     far = np.bitwise_count(bits[since:k] ^ bits[k]).sum(axis=1)
                     near = np.flatnonzero(limit.apart(far, n[since:k], n[k]))
                     for o in near[np.argsort(far[near], kind="stable")].tolist():
-                        if forest.join(int(local[since + o]), int(local[k])):
+                        if forest.join(since + o, k):
                             x, y = int(cid[start + since + o]), int(cid[start + k])
                             a.append(min(x, y))
                             b.append(max(x, y))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b)], names=["a", "b"])
 
-    keys = ["s", "sub"]
-    columns = [*keys, "cid", "spot", "comp", "bits"]
+    columns = [*keys, "cid", "spot", "bits"]
     dealt = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "spot", "cid")
     return dealt.mapInArrow(step, "a bigint, b bigint")
 
 
+def _nearest_cells(far: np.ndarray, reach) -> tuple[np.ndarray, np.ndarray]:
+    """From distances (rows, pivots): the own cell of each row, and (rows, pivots) of the earlier cells whose window it is in."""
+    own = far.argmin(axis=1)
+    least = far[np.arange(len(far)), own]
+    window = (far <= (least + 2 * reach)[:, None]) & (np.arange(far.shape[1]) < own[:, None])
+    return own, window
+
+
+def _cells(rows: DataFrame, pivots: DataFrame, level: int, limit: Limit) -> DataFrame:
+    """The rows of large regions in the cells of their pivots and the windows around these."""
+    inputs = [*ROW, "w", "marks"]
+
+    def step(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.column("spot").to_numpy() >> 32
+            take, cell, outer = [], [], []
+            codes, marks = batch.column("code").to_pylist(), batch.column("marks").to_pylist()
+            for k, w in enumerate(batch.column("w").to_pylist()):
+                far = np.bitwise_count(_fold_all(marks[k], w) ^ _fold_all([codes[k]], w)).sum(axis=1)
+                own, window = _nearest_cells(far[None, :].astype(np.int64), np.array([limit.reach(size[k])]))
+                near = np.flatnonzero(window[0])
+                take += [k] * (1 + len(near))
+                cell += [int(own[0]), *near.tolist()]
+                outer += [0] + [1 << level] * len(near)
+            part = batch.select(ROW).take(pa.array(take))
+            g = part.column("g").to_numpy() * PIVOTS + np.array(cell)
+            mask = part.column("outer").to_numpy() | np.array(outer)
+            columns = {name: part.column(name) for name in ROW} | {"g": pa.array(g, pa.int64()), "outer": pa.array(mask, pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns[name] for name in ROW], names=ROW)
+
+    joined = rows.join(pivots, (F.col("s") == F.col("_s")) & (F.col("g") == F.col("_g"))).select(*inputs)
+    return joined.mapInArrow(step, ROW_SCHEMA)
+
+
+def _regions(rows: DataFrame, limit: Limit) -> DataFrame:
+    """Rows by region (s, g), large ones cut by pivots, and by blocks (i, j) where pivots don't help."""
+    done, blunt = [], []
+    for level in range(1, LEVELS + 1):
+        sizes = rows.groupBy("s", "g").agg(F.count("*").alias("n"), F.min(F.length("code")).alias("w"))
+        big = materialize(sizes.where(F.col("n") > BLOCK).select(F.col("s").alias("_s"), F.col("g").alias("_g"), "n", "w"), "jaccard-regions")
+        regions = big.count()
+        if not regions:
+            break
+        hint = F.broadcast if regions <= BROADCAST_REGIONS else (lambda df: df)
+        here = (F.col("s") == F.col("_s")) & (F.col("g") == F.col("_g"))
+        done.append(rows.join(hint(big), here, "left_anti"))
+        large = rows.join(hint(big.drop("n")), here).drop("_s", "_g")
+        slot = F.pmod(F.xxhash64("cid"), F.lit(PIVOTS))
+        marks = large.groupBy("s", "g", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("cid", F.lit(level)), "code")).alias("m"), F.min("w").alias("w"))
+        marks = marks.groupBy(F.col("s").alias("_s"), F.col("g").alias("_g")).agg(F.min("w").alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("slot", "m"))), lambda x: x["m"]["code"]).alias("marks"))
+        marks = materialize(marks, "jaccard-pivots")
+        cut = _cells(large.drop("w"), hint(marks), level, limit)
+        # how many comparisons the cut leaves
+        left = cut.groupBy("s", "g").count().groupBy("s", F.floor(F.col("g") / PIVOTS).alias("g")).agg(F.sum(F.col("count") * F.col("count")).alias("left"))
+        gain = left.join(big, here).where(F.col("left") <= GAIN * F.col("n") * F.col("n")).select("_s", "_g")
+        gain = materialize(gain, "jaccard-gains")
+        blunt.append(large.drop("w").join(hint(gain), here, "left_anti"))
+        rows = materialize(_cells(large.drop("w"), hint(marks.join(gain, ["_s", "_g"], "left_semi")), level, limit), "jaccard-cells")
+    whole = rows
+    for part in done:
+        whole = whole.unionByName(part)
+    for part in blunt:
+        whole = whole.unionByName(part)
+    if not done:
+        return whole.select("*", *[F.lit(0).cast("long").alias(c) for c in ("home", "i", "j")])
+    sizes = whole.groupBy("s", "g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    sizes = materialize(sizes.select(F.col("s").alias("_s"), F.col("g").alias("_g"), "blocks"), "jaccard-blocks")
+    if sizes.count() <= BROADCAST_REGIONS:
+        sizes = F.broadcast(sizes)
+    whole = whole.join(sizes, (F.col("s") == F.col("_s")) & (F.col("g") == F.col("_g")), "left")
+    whole = whole.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("home", F.pmod(F.xxhash64("cid"), "blocks"))
+    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return whole.select(*ROW, "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
+
+
+def _leaves(code: np.ndarray, size: np.ndarray, outer: np.ndarray, limit: Limit):
+    """Index pairs to compare among the rows of one region: cut by Voronoi cells of pivots until small."""
+    todo = [(np.arange(len(code)), outer, INNER)]
+    while todo:
+        rows, outer, level = todo.pop()
+        if len(rows) > LEAF and level < 62:
+            step = len(rows) // PIVOTS
+            far = np.stack([np.bitwise_count(code[rows] ^ code[p]).sum(axis=1) for p in rows[::step][:PIVOTS]], axis=1).astype(np.int64)
+            reach = limit.reach(size[rows])
+            own, window = _nearest_cells(far, reach)
+            parts = []
+            for p in range(far.shape[1]):
+                core, win = np.flatnonzero(own == p), np.flatnonzero(window[:, p])
+                if not len(core):
+                    continue
+                low, high = far[core, p].min(), far[core, p].max()
+                win = win[(far[win, p] - reach[win] <= high) & (far[win, p] + reach[win] >= low)]
+                parts.append((core, win))
+            if sum((len(core) + len(win)) ** 2 for core, win in parts) <= GAIN * len(rows) ** 2:
+                for core, win in parts:
+                    both = np.concatenate([core, win])
+                    mask = outer[both]
+                    mask[len(core) :] |= 1 << level
+                    todo.append((rows[both], mask, level + 1))
+                continue
+        for at in range(0, len(rows), 256):
+            k, o = np.nonzero((outer[at : at + 256, None] & outer[None, at:]) == 0)
+            k, o = k[o > k] + at, o[o > k] + at
+            if len(k):
+                yield rows[k], rows[o]
+
+
 def _across(rows: DataFrame, limit: Limit) -> DataFrame:
-    """All pairs (a, b) of different components in a region that no pivot's distance rules out."""
+    """All pairs (a, b) of different components in a region whose parities allow a link."""
+    keys = ["s", "g", "i", "j"]
+
+    def pairs(starts, ends, codes, size, outer):
+        """Rows k and o of one region: shifted against each other for all small regions at once, the large ones by pivots."""
+        group = np.zeros(len(size), np.int64)
+        group[starts[1:]] = 1
+        group = np.cumsum(group)
+        small = (ends - starts <= LEAF)[group]
+        for d in range(1, int((ends - starts)[ends - starts <= LEAF].max(initial=1))):
+            k = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+            if len(k):
+                yield k, k + d
+        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            if end - start > LEAF:
+                width, at = codes.width[start], codes.at[start:end]
+                for k, o in _leaves(codes.rows[width][at], size[start:end], outer[start:end], limit):
+                    yield k + start, o + start
 
     def step(batches):
-        for table, starts in whole_groups(batches, ["s", "i", "j"]):
-            n = table.num_rows
-            cid, spot, comp, home, i, j = (table.column(k).to_numpy() for k in ("cid", "spot", "comp", "home", "i", "j"))
+        for table, first in whole_groups(batches, keys):
+            starts = np.array(first)
+            ends = np.array([*first[1:], table.num_rows])
+            cid, spot, outer, comp, home, i, j = (table.column(c).to_numpy() for c in ("cid", "spot", "outer", "comp", "home", "i", "j"))
             size, place = spot >> 32, spot & 0xFFFFFFFF
-            parts = np.frombuffer(b"".join(table.column("parts").to_pylist()), np.uint8).reshape(n, CLASSES)
-            group = np.zeros(n, np.int64)
-            group[starts[1:]] = 1
-            group = np.cumsum(group)
             cut = i != j
-            # rows k and k + d of one region, for all regions at once
-            for d in range(1, n):
-                k = np.flatnonzero(group[d:] == group[:-d])
-                if not len(k):
-                    break
-                o = k + d
-                fit = (comp[o] != comp[k]) & limit.sizes(size[o], size[k]) & ~(cut[k] & (home[o] == home[k]))
+            codes = _Codes(table.column("code").to_pylist(), starts, ends)
+            for k, o in pairs(starts, ends, codes, size, outer):
+                fit = (comp[o] != comp[k]) & ((outer[o] & outer[k]) == 0) & limit.sizes(size[o], size[k])
+                fit &= ~(cut[k] & (home[o] == home[k]))
                 # s is the first shingle in common, so what comes before it is not
                 fit &= limit.common(np.minimum(size[o] - place[o], size[k] - place[k]), size[o], size[k])
                 k, o = k[fit], o[fit]
                 if len(k):
-                    far = np.abs(parts[o].astype(np.int16) - parts[k]).sum(axis=1)
-                    fit = limit.apart(far, size[o], size[k])
+                    fit = limit.apart(codes.far(k, o), size[o], size[k])
                     k, o = k[fit], o[fit]
                 if len(k):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.minimum(cid[k], cid[o])), pa.array(np.maximum(cid[k], cid[o]))], names=["a", "b"]
                     )
 
-    keys = ["s", "i", "j"]
-    columns = [*keys, "cid", "spot", "comp", "home", "parts"]
+    columns = [*keys, "cid", "spot", "outer", "comp", "home", "code"]
     dealt = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(step, "a bigint, b bigint")
 
 
+class _Codes:
+    """Parities of the rows of several regions, those of a region folded to the least width in it."""
+
+    def __init__(self, raw: list[bytes], starts: np.ndarray, ends: np.ndarray):
+        lengths = np.array([len(b) for b in raw])
+        self.width = np.repeat(np.minimum.reduceat(lengths, starts), ends - starts)
+        self.at = np.zeros(len(raw), np.int64)
+        self.rows = {}
+        for w in np.unique(self.width).tolist():
+            here = np.flatnonzero(self.width == w)
+            self.at[here] = np.arange(len(here))
+            self.rows[w] = _fold_all([raw[k] for k in here], w)
+
+    def far(self, k: np.ndarray, o: np.ndarray) -> np.ndarray:
+        out = np.empty(len(k), np.int64)
+        for w, rows in self.rows.items():
+            here = np.flatnonzero(self.width[k] == w)
+            for part in np.array_split(here, len(here) * w // 16_000_000 + 1):
+                out[part] = np.bitwise_count(rows[self.at[k[part]]] ^ rows[self.at[o[part]]]).sum(axis=1)
+        return out
+
+
+#: A row of a region: its shingle and the number of its ring or cell, the levels whose window it is in, the document.
+ROW = ["s", "g", "outer", "cid", "spot", "comp", "code"]
+ROW_SCHEMA = "s bigint, g bigint, outer bigint, cid bigint, spot bigint, comp bigint, code binary"
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, limit: Limit) -> DataFrame:
     """The pairs that link, by the whole shingle sets of both texts.
 
@@ -281,20 +481,16 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, l
             n = batch.num_rows
             if n:
                 na, nb = (batch.column(k).to_numpy() for k in ("na", "nb"))
-                x, y = (
-                    np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, CLASSES).astype(np.int16)
-                    for k in ("pa", "pb")
-                )
-                keep = limit.sizes(na, nb) & limit.apart(np.abs(x - y).sum(axis=1), na, nb)
+                keep = limit.sizes(na, nb)
                 ba, bb = batch.column("ba"), batch.column("bb")
                 for k in np.flatnonzero(keep).tolist():
                     far = _distance(np.frombuffer(ba[k].as_py(), np.uint8), np.frombuffer(bb[k].as_py(), np.uint8))
                     keep[k] = limit.apart(far, na[k], nb[k])
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"), F.col("bits").alias(f"b{x}"))
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
     met = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    met = met.select("a", "b", "na", "nb", "pa", "pb", "ba", "bb").mapInArrow(near, "a bigint, b bigint")
+    met = met.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(near, "a bigint, b bigint")
     met = materialize(met, "jaccard-pairs")
     groups = components(met)
     sizes = groups.groupBy(F.col("component").alias("_c")).agg(F.ceil(F.count("*") / VERIFY).alias("blocks"))
@@ -308,14 +504,15 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, l
     texts = docs.select(F.unhex(F.md5(text)).alias("t"), text.alias("body")).join(keys, F.col("t") == F.col("k"), "left_semi")
     texts = texts.groupBy("t").agg(F.first("body").alias("body"))
     spots = ["component", "i", "j"]
-    whole = members.join(texts, F.col("txt") == F.col("t"))
-    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    whole = whole.select(
-        "component", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), F.col("id").alias("a"), F.lit(-1).cast("long").alias("b"), "body"
-    )
     ends = [members.select(F.col("id").alias(x), "component", F.col("home").alias(f"h{x}")) for x in ("a", "b")]
     asked = met.join(ends[0], "a").join(ends[1].drop("component"), "b")
-    asked = asked.select("component", F.least("ha", "hb").alias("i"), F.greatest("ha", "hb").alias("j"), "a", "b", F.lit(None).cast("string").alias("body"))
+    asked = asked.select("component", F.least("ha", "hb").alias("i"), F.greatest("ha", "hb").alias("j"), "a", "b")
+    asked = materialize(asked, "jaccard-asked")
+    # a text goes only where one of its pairs is
+    places = asked.select("i", "j", F.explode(F.array("a", "b")).alias("m")).distinct()
+    whole = members.join(texts, F.col("txt") == F.col("t")).join(places, F.col("id") == F.col("m"))
+    whole = whole.select(*spots, F.col("id").alias("a"), F.lit(-1).cast("long").alias("b"), "body")
+    asked = asked.withColumn("body", F.lit(None).cast("string"))
 
     def compare(batches):
         known = WordHashes()
@@ -357,7 +554,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         .groupBy("key")
         .agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "txt")).alias("least"),
-            *[F.first(c).alias(c) for c in ("n", "parts", "bits", "low", "txt")],
+            *[F.first(c).alias(c) for c in ("n", "bits", "code", "low", "txt")],
         )
         .withColumn("cid", F.monotonically_increasing_id())
     )
@@ -366,31 +563,29 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     discard(whole)
     hot = _frequent(classes, limit)
     placed = _explode(classes, limit, hot, None, "place")
-    placed = placed.withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1")
-    placed = materialize(placed.withColumn("blocks", F.ceil(F.col("df") / BLOCK)).drop("df"), "jaccard-places")
+    placed = placed.withColumn("df", F.count("*").over(Window.partitionBy("s", "g"))).where("df > 1")
+    placed = materialize(placed, "jaccard-places")
     whole, classes = classes, materialize(classes.drop("low"), "jaccard-classes")
     discard(whole)
 
-    # rounds of forests: in the nearest shared regions of each document
-    nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.col("spot").bitwiseAND(0xFFFFFFFF)))
-    nearest = placed.withColumn("nth", nth).where(F.col("nth") <= NEAREST).withColumn("sub", F.pmod(F.xxhash64("cid"), "blocks"))
-    nearest = materialize(nearest.join(classes.select("cid", "bits"), "cid"), "jaccard-nearest")
-    links = None
-    comp = classes.select(F.col("cid").alias("id"), F.col("cid").alias("component")).limit(0)
-    for _ in range(ROUNDS):
-        known = nearest.join(comp, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "cid"))
-        found = materialize(_verify(_forests(known, limit), classes, docs, words, limit), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-
-    known = placed.join(comp, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "cid"))
-    region = Window.partitionBy("s")
-    open_ = known.withColumn("lo", F.min("comp").over(region)).withColumn("hi", F.max("comp").over(region)).where("lo < hi")
-    open_ = open_.select("s", "cid", "spot", "comp", "blocks").join(classes.select("cid", "parts"), "cid")
-    open_ = open_.withColumn("home", F.pmod(F.xxhash64("cid"), "blocks"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    open_ = open_.withColumn("i", F.least("home", "other")).withColumn("j", F.greatest("home", "other"))
-    found = materialize(_verify(_across(open_, limit), classes, docs, words, limit), "jaccard-links")
+    # a forest of likely links in the nearest shared regions of each document; in a large region the rows
+    # are dealt to parts, and a few of them are in all parts, so that these are connected too
+    nth = F.dense_rank().over(Window.partitionBy("cid").orderBy(F.col("spot").bitwiseAND(0xFFFFFFFF)))
+    nearest = placed.withColumn("nth", nth).where(F.col("nth") <= NEAREST)
+    subs = F.ceil(F.col("df") / BLOCK)
+    common = (subs > 1) & (F.pmod(F.xxhash64("cid", F.lit(7)), F.col("df")) < PIVOTS)
+    part = F.array(F.pmod(F.xxhash64("cid"), subs))
+    nearest = nearest.withColumn("sub", F.explode(F.when(common, F.sequence(F.lit(0).cast("long"), subs - 1)).otherwise(part)))
+    nearest = nearest.select("s", "g", "sub", "cid", "spot").join(classes.select("cid", "bits"), "cid")
+    links = materialize(_verify(_forests(nearest, limit), classes, docs, words, limit), "jaccard-links")
+    comp = components(links)
+
+    known = placed.drop("df").join(comp, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "cid"))
+    known = materialize(known.select("s", "g", "outer", "cid", "spot", "comp"), "jaccard-known")
+    open_ = known.groupBy(F.col("s").alias("_s"), F.col("g").alias("_g")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("outer").alias("core"))
+    open_ = known.join(open_.where("lo < hi and core = 0"), (F.col("s") == F.col("_s")) & (F.col("g") == F.col("_g")), "left_semi")
+    open_ = materialize(open_.join(classes.select("cid", "code"), "cid").select(*ROW), "jaccard-open")
+    found = materialize(_verify(_across(_regions(open_, limit), limit), classes, docs, words, limit), "jaccard-links")
     comp = components(links.unionByName(found))
 
     known = classes.select(F.col("key").alias("_key"), "cid", "least").join(comp, F.col("cid") == F.col("id"), "left")
