@@ -91,16 +91,46 @@ def test_mix_against_plain_targets(spark):
     assert plan(df.limit(0)).count() == 0 and mix(df.limit(0)).count() == 0
 
 
-def test_positions_invert_the_demand(spark):
+def curve(knots, t):
+    """Integral of the piecewise linear weight up to t, by many small steps."""
+    x = (np.arange(200_000) + 0.5) / 200_000
+    y = np.interp(x, [k for k, _ in knots], [w for _, w in knots])
+    return float(y[x < t].sum() / y.sum())
+
+
+@pytest.mark.parametrize("given", [None, [(0.0, 3.0), (0.25, 0.0), (0.5, 0.0), (0.6, 2.0)], [(0.5, 1.0)], [(0.2, 0.0), (0.8, 4.0)]])
+def test_positions_invert_the_demand(spark, given):
+    from pyspark.sql import functions as F
+
+    from vitagraph.llm.curriculum_mix import pieces, position
+
+    sources = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "src string, rk int")
+    knots = {"a": [(0.0, 1.5), (1.0, 0.5)], "b": [(0.0, 1.0), (1.0, 1.0)], None: [(0.0, 0.5), (1.0, 1.5)]}
+    schedule = None
+    if given:
+        knots[None] = given
+        odd = [("b", 0.5, float("nan")), ("b", 2.0, 1.0), ("b", 0.1, -1.0), ("a", 0.3, 0.0), (None, given[0][0], 0.0), ("other", 0.1, 1.0)]
+        schedule = spark.createDataFrame([(None, t, w) for t, w in given] + odd, "source string, t double, weight double")
+    table = pieces(sources, schedule)
+    for src in knots:
+        for y in (0.0, 0.1, 0.5, 0.77, 1.0):
+            got = table.where(F.col("src").eqNullSafe(F.lit(src))).select(position(F.lit(y * 80), F.lit(80.0), F.col("pieces")).alias("t")).first()["t"]
+            assert curve(knots[src], got) == pytest.approx(y, abs=2e-5) and 0 <= got <= 1
+
+
+def test_mix_of_one_id(spark, monkeypatch):
+    """All rows share one id; many of them are equal."""
     from pyspark.sql import functions as F
 
-    from vitagraph.llm.curriculum_mix import position
+    from vitagraph.llm import curriculum_mix as C
 
-    for tilt in (-0.5, 0.0, 0.5):
-        for t in (0.0, 0.2, 0.7, 1.0):
-            demand = 80 * ((1 - tilt) * t + tilt * t * t)
-            got = spark.range(1).select(position(F.lit(demand), F.lit(80.0), F.lit(tilt)).alias("t")).first()["t"]
-            assert got == pytest.approx(t)
+    monkeypatch.setattr(C, "COPIES", 1000)
+    n = 100_000
+    text = F.when(F.col("id") % 3 == 0, F.lit("same words here")).otherwise(F.concat(F.lit("a b "), F.col("id").cast("string")))
+    df = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    got = C.plan(df).agg(F.count("*").alias("n"), F.sum("taken").alias("t"), F.max("copies").alias("c"), F.countDistinct("positions").alias("d")).first()
+    assert (got["n"], got["t"], got["c"], got["d"]) == (n, 3 * n, n // 3 + 1, n)
+    assert C.mix(df).groupBy("text").count().agg(F.count("*"), F.max("count")).first()[:] == (n - n // 3, n // 3 + 1)
 
 
 # --- embeddings --------------------------------------------------------------------
@@ -404,11 +434,13 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
     times = {}
     for s in sizes:
         start = 0
-        for i in sorted((i for i in keep if f"s{i % 4}" == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        layout = lambda i: hashlib.md5(f"{i}:{hashlib.md5(clean[i].encode()).hexdigest()}".encode()).hexdigest()
+        for i in sorted((i for i in keep if f"s{i % 4}" == s), key=layout):
             n = len(clean[i].split())
             times[i] = sum(start + n / 2 + r * sizes[s] < target[s] for r in range(3))
             start += n
     codec = PieceEncoder(model_path())
-    want = sorted((i, len(codec.encode(clean[i]))) for i in keep for _ in range(times[i]))
-    got = sorted((r["doc_id"], r["n_tokens"]) for r in P.run(spark, str(tmp_path)).collect())
+    sha = lambda t: hashlib.sha256(codec.model.decode(codec.encode(t)).encode()).hexdigest()
+    want = sorted((i, len(codec.encode(clean[i])), sha(clean[i])) for i in keep for _ in range(times[i]))
+    got = sorted((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in P.run(spark, str(tmp_path)).collect())
     assert got == want and len(P.STAGES) == 5

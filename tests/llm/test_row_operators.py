@@ -269,6 +269,56 @@ def test_whole_texts_and_parts_of_licenses(spark, tmp_path):
     assert {i for i, _ in got} == {0, 1, 2, 3}
 
 
+@pytest.mark.parametrize("text, want", [
+    ("This work is licensed under the GNU General Public License, version 2.", set()),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", set()),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", set()),
+    ('Licensed under the Apache License, Version 1.1 (the "License"); you may not use this file except in compliance', set()),
+    ("Released under the BSD License.", set()),
+    ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0 notice"}),
+    ("so: This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0 notice"}),
+])
+def test_licences_of_one_family(text, want):
+    from vitagraph.llm import license_scan as L
+
+    got = L.Index(L.TEMPLATES).matches(text, True)
+    assert {m[0] for m in got if m[3] >= L.MIN_COVERAGE} == want
+    assert all(m[4] <= 6 for m in got if m[0] not in want)  # "this work is licensed under" is of several
+
+
+def test_neighbouring_copies_and_very_long_texts():
+    import time
+
+    from vitagraph.llm import license_scan as L
+    from vitagraph.llm import secret_scan as S
+
+    index, notice = L.Index(L.TEMPLATES), L.TEMPLATES["MIT notice"]
+    took = {}
+    for n in (300, 2_000, 16_000):
+        text = " ".join(f"{notice} w{i}" for i in range(n))
+        began = time.perf_counter()
+        got = index.matches(text)
+        took[n] = time.perf_counter() - began
+        assert len(got) == n and all(text[a:b] == notice for _, a, b, _, _ in got)
+    assert took[16_000] < 24 * took[2_000]
+    for n in (2_000, 16_000):
+        text = " ".join(f"password = abcdef{i} " + "aB3" * 12 for i in range(n))
+        began = time.perf_counter()
+        spans = S.find(text)
+        text = S.cut(text, [(a, b) for a, _, b, _ in spans], "#")
+        took[n] = time.perf_counter() - began
+        assert len(spans) == 2 * n and text == " ".join(["# #"] * n)
+    assert took[16_000] < 24 * took[2_000]
+
+
+def test_stand_ins_are_not_live(spark):
+    from vitagraph.llm import secret_scan as S
+
+    texts = ["password=changeme", "token: your_token_here", "api_key=xxxxxxxxxxxx", "secret=q7Zx9q7Zx9"]
+    got = {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in S.digest(docs(spark, texts)).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (1, 0)}
+
+
 def test_alignment_against_full_table():
     import numpy as np
 
@@ -312,23 +362,42 @@ def test_language_held_out_accuracy(spark):
     assert {r["lang_pred"] for r in identify(docs(spark, ["abc def"], langs=[None])).collect()} == {"und"}
 
 
-def test_folded_weights_equal_the_kernel_sum():
+def test_scores_equal_the_dual_sum_over_landmarks():
+    """Scores by weights of n-grams, against kernels with all landmarks from plain sets of substrings."""
     import numpy as np
 
     from vitagraph.llm import language_kernel as K
 
     rng = random.Random(8)
-    labels = [rng.choice(["aa", "bb"]) for _ in range(40)]
-    sets = [np.flatnonzero(K.presence(speech(rng, lang, 12))) for lang in labels]
-    model = K.fit(sets, labels)
-    text = speech(rng, "aa", 9)
-    x = K.presence(text)
-    direct = np.zeros(2)
-    w = np.zeros((1 << K.BITS, 2))
-    w[model.vocabulary] = model.weights
-    for g in np.flatnonzero(x):
-        direct += w[g]
-    assert np.allclose(model.score([text])[0], direct / np.sqrt(x.sum()) + model.bias, atol=1e-4)
+    labels = sorted(rng.choice(["aa", "bb"]) for _ in range(40))
+    texts = [speech(rng, lang, 12) for lang in labels]
+    grams = lambda t: {t.lower()[i : i + n] for n in range(1, K.MAX_N + 1) for i in range(len(t) - n + 1)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+    for t in texts:
+        assert len(K.presence(t)) == len(grams(t))
+    chosen = K.landmarks(labels, [False] * 40)[:10]
+    land = [texts[i] for i in chosen]
+    k_nm = np.array([[kernel(a, b) for b in land] for a in texts])
+    model = K.fit([K.presence(t) for t in land], k_nm, labels)
+    # ridge regression in the landmarks' span, solved in the dual coefficients
+    k_mm = np.array([[kernel(a, b) for b in land] for a in land])
+    y = np.array([[1.0 if lab == x else -1.0 for x in ("aa", "bb")] for lab in labels])
+    w = np.array([20 / labels.count(lab) for lab in labels])
+    x = np.hstack([k_nm, np.ones((40, 1))])
+    ridge = K.RIDGE * np.block([[k_mm, np.zeros((10, 1))], [np.zeros((1, 10)), np.ones((1, 1))]])
+    alpha = np.linalg.solve(x.T @ (x * w[:, None]) + ridge, x.T @ (y * w[:, None]))
+    for _ in range(5):
+        text = speech(rng, rng.choice(["aa", "bb", "cc"]), 9)
+        want = np.array([kernel(text, b) for b in land] + [1.0]) @ alpha
+        assert np.allclose(model.score([text, "z"])[0], want, atol=2e-3)
+
+
+def test_language_of_very_long_texts():
+    from vitagraph.llm import language_kernel as K
+
+    rng = random.Random(9)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300_000))
+    assert len(K.presence(text)) > 915_000 and len(K.presence("")) == 0
 
 
 # --- toxicity ------------------------------------------------------------------

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import functools
-import gc
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import discard, materialize, scoped, ship
+
+__all__ = ["WORD", "Forest", "arrow_map", "discard", "materialize", "n_words", "read", "scoped", "segments", "ship", "whole_groups"]
+
 #: A word is a run of characters other than space and U+0009 to U+000D.  On UTF-8 bytes
 #: ``bytes.split()`` splits at exactly these six, so Python code splits encoded texts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,91 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE = 128
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; set by the cluster, or here when it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file:///tmp/checkpoints/vitagraph"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs the tasks it ran, never a recomputation of
-    what came before, and no result depends on how often a stage was retried.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written = path
-    for scope in _scopes[-1:]:
-        scope.append(out)
-    return out
-
-
-#: Written tables of the scopes that are open, innermost last.
-_scopes: list[list[DataFrame]] = []
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of past jobs.
-
-    Spark drops these once the JVM's garbage collector has seen that no plan refers to them.
-    """
-    for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.written)
-        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        for scope in _scopes:
-            scope[:] = [t for t in scope if t is not table]
-    if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
-
-
-def scoped(label: str) -> Callable:
-    """For a function that returns a table: its result is written, and all that it wrote before is deleted."""
-
-    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        @functools.wraps(f)
-        def run(*args, **kwargs) -> DataFrame:
-            _scopes.append([])
-            try:
-                made = f(*args, **kwargs)
-                inner = _scopes.pop()
-            except BaseException:
-                discard(*_scopes.pop())
-                raise
-            out = materialize(made, label)
-            del made
-            discard(*inner)
-            return out
-
-        return run
-
-    return wrap
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that workers can import it."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        made = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-        with zipfile.ZipFile(made, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        context.addPyFile(str(made))
-        _shipped.add(context.applicationId)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

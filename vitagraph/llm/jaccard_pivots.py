@@ -78,7 +78,7 @@ INNER = 8
 #: A cut by pivots is made if it leaves at most this share of the comparisons.
 GAIN = 0.8
 #: Texts that are compared together.
-VERIFY = 1024
+VERIFY = 256
 #: Nearest shared regions in which a document is connected first.
 NEAREST = 3
 #: Up to this number, keys of texts and pivots of regions are broadcast; more are joined by shuffle.

@@ -1,38 +1,41 @@
 """Language identification with a blended-spectrum string kernel.
 
 A text is the set of its character n-grams of 1 to ``MAX_N`` lower-cased code points
-(presence, not counts), each folded into one of ``2 ** BITS`` bins.  The kernel of two
-texts is the size of the common set over the geometric mean of both sizes.  The Nyström
-method maps the kernel onto a bounded number of landmark texts, and kernel ridge
-regression is solved there for each language against the rest.
+(presence, not counts), told apart by 32-bit hashes.  The kernel of two texts is the size
+of the common set over the geometric mean of both sizes.  The Nyström method maps the
+kernel onto a bounded number of landmark texts, and kernel ridge regression is solved
+there for each language against the rest.
 
 The solution is a weighted sum of kernels with the landmarks.  As the kernel is linear in
-the presence vectors, that sum is one weight for each bin and language, so a batch of
-texts is scored by a single matrix product: presence matrix times weights.
+the presence vectors, that sum is one weight for each n-gram of the landmarks and language,
+so a batch of texts is scored by a single matrix product: presence matrix times weights.
 
 Learning reads a bounded sample (``MAX_TRAIN`` texts, shared evenly by the languages, by
-the smallest hash of doc_id); whole texts are used there and in scoring.
+the smallest hash).  The landmarks reach the driver; of the other texts only their kernels
+with these do, which executors work out.  Whole texts are used there and in scoring.
+Landmarks are texts of at most ``LANDMARK_CHARS`` code points; longer ones are learned from,
+but serve as landmarks only where there are no others.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is every text
 when nothing can be learned (no labelled text, empty table).  A null doc_id counts as held
-out.  Repeated rows get equal results.  Languages with equal scores: the first by name.
-Only doc_id, text and lang are read.
+out.  Repeated rows get equal results, and are learned from once.  Languages with equal
+scores: the first by name.  Very long texts have no more n-grams than code points times
+``MAX_N``; none are folded together.  Only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, materialize
 
 MAX_N = 4
-BITS = 16
-#: Bounds on what is learned from: texts, landmarks among them, languages (the most frequent).
+#: Bounds on what is learned from: texts (so no more languages, the most frequent), landmarks, and their length.
 MAX_TRAIN = 2_000
 MAX_LANDMARKS = 256
-MAX_LANGS = 200
+LANDMARK_CHARS = 20_000
 RIDGE = 1e-2
 BATCH = 64
 PART = 1 << 20  # code points looked at together
@@ -40,78 +43,79 @@ _STEP = np.uint32(2654435761)
 
 
 def presence(text: str) -> np.ndarray:
-    """Boolean vector over the bins: which n-grams the text holds."""
-    flags = np.zeros(1 << BITS, bool)
-    lowered = text.lower()
+    """Sorted hashes of the distinct n-grams of a text."""
+    lowered, made = text.lower(), []
     for at in range(0, max(1, len(lowered)), PART):
         points = np.frombuffer(lowered[at : at + PART + MAX_N - 1].encode("utf-32-le", "replace"), np.uint32)
         h = np.zeros(len(points), np.uint32)
+        part = []
         for n in range(1, MAX_N + 1):
             if n > len(points):
                 break
             h = (h[: len(points) - n + 1] ^ points[n - 1 :]) * _STEP
             h ^= h >> np.uint32(15)
-            flags[(h * np.uint32(2246822519)) >> np.uint32(32 - BITS)] = True
-    return flags
+            part.append(h * np.uint32(2246822519) + np.uint32(n))
+        if part:
+            made.append(np.unique(np.concatenate(part)))
+    return made[0] if len(made) == 1 else np.unique(np.concatenate(made)) if made else np.empty(0, np.uint32)
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def matrix(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    """A row for each set with 1 / sqrt(its size) at its n-grams of the sorted vocabulary."""
+    out = np.zeros((len(sets), len(vocabulary)), np.float32)
+    for row, s in zip(out, sets, strict=True):
+        at = np.searchsorted(vocabulary, s)
+        at[at == len(vocabulary)] = 0
+        row[at[vocabulary[at] == s]] = 1 / np.sqrt(len(s))
+    return out
+
+
 class Model:
-    """Weights of each bin (zero outside the landmarks' bins) for each language."""
+    """Weights of each n-gram of the landmarks for each language."""
 
     def __init__(self, langs: list[str], vocabulary: np.ndarray, weights: np.ndarray, bias: np.ndarray):
         self.langs, self.vocabulary, self.weights, self.bias = langs, vocabulary, weights, bias
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """One row of one-versus-rest scores for each text, by one matrix product."""
-        weights = np.zeros((1 << BITS, len(self.langs)), np.float32)
-        weights[self.vocabulary] = self.weights
-        rows = np.empty((len(texts), 1 << BITS), np.float32)
-        sizes = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            rows[i] = flags = presence(t)
-            sizes[i] = np.count_nonzero(flags)
-        return (rows @ weights) / np.sqrt(sizes)[:, None] + self.bias
-
-
-def fit(sets: list[np.ndarray], labels: list[str]) -> Model:
-    """Nyström kernel ridge regression; ``sets`` holds the bins of each training text."""
-    langs = sorted(set(labels))
-    y = np.where(np.array(labels)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
-    # landmarks: the languages in turn, so each has its share
+        """One row of one-versus-rest scores for each text, by one matrix product over the n-grams of the batch."""
+        sets = [presence(t) for t in texts]
+        seen = np.unique(np.concatenate(sets))
+        at = np.searchsorted(self.vocabulary, seen)
+        at[at == len(self.vocabulary)] = 0
+        hit = self.vocabulary[at] == seen
+        return matrix(sets, seen[hit]) @ self.weights[at[hit]] + self.bias
+
+
+def landmarks(labels: list[str], long: list[bool]) -> list[int]:
+    """Which training texts are landmarks: the languages in turn, so each has its share; long ones last."""
     turn: dict[str, int] = {}
     order = []
     for i, lab in enumerate(labels):
-        order.append((turn.setdefault(lab, 0), lab, i))
-        turn[lab] += 1
-    marks = [i for _, _, i in sorted(order)[:MAX_LANDMARKS]]
-    vocabulary = np.unique(np.concatenate([sets[i] for i in marks]))
-    place = np.full(1 << BITS, -1)
-    place[vocabulary] = np.arange(len(vocabulary))
-    land = np.zeros((len(marks), len(vocabulary)), np.float32)
-    for r, i in enumerate(marks):
-        land[r, place[sets[i]]] = 1 / np.sqrt(len(sets[i]))
-    k_mm = (land @ land.T).astype(np.float64)
-    k_nm = np.empty((len(sets), len(marks)))
-    for at in range(0, len(sets), BATCH):
-        part = sets[at : at + BATCH]
-        rows = np.zeros((len(part), len(vocabulary)), np.float32)
-        for r, s in enumerate(part):
-            known = place[s]
-            rows[r, known[known >= 0]] = 1 / np.sqrt(len(s))
-        k_nm[at : at + len(part)] = rows @ land.T
-    values, vectors = np.linalg.eigh(k_mm)
+        if not long[i] or all(long):
+            order.append((turn.setdefault(lab, 0), lab, i))
+            turn[lab] += 1
+    return [i for _, _, i in sorted(order)[:MAX_LANDMARKS]]
+
+
+def fit(marks: list[np.ndarray], kernels: np.ndarray, labels: list[str]) -> Model:
+    """Nyström kernel ridge regression from the landmarks' n-grams and each training text's kernels with them."""
+    langs, at = np.unique(np.array(labels, dtype=object).astype(str), return_inverse=True)
+    y = np.where(at[:, None] == np.arange(len(langs)), 1.0, -1.0)
+    vocabulary = np.unique(np.concatenate(marks))
+    land = matrix(marks, vocabulary)
+    values, vectors = np.linalg.eigh((land @ land.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    z = np.hstack([k_nm @ root, np.ones((len(sets), 1))])
+    z = np.hstack([kernels @ root, np.ones((len(labels), 1))])
     # each language weighs the same, however many texts it has
-    share = np.array([1 / labels.count(lab) for lab in labels]) * len(labels) / len(langs)
+    share = 1 / np.bincount(at)[at] * len(labels) / len(langs)
     left = z.T @ (z * share[:, None]) + RIDGE * np.eye(z.shape[1])
     beta = np.linalg.solve(left, z.T @ (y * share[:, None]))
     alpha = root @ beta[:-1]
-    return Model(langs, vocabulary, (land.T @ alpha.astype(np.float32)).astype(np.float32), beta[-1])
+    return Model(langs.tolist(), vocabulary, (land.T @ alpha.astype(np.float32)).astype(np.float32), beta[-1])
 
 
 def held_out(doc_id):
@@ -123,37 +127,46 @@ def train(docs: DataFrame) -> Model | None:
     able = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_TRAIN).collect()
     if not counts:
         return None
     each = max(1, MAX_TRAIN // len(counts))
     # a threshold on a uniform hash lets through a few more than wanted; the rest falls to the exact cut below
     upto = {r["lang"]: min(1.0, (1.2 * each + 40) / r["count"]) for r in counts}
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     limit = F.create_map(*[F.lit(x) for kv in upto.items() for x in kv])[F.col("lang")]
-    picked = able.withColumn("h", h).where(F.col("h") < limit)
+    picked = able.withColumn("h", h).where((F.col("h") < limit) & F.col("text").rlike(r"\p{L}"))
+    # rows that repeat each other are picked together: they count once
+    picked = picked.groupBy("lang", "h", "doc_id").agg(F.max("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = materialize(picked.withColumn("nth", nth).where(F.col("nth") <= each), "language-sample")
+    rows = picked.select("lang", "h", "doc_id", (F.length("text") > LANDMARK_CHARS).alias("long")).collect()  # MAX_TRAIN at most
+    rows.sort(key=lambda r: (r["lang"], r["h"], r["doc_id"]))
+    if not rows:
+        return None
+    labels = [r["lang"] for r in rows]
+    chosen = landmarks(labels, [r["long"] for r in rows])
+    keys = picked.sparkSession.createDataFrame([(rows[i]["lang"], rows[i]["h"], rows[i]["doc_id"]) for i in chosen], "lang string, h double, doc_id bigint")
+    texts = picked.join(F.broadcast(keys), ["lang", "h", "doc_id"], "left_semi").select("lang", "h", "doc_id", "text").collect()
+    texts.sort(key=lambda r: (r["lang"], r["h"], r["doc_id"]))
+    marks = [presence(r["text"]) for r in texts]
+    vocabulary = np.unique(np.concatenate(marks))
 
     def make():
+        land = matrix(marks, vocabulary)
+
         def step(columns: list[list]) -> list[list]:
-            bins = [
-                np.flatnonzero(presence(t)).astype(np.int32).tobytes() if has_letter(t) else None for t in columns[3]
-            ]
-            return [columns[0], columns[1], columns[2], bins]
+            made = [(matrix([presence(t)], vocabulary) @ land.T)[0].astype(float).tolist() for t in columns[3]]
+            return [columns[0], columns[1], columns[2], made]
 
         return step
 
-    rows = arrow_map(
-        picked, [F.col("lang"), F.col("h"), F.col("doc_id"), F.col("text")], "lang string, h double, doc_id bigint, bins binary", make
-    ).where("bins is not null")
-    got = sorted(rows.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"], bytes(r["bins"])))
-    seen: dict[str, int] = {}
-    sets, labels = [], []
-    for r in got:
-        if seen.setdefault(r["lang"], 0) < each:
-            seen[r["lang"]] += 1
-            sets.append(np.frombuffer(bytes(r["bins"]), np.int32))
-            labels.append(r["lang"])
-    return fit(sets, labels) if sets else None
+    spread = picked.repartition(min(64, max(1, len(rows) // 32)), "doc_id")
+    got = arrow_map(
+        spread, [F.col("lang"), F.col("h"), F.col("doc_id"), F.col("text")], "lang string, h double, doc_id bigint, k array<double>", make
+    ).collect()
+    got.sort(key=lambda r: (r["lang"], r["h"], r["doc_id"]))
+    return fit(marks, np.array([r["k"] for r in got]), [r["lang"] for r in got])
 
 
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"

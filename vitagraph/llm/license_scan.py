@@ -7,13 +7,17 @@ The kept runs form an inverted index (hash to template and place), which is boun
 templates and sent along with the code.  All runs of every text are looked up in it; each
 hit proposes a template and a diagonal (place in the text minus place in the template).
 Hits on nearby diagonals are merged, and the words around them are aligned with the
-template in a band of ``BAND`` words to either side.  A match is complete when the aligned
+template in a band of ``BAND`` words to either side of all of them.  Of equally good alignments
+the one closest to these diagonals counts, so that neighbouring copies keep their own words.  A match is complete when the aligned
 equal words cover at least ``MIN_COVERAGE`` of the template.  Where the whole template does
 not match so well, the passages that do are matches too, partial ones: neighbouring hits (at
 most ``GAP`` words apart) are aligned by themselves, and a passage counts from
 ``K + WINDOW - 1`` equal words, which winnowing is sure to find.  Coverage is always of the
 whole template.
 
+Licences of one family differ in few words.  A match that lacks a name or version number of its
+template, or has a word such as "Lesser" between its own, is of another licence and is dropped.
+
 Short licences stand here as their opening and as their whole text ("... text"); Apache-2.0,
 GPL-3.0, MPL-2.0 and the CC ones only as the notices that they ask files to bear.
 
@@ -29,6 +33,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,6 +47,11 @@ WINDOW = 3
 BAND = 6
 MIN_COVERAGE = 0.8
 GAP = 16
+#: Words that tell licences of a family apart: names, and what follows these words if it is a number.
+NAMES = (b"mit", b"apache", b"gnu", b"mozilla", b"attribution", b"attribution-sharealike")
+BEFORE_VERSION = (b"version", b"v", b"attribution", b"attribution-sharealike")
+#: Words that, within a notice, make it another licence's.
+OTHERS = (b"lesser", b"library", b"affero", b"noncommercial", b"noderivatives", b"sharealike")
 STRIP = b".,;:!?\"'()[]{}<>*#/-_&%$|"
 
 _AS_IS = ' THE SOFTWARE IS PROVIDED "AS IS"'
@@ -141,27 +151,39 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
     return np.unique(len(hashes) - 1 - picks)
 
 
-def align(text: np.ndarray, template: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Most equal words in order, with text places near template place + shift.
+def align(text: np.ndarray, template: np.ndarray, shift: int, upto: int | None = None) -> tuple[int, list[tuple[int, int]]]:
+    """Most equal words in order, with text places near template place + ``shift`` (to ``upto``).
 
-    Returns (equal words, first and last text place of them).  Plain dynamic programming
-    over the band; each cell holds (equal, -first, last) of its best path.
+    Returns their number and their (template, text) places.  Plain dynamic programming over the
+    band; a cell holds (equal words, less how far off the first and the last of them are).
     """
-    none = (0, 0, -1)
-    width = 2 * BAND + 1
-    above = [none] * (width + 1)
+    upto = shift if upto is None else upto
+    middle, none = (shift + upto) // 2, (0, 0, 0)
+    low, width = shift - BAND, upto - shift + 2 * BAND + 1
+    table = [[none] * (width + 1)]
     for i in range(len(template)):
-        row = [none] * (width + 1)
+        above, row = table[-1], [none] * (width + 1)
         for c in range(width):
-            j = i + shift - BAND + c
+            j = i + low + c
             best = max(above[c + 1], row[c - 1] if c else none)  # skip the template word, or the text word
             if 0 <= j < len(text) and text[j] == template[i]:
+                off = -abs(j - i - middle)
                 n, first, _ = above[c]
-                best = max(best, (n + 1, first if n else -j, j))
+                best = max(best, (n + 1, first if n else off, off))
             row[c] = best
-        above = row
-    n, first, last = max(above)
-    return n, -first, last
+        table.append(row)
+    best = max(table[-1])
+    c, path = table[-1].index(best), []
+    for i in range(len(template) - 1, -1, -1):
+        while c and table[i + 1][c] == table[i + 1][c - 1] and table[i + 1][c] != table[i][c + 1]:
+            c -= 1
+        if table[i + 1][c][0] == 0:
+            break
+        if table[i + 1][c] == table[i][c + 1]:
+            c += 1  # the same place in the text, one template word before
+        else:
+            path.append((i, i + low + c))
+    return best[0], path[::-1]
 
 
 class Index:
@@ -171,6 +193,13 @@ class Index:
         self.words = WordHashes(normal)
         self.names = list(templates)
         self.seqs = [self.words.of(t.encode().lower().split()) for t in templates.values()]
+        must = {self.words[w] for w in NAMES}
+        before = {self.words[w] for w in BEFORE_VERSION}
+        self.others = [{self.words[w] for w in OTHERS} - set(q.tolist()) for q in self.seqs]
+        self.must = []
+        for text, q in zip(templates.values(), self.seqs, strict=True):
+            words = [normal(w) for w in text.encode().lower().split()]
+            self.must.append({i for i, h in enumerate(q.tolist()) if h in must or (i and int(q[i - 1]) in before and words[i][:1].isdigit())})
         entries = [(int(h[p]), t, int(p)) for t, s in enumerate(self.seqs) for h in [runs(s, K)] for p in winnow(h)]
         entries.sort()
         self.keys = np.array([e[0] for e in entries], np.uint64)
@@ -178,9 +207,20 @@ class Index:
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.keys >> np.uint64(48)).astype(int)] = True
 
-    def passages(self, seq: np.ndarray, template: np.ndarray, seeds: list[tuple[int, int]]):
-        """(equal words, first and last text place) of each run of neighbouring hits (template place, shift)."""
-        at = 0
+    def another(self, seq: np.ndarray, t: int, path: list[tuple[int, int]]) -> bool:
+        """Whether what differs between the matched words, or right beside them, tells of another licence."""
+        (low, first), (high, last) = path[0], path[-1]
+        lacking = self.must[t] - {i for i, _ in path}
+        beside = {low - 1} if first else set()
+        beside |= {high + 1} if last + 1 < len(seq) else set()
+        if any(low <= i <= high or i in beside for i in lacking):
+            return True
+        own = {j for _, j in path}
+        return any(j not in own and int(seq[j]) in self.others[t] for j in range(first, last + 1))
+
+    def passages(self, seq: np.ndarray, t: int, seeds: list[tuple[int, int]]):
+        """Matched places of each run of neighbouring hits (template place, shift)."""
+        at, template = 0, self.seqs[t]
         while at < len(seeds):
             end, far = at + 1, {seeds[at][1]}
             while end < len(seeds) and seeds[end][0] - seeds[end - 1][0] <= GAP:
@@ -192,9 +232,9 @@ class Index:
                 low -= 1
             while high < len(template) and high + last < len(seq) and template[high] == seq[high + last]:
                 high += 1
-            n, a, b = align(seq, template[low:high], (min(far) + max(far)) // 2 + low)
+            n, path = align(seq, template[low:high], min(far) + low, max(far) + low)
             if n >= K + WINDOW - 1:
-                yield n, a, b
+                yield [(i + low, j) for i, j in path]
             at = end
 
     def matches(self, text: str | None, partial: bool = False) -> list[tuple[str, int, int, float, int]]:
@@ -224,20 +264,24 @@ class Index:
                 else:
                     groups.append([shift])
             for group in groups:
-                n, a, b = align(seq, template, group[0])
+                n, path = align(seq, template, group[0], group[-1])
                 if n >= MIN_COVERAGE * len(template):
-                    found.append((-n / len(template), a, b, n, t))
+                    paths = [path]
                 elif partial:
-                    seeds = sorted((p, shift) for shift in group for p in shifts[shift])
-                    found += [(-n / len(template), a, b, n, t) for n, a, b in self.passages(seq, template, seeds)]
+                    paths = self.passages(seq, t, sorted((p, shift) for shift in group for p in shifts[shift]))
+                else:
+                    continue
+                found += [(-len(p) / len(template), p[0][1], p[-1][1], len(p), t) for p in paths if not self.another(seq, t, p)]
         if not found:
             return []
         spans = [m.span() for m in re.finditer(WORD, text)]
         taken: dict[int, list[tuple[int, int]]] = {}
         out = []
         for cover, a, b, n, t in sorted(found):
-            if all(b < x or a > y for x, y in taken.setdefault(t, [])):
-                taken[t].append((a, b))
+            own = taken.setdefault(t, [])  # disjoint, in order
+            at = bisect_right(own, (b, len(seq)))
+            if not at or own[at - 1][1] < a:
+                own.insert(at, (a, b))
                 out.append((self.names[t], spans[a][0], spans[b][1], -cover, n))
         return sorted(out, key=lambda m: (m[1], m[2], m[0]))
 

@@ -31,22 +31,20 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan in training order: by first position, documents that aren't taken last."""
     plan = curriculum_mix.plan(read(spark, sf_dir, "documents"))
-    return plan.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        "taken",
-        F.round(F.array_min("positions"), 9).alias("first_position"),
-    )
+    first = F.round(F.array_min("positions"), 9)
+    rows = plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
+    order = F.col("first_position").asc_nulls_last()
+    # documents that aren't taken have no position: their ids keep them from one range
+    return rows.repartitionByRange(order, "doc_id").sortWithinPartitions(order, "doc_id")
 
 
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS h
   FROM documents),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
 r AS (SELECT *, row_number() OVER (ORDER BY encode(src) NULLS LAST) AS rk FROM s),
@@ -61,7 +59,7 @@ t AS (SELECT src, source_size, rk,
              ELSE ((total - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER ()) * w)::DOUBLE
                   / (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::DOUBLE END AS target
       FROM k),
-o AS (SELECT d.*, (sum(size) OVER (PARTITION BY src ORDER BY h, doc_id, size
+o AS (SELECT d.*, (sum(size) OVER (PARTITION BY src ORDER BY h
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start FROM d),
 p AS (SELECT o.doc_id, o.size, t.source_size, t.target, o.start, -0.5 + 0.5 * ((t.rk - 1) % 3) AS tilt,
         CASE WHEN o.size = 0 THEN 0 ELSE greatest(0, least(3,

@@ -8,7 +8,8 @@ distinct repositories, and the verdict on a value goes back to each place where
 Three base kinds (assign, access, hex) are reported wherever they occur.  The further
 kinds (provider tokens, private keys, passwords in URLs, mixed-case random identifiers)
 are reported only where the value looks live: shown by at most ``MAX_OWNERS`` owners and
-at most ``MAX_REPOS`` repositories, as one owner may hold a large part of the corpus.
+at most ``MAX_REPOS`` repositories, as one owner may hold a large part of the corpus, and
+no stand-in by its own looks (``changeme``, ``xxxxxxxx``, ``your_token_here``).
 
 A private key's span is its whole block, from BEGIN to END, and its value is the body's
 key characters, so that re-wrapped, quoted or escaped copies count as one value.  A block
@@ -29,11 +30,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize
+from .common import arrow_map, materialize, scoped, ship
 
 ASSIGN = re.compile(
     r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,6 +58,14 @@ MAX_OWNERS = 2
 #: So is one of more repositories than this, whoever owns them: a secret may stand in many files of
 #: its owner, but seldom in so many.
 MAX_REPOS = 50
+#: What stands for a secret in examples: such words within a value, or fewer different characters than this.
+STAND_IN = re.compile(r"(?ai:change_?me|example|placeholder|dummy|sample|redacted|your[_.-]|_here\b|insert[_.-]|xxxx|\*{4}|\.\.\.)")
+FEW = 4
+
+
+def looks_live(value: str) -> bool:
+    """Whether a value may be a real one, by its own looks."""
+    return len(set(value)) >= FEW and not STAND_IN.search(value)
 
 
 def find(text: str) -> list[tuple[int, int, int, str]]:
@@ -73,15 +83,43 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
         else:
             new = [(m.start(), k, m.end(), m[0]) for m in pattern.finditer(text)]
         if kind == "random" and out:  # what another kind explains is not reported again
-            new = [x for x in new if not any(x[0] < b and a < x[2] for a, _, b, _ in out)]
+            new = _apart(new, out)
         out += new
     out.sort()
     return out
 
 
+def _apart(new: list[tuple], others: list[tuple]) -> list[tuple]:
+    """The spans of ``new`` that overlap none of ``others``."""
+    ends: list[int] = []  # of the others' union, as disjoint spans in order
+    starts: list[int] = []
+    for a, _, b, _ in sorted(others):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for x in new:
+        at = bisect_left(starts, x[2]) - 1  # the last one that starts before x ends
+        if at < 0 or ends[at] <= x[0]:
+            out.append(x)
+    return out
+
+
+def cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with spans (start, end), in order of start, replaced; overlapping ones go together."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 CANDIDATES = (
     "doc_id bigint, owner string, repo string, txt string, n_assign bigint, n_access bigint, n_hex bigint, base string,"
-    " found array<struct<start:int,kind:int,end:int,value:string>>"
+    " found array<struct<start:int,kind:int,end:int,value:string,look:boolean>>"
 )
 
 
@@ -98,7 +136,7 @@ def candidates(docs: DataFrame, owner: str = "source", repo: str = "doc_id", key
                 out[7].append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans if k < BASE))
                 out[8].append(
                     [
-                        {"start": a, "kind": k, "end": b, "value": hashlib.blake2b(v.encode(), digest_size=16).hexdigest()}
+                        {"start": a, "kind": k, "end": b, "value": hashlib.blake2b(v.encode(), digest_size=16).hexdigest(), "look": looks_live(v)}
                         for a, k, b, v in spans
                     ]
                 )
@@ -132,8 +170,8 @@ def ownership(cands: DataFrame) -> DataFrame:
     return owners.join(repos, "value")
 
 
-def _live(owners: Column, repos: Column) -> Column:
-    return (owners <= MAX_OWNERS) & (repos <= MAX_REPOS)
+def _live(owners: Column, repos: Column, look: Column) -> Column:
+    return (owners <= MAX_OWNERS) & (repos <= MAX_REPOS) & look
 
 
 def _span(s: Column) -> Column:
@@ -142,14 +180,14 @@ def _span(s: Column) -> Column:
 
 def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFrame:
     """doc_id, txt, base counts, ``base`` (listed base spans) and ``all`` reported spans as an array of
-    structs (start, kind, end, value, owners, repos), in order."""
+    structs (start, kind, end, value, look, owners, repos), in order."""
     cands = materialize(candidates(docs, owner, repo), "secret-candidates")
     # spans depend on the text alone: verdicts are worked out once for each distinct text
     texts = cands.where(F.size("found") > 0).groupBy("txt").agg(F.first("found").alias("found"))
     each = texts.select("txt", F.explode("found").alias("f")).select("txt", "f.*")
-    judged = each.join(ownership(cands), "value").where((F.col("kind") < BASE) | _live(F.col("owners"), F.col("repos")))
+    judged = each.join(ownership(cands), "value").where((F.col("kind") < BASE) | _live(F.col("owners"), F.col("repos"), F.col("look")))
     spans = judged.groupBy("txt").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repos"))).alias("all")
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "look", "owners", "repos"))).alias("all")
     )
     kind = spans.schema["all"].dataType.simpleString()
     with_any = cands.where(F.size("found") > 0).join(spans, "txt", "left")
@@ -158,9 +196,10 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFr
     return both.withColumn("all", F.coalesce("all", F.array().cast(kind))).drop("found")
 
 
+@scoped("secret-digests")
 def digest(docs: DataFrame) -> DataFrame:
     """The result columns: counts, digest of base spans, all spans, and how many look live or copied."""
-    live = lambda s: _live(s["owners"], s["repos"])
+    live = lambda s: _live(s["owners"], s["repos"], s["look"])
     return scan(docs).select(
         "doc_id",
         "n_assign",
@@ -180,27 +219,32 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     names = docs.columns
     found = scan(docs)
-    live = F.filter("all", lambda s: _live(s["owners"], s["repos"]))
+    live = F.filter("all", lambda s: _live(s["owners"], s["repos"], s["look"]))
     marks = found.select("txt", F.transform(live, lambda s: F.struct(s["start"], s["end"])).alias("cut"))
     marks = marks.where(F.size("cut") > 0).groupBy("txt").agg(F.first("cut").alias("cut"))
-    # [start, end) in order; a span that begins within the text already cut only extends the cut
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    folded = F.aggregate(
-        "_cut",
-        start,
-        lambda acc, s: F.when(s["start"] >= acc["pos"], F.struct(
-            F.concat(acc["out"], F.col("_text").substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark)).alias("out"),
-            s["end"].alias("pos"),
-        )).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["pos"], s["end"]).alias("pos"))),
-        lambda acc: F.concat(acc["out"], F.col("_text").substr(acc["pos"] + 1, F.length("_text") - acc["pos"])),
-    )
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.md5("text").alias("_txt"))
     hit = row.join(marks.select(F.col("txt").alias("_key"), F.col("cut").alias("_cut")), F.col("_txt") == F.col("_key"), "left")
-    hit = hit.select("_row", "_cut", F.col("_row.text").alias("_text"))
-    text = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(folded)
-    out = hit.select("_row", text.alias("_new"))
-    pick = {
-        "text": F.col("_new"),
-        "n_chars": F.when(F.col("_row.text").isNull() | (F.col("_new") == F.col("_row.text")), F.col("_row").getField("n_chars")).otherwise(F.length("_new").cast("long")) if "n_chars" in names else None,
-    }
-    return out.select(*[(pick[c] if c in pick else F.col("_row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in names])
+    at, schema = names.index("text"), docs.schema
+
+    def step(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cuts = batch.column(len(names)).to_pylist()
+            hits = [k for k, c in enumerate(cuts) if c]
+            columns = batch.columns[: len(names)]
+            if hits:
+                texts = columns[at].to_pylist()
+                for k in hits:
+                    texts[k] = cut(texts[k], [(c["start"], c["end"]) for c in cuts[k]], mark)
+                columns[at] = pa.array(texts, type=columns[at].type)
+                if "n_chars" in names:
+                    n = columns[names.index("n_chars")]
+                    sizes = n.to_pylist()
+                    for k in hits:
+                        sizes[k] = len(texts[k])
+                    columns[names.index("n_chars")] = pa.array(sizes, type=n.type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    ship(docs.sparkSession)
+    return hit.select(*[F.col("_row").getField(c).alias(c) for c in names], "_cut").mapInArrow(step, schema)

@@ -15,7 +15,7 @@ Edge cases: a null or wordless text has probability 0 in every category and is n
 documents without a label are scored like all others; labels that are null are not
 learned from, and of several labels of one document the greatest counts; without both
 classes in a category its probability is the share of the positive class; repeated rows
-are scored alike; only the named columns are read; an empty table gives an empty result.
+are scored alike, and of several texts of one labelled id the greatest is learned from; only the named columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -144,6 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) ->
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id")  # at most MAX_TRAIN rows of a few numbers
+    # one text for each id, however many rows bear it: no more than MAX_TRAIN reach the driver
+    rows = rows.groupBy("doc_id", *names).agg(F.max("text").alias("text"))
 
     def make():
         known = Bins()
@@ -157,9 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) ->
     got = arrow_map(rows, [F.col("doc_id"), F.col("text"), *map(F.col, names)], schema, make).collect()
     if not got:
         return None
-    first = {r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], bytes(r["bins"])))}  # a doc_id counts once
+    rows_ = sorted(got, key=lambda r: r["doc_id"])
     del got
-    rows_ = [first[k] for k in sorted(first)]
     sets = [np.frombuffer(r["bins"], np.int32) for r in rows_]  # no copy: the rows stay
     y = np.array([[r[n] for n in names] for r in rows_], float)
     folds = np.array([zlib.crc32(str(r["doc_id"]).encode()) % FOLDS for r in rows_])

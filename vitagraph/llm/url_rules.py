@@ -6,6 +6,10 @@ them, and FP-growth mines which combinations of URL tokens go with a label.  Rul
 hold often enough (support) and reliably enough (confidence), and that say more than each
 shorter rule inside them, judge the other URLs.
 
+Tokens that stand in exactly the same labelled URLs (the parts of one site's template, say) say
+the same; each such class is one item, so that they don't multiply into itemsets.  Mined rules
+have at most ``max_tokens`` classes.
+
 Matching is by inverted index: a rule stands under the rarest of its tokens only, a URL
 meets it there by an equi-join, and the other tokens are then looked up in the URL's own.
 A URL takes the verdict of its most confident rule (then the best supported, then block);
@@ -20,12 +24,13 @@ FP-growth only.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scoped
 
 #: (verdict, host, path)
 RULES = (
@@ -96,6 +101,17 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(url.contains("://"), F.array_distinct(made)).otherwise(none)
 
 
+def same_tokens(rows: DataFrame) -> DataFrame:
+    """tok, item: the class of each token of the labelled rows (row_id, toks), named by its least token.
+
+    Tokens of a class have the same number of rows and the same sum of the rows' hashes.
+    """
+    each = rows.select(F.explode("toks").alias("tok"), F.xxhash64("row_id").cast("decimal(38,0)").alias("h"))
+    marks = each.groupBy("tok").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
+    least = marks.groupBy(F.col("n").alias("_n"), F.col("h").alias("_h")).agg(F.min("tok").alias("item"))
+    return marks.join(least, (F.col("n") == F.col("_n")) & (F.col("h") == F.col("_h"))).select("tok", "item")
+
+
 def mine(labelled: DataFrame, how: Mining) -> DataFrame:
     """Rules (antecedent array<string>, verdict, confidence, support) from rows (toks, verdict)."""
     from pyspark.ml.fpm import FPGrowth
@@ -131,6 +147,7 @@ def mine(labelled: DataFrame, how: Mining) -> DataFrame:
     return rules.join(weaker.distinct(), ["antecedent", "verdict"], "left_anti")
 
 
+@scoped("url-judged")
 def judge(pages: DataFrame, rules=RULES, how: Mining = Mining()) -> DataFrame:
     """page_id, host, path, rule, verdict, mined (antecedent of the mined rule that decided, if any)."""
     url = F.col("url")
@@ -139,8 +156,9 @@ def judge(pages: DataFrame, rules=RULES, how: Mining = Mining()) -> DataFrame:
     rows = rows.withColumn("host", host).withColumn("path", path)
     rows = rows.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("toks", tokens(url, F.col("host"), F.col("path")))
-    rows = materialize(rows.select("page_id", "host", "path", "fixed", "toks"), "url-rows")
-    labelled = rows.where("fixed is not null").select("toks", F.col("fixed.verdict").alias("verdict"))
+    rows = rows.select("page_id", "host", "path", "fixed", "toks", F.xxhash64("url").alias("row_id"))
+    rows = materialize(rows, "url-rows")
+    labelled = rows.where("fixed is not null").select("toks", F.col("fixed.verdict").alias("verdict"), "row_id")
     counts = {r["verdict"]: r["count"] for r in labelled.groupBy("verdict").count().collect()}
     default = "block" if counts.get("block", 0) > counts.get("allow", 0) else "allow"
     done = rows.where("fixed is not null").select(
@@ -149,20 +167,34 @@ def judge(pages: DataFrame, rules=RULES, how: Mining = Mining()) -> DataFrame:
     # the same tokens get the same verdict: each distinct set is matched once
     open_rows = rows.where("fixed is null")
     if counts:
-        mined = materialize(mine(labelled, how), "url-mined")
-        sets = open_rows.select("toks").distinct()
+        # only tokens that are frequent enough can be in a rule: a bounded number (see Mining)
+        frequent = labelled.select(F.explode("toks").alias("tok")).groupBy("tok").count()
+        frequent = frequent.where(F.col("count") >= math.floor(how.min_support * sum(counts.values()))).select("tok")
+        items = materialize(same_tokens(labelled).join(frequent, "tok", "left_semi"), "url-items")
+
+        def itemized(sets: DataFrame) -> DataFrame:
+            """Adds to distinct token sets ``items``: the classes of their frequent tokens."""
+            named = sets.select("toks", F.explode("toks").alias("tok")).join(F.broadcast(items), "tok")
+            return named.groupBy("toks").agg(F.collect_set("item").alias("items"))
+
+        # each distinct set of tokens once: baskets are as many as the URLs, but their sets few
+        seen = itemized(labelled.select("toks").distinct()).withColumnRenamed("toks", "_toks")
+        items_of = F.coalesce("items", F.array().cast("array<string>"))
+        baskets = labelled.join(seen, F.col("toks") == F.col("_toks"), "left").select(items_of.alias("toks"), "verdict")
+        mined = materialize(mine(baskets, how), "url-mined")
+        sets = itemized(open_rows.select("toks").distinct())
         # how often each token stands in the rules: a rule is filed under its rarest one
         filed = mined.withColumn("rule_id", F.xxhash64("antecedent", "verdict"))
         single = filed.select("rule_id", F.explode("antecedent").alias("tok"))
-        rarity = labelled.select(F.explode("toks").alias("tok")).groupBy("tok").count()
+        rarity = baskets.select(F.explode("toks").alias("tok")).groupBy("tok").count()
         rarest = single.join(rarity, "tok").groupBy("rule_id").agg(F.min_by("tok", F.struct("count", "tok")).alias("tok"))
         index = filed.join(rarest, "rule_id").select("tok", "antecedent", "verdict", "confidence", "support")
         if mined.count() <= how.broadcast_rules:
             index = F.broadcast(index)
         hits = (
-            sets.select("toks", F.explode("toks").alias("tok"))
+            sets.select("toks", "items", F.explode("items").alias("tok"))
             .join(index, "tok")
-            .where(F.size(F.array_except("antecedent", "toks")) == 0)
+            .where(F.size(F.array_except("antecedent", "items")) == 0)
         )
         best = hits.groupBy("toks").agg(
             F.max_by(
