@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +30,31 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; set by the cluster, or here when it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors see: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a session whose executors are threads of the driver gets a folder of its
+    own; on a cluster there is no folder to guess, and it is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = "file:///tmp/checkpoints/vitagraph"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp()}")
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
+class _Scopes(threading.local):
+    """Written tables of the scopes that are open in this thread, innermost last."""
+
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
+
+
+_scopes = _Scopes()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -44,4 +64,48 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    for scope in _scopes.open[-1:]:
+        scope.append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of past jobs.
+
+    Spark drops these once the JVM's garbage collector has seen that no plan refers to them.
+    """
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for scope in _scopes.open:
+            scope[:] = [t for t in scope if t is not table]
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def scoped(label: str) -> Callable:
+    """For a function that returns a table: its result is written, and all that it wrote before is deleted."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(f)
+        def run(*args, **kwargs) -> DataFrame:
+            _scopes.open.append([])
+            try:
+                made = f(*args, **kwargs)
+                # the result belongs to the scope outside, if there is one
+                inner = _scopes.open.pop()
+            except BaseException:
+                discard(*_scopes.open.pop())
+                raise
+            out = materialize(made, label)
+            del made
+            discard(*inner)
+            return out
+
+        return run
+
+    return wrap
