@@ -444,3 +444,30 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
     want = sorted((i, len(codec.encode(clean[i])), sha(clean[i])) for i in keep for _ in range(times[i]))
     got = sorted((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in P.run(spark, str(tmp_path)).collect())
     assert got == want and len(P.STAGES) == 5
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Extra columns with clashing names, nulls in every column, repeated rows, empty tables."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as P
+
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    texts = [t for _ in range(4) for t in family(rng, vocabulary, 90, 3, 2)] + AWKWARD
+    df = nullified(docs(spark, texts))
+    df = df.unionByName(df.limit(4)).unionByName(df.limit(1).selectExpr(*[f"'other' AS {c}" if c == "lang" else c for c in df.columns]))
+    ids = {}
+    for name, stage in P.STAGES:
+        out = stage(spark, df, "")
+        assert stage(spark, df.limit(0), "").count() == 0
+        if name != P.STAGES[-1][0]:
+            assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+        ids[name] = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.select("doc_id").collect())
+    every = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.select("doc_id").collect())
+    assert ids["secret scans"] == ids["SentencePiece encoding and decoding"] == every
+    copies = plain_join(list(range(len(texts))), texts, 5, 80)
+    want = {(False, c) for _, _, c in copies} | {(True, 0)}
+    assert ids["n-gram Jaccard join"] == sorted(want)
+    assert P.near_copies(spark, df, "").where("doc_id = 0").collect() == P.near_copies(spark, df.repartition(7), "").where("doc_id = 0").collect()
+    good = {i for i, t in enumerate(texts) if len((t or "").split()) >= 50 and i < 12}
+    assert good <= {i for _, i in ids["quality rules"]}
