@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -69,15 +70,63 @@ def ascii_hash(text: Column) -> Column:
     )
 
 
-def sparse_vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, bucket, weight: token counts folded into DIMENSION buckets, rows scaled to length 1.
+class WordBuckets(dict):
+    """A lower-case ASCII word to the buckets of its tokens: the word and the 3-grams of ``#word#``; bounded."""
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= 100_000:
+            self.clear()
+        padded = f"#{word}#"
+        made = []
+        for token in (word, *(padded[i : i + 3] for i in range(len(word)))):
+            h = 2166136261
+            for c in token.encode():
+                h = (h ^ c) * 16777619 & 0xFFFFFFFF
+            made.append(h % DIMENSION)
+        self[word] = made
+        return made
+
+
+def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, bucket, tf, norm2: token counts of each row folded into DIMENSION buckets, and their squares' sum.
 
-    Each distinct token of a row is hashed once, with its count; texts without tokens have no rows.
+    One pass over the texts, without a shuffle; a text without tokens has no rows.
     """
-    each = df.select(*keys, F.explode(tokens(F.col(text))).alias("tok")).groupBy(*keys, "tok").count()
-    counts = each.groupBy(*keys, (ascii_hash(F.col("tok")) % DIMENSION).cast("int").alias("bucket")).agg(F.sum("count").alias("tf"))
-    norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return counts.join(norms, keys).select(*keys, "bucket", (F.col("tf") / F.col("norm")).alias("weight"))
+    import numpy as np
+    import pyarrow as pa
+
+    from ..runtime import ship
+
+    ship(df.sparkSession)
+    rows = df.select(*keys, F.lower(F.col(text).cast("string")).alias("_text"))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
+
+    def run(batches):
+        known, words = WordBuckets(), re.compile("[a-z0-9]+")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                take, bucket, tf, norm = [], [], [], []
+                for k, t in enumerate(part.column(len(keys)).to_pylist()):
+                    found = [b for w in words.findall(t or "") for b in known[w]]
+                    if found:
+                        n = np.bincount(found, minlength=DIMENSION)
+                        here = np.flatnonzero(n)
+                        take.append(np.full(len(here), k))
+                        bucket.append(here)
+                        tf.append(n[here])
+                        norm.append(np.full(len(here), int((n * n).sum())))
+                if take:
+                    own = part.select(keys).take(pa.array(np.concatenate(take)))
+                    made = [pa.array(np.concatenate(v), t) for v, t in ((bucket, pa.int32()), (tf, pa.int64()), (norm, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*keys, "bucket", "tf", "norm2"])
+
+    return rows.mapInArrow(run, f"{kinds}, bucket int, tf bigint, norm2 bigint")
+
+
+def sparse_vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, bucket, weight: token counts folded into DIMENSION buckets, rows scaled to length 1."""
+    return term_counts(df, keys, text).select(*keys, "bucket", (F.col("tf") / F.sqrt("norm2")).alias("weight"))
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -286,6 +335,7 @@ def html_to_text(html: Column) -> Column:
     return strip_tags(bare)
 
 
+# Fixed patterns of errata and of records that are parts of an article.
 def is_erratum(title: Column, pubtypes: Column) -> Column:
     listed = F.exists(F.coalesce(pubtypes, F.array().cast("array<string>")), lambda p: p.rlike("(?i)erratum|correction|retraction"))
     return listed | F.coalesce(F.trim(title).rlike(r"(?i)^(erratum|correction|author correction|retraction)\b"), F.lit(False))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from .. import schema
 from ..functions import quality
 from ..graph import Graph
+from ..runtime import materialize, scoped
 
 ANSWER = (
     "ord", "claim", "subject", "relationship", "object", "population", "direction", "certainty", "comparator", "sources",
@@ -22,8 +23,8 @@ ANSWER = (
 
 
 def conflicted_claims(relation: DataFrame) -> DataFrame:
-    """Ids of claims on either side of a contradiction."""
-    side = lambda c: relation.select(F.col(c).alias("conflict_id"))
+    """Ids of claims on either side of a contradiction; other relations between claims don't count."""
+    side = lambda c: relation.where("type = 'contradicts'").select(F.col(c).alias("conflict_id"))
     return side("subject_claim").union(side("object_claim")).where("conflict_id is not null").distinct()
 
 
@@ -175,7 +176,7 @@ def recommendations(g: Graph, population: str | None = None, issuer: str | None
 
 def conflicts(g: Graph, relation: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of answer rows for each contradiction whose two claims exist."""
-    rel = (g.relation if relation is None else relation).select("ord", "id", "subject_claim", "object_claim")
+    rel = (g.relation if relation is None else relation).where("type = 'contradicts'").select("ord", "id", "type", "subject_claim", "object_claim")
     ids = conflicted_claims(rel)
     rows = answer_rows(g, g.claim.join(ids, F.col("id") == F.col("conflict_id"), "left_semi"))
     side = lambda n: rows.select(F.col("claim").alias(f"_{n}"), F.struct(*ANSWER).alias(n))
@@ -219,6 +220,7 @@ def weak_evidence(g: Graph, topic: str) -> DataFrame:
     return answer_rows(g, g.claim.where((touches(known) & is_weak()) if known else F.lit(False)))
 
 
+@scoped("landscape")
 def evidence_landscape(g: Graph, topic: str) -> DataFrame:
     """One tagged table: kind in direct, weak, indirect, conflicting; answer row a (and b of a pair);
     ``via`` is the mechanism of an indirect claim; ``rank`` orders within a kind."""
@@ -235,22 +237,26 @@ def evidence_landscape(g: Graph, topic: str) -> DataFrame:
     via = other.join(found, "m").groupBy("id").agg(F.min(F.struct("first", "m")).alias("w")).select(
         F.col("id").alias("_via_id"), F.col("w.m").alias("via"), F.col("w.first.ord").alias("v_ord"), F.col("w.first.slot").alias("v_slot")
     )
-    indirect = claims.join(via, F.col("id") == F.col("_via_id"))
-    row = F.struct(*ANSWER)
-    none = F.lit(None).cast(answer_rows(g, g.claim.limit(0)).select(row.alias("r")).schema["r"].dataType)
-    text = F.lit(None).cast("string")
-    rank = lambda *c: F.struct(*[F.coalesce(x, F.lit(0)).cast("long").alias(f"r{i}") for i, x in enumerate(c)]).alias("rank")
-    zero = F.lit(0)
-    rows = answer_rows(g, direct, keep=("status",))
-    d = rows.select(F.lit("direct").alias("kind"), rank(F.col("ord"), zero, zero), text.alias("via"), row.alias("a"), none.alias("b"))
-    w = rows.where(is_weak()).select(F.lit("weak").alias("kind"), rank(F.col("ord"), zero, zero), text.alias("via"), row.alias("a"), none.alias("b"))
-    i = answer_rows(g, indirect, keep=("via", "v_ord", "v_slot")).select(
-        F.lit("indirect").alias("kind"), rank(F.col("v_ord"), F.col("v_slot"), F.col("ord")), "via", row.alias("a"), none.alias("b")
-    )
     ids = direct.select(F.col("id").alias("_d"))
-    rel = g.relation.join(ids, (F.col("subject_claim") == F.col("_d")) | (F.col("object_claim") == F.col("_d")), "left_semi")
-    c = conflicts(g, rel).select(F.lit("conflicting").alias("kind"), rank(F.col("ord"), zero, zero), text.alias("via"), "a", "b")
-    return d.unionByName(w).unionByName(i).unionByName(c)
+    sides = g.relation.where("type = 'contradicts'").select("ord", F.explode(F.array("subject_claim", "object_claim")).alias("side"), "subject_claim", "object_claim")
+    rel = sides.join(ids, F.col("side") == F.col("_d"), "left_semi").select("ord", "subject_claim", "object_claim").distinct()
+    # what each claim is wanted for, then all of these claims are filled in at once
+    text, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    rank = lambda *c: F.struct(*[F.coalesce(x, zero).cast("long").alias(f"r{i}") for i, x in enumerate(c)]).alias("rank")
+    tag = lambda df, kind, id_, via, other, *place: df.select(F.lit(kind).alias("kind"), F.col(id_).alias("_id"), other.alias("_other"), via.alias("via"), rank(*place))
+    tags = tag(direct, "direct", "id", text, text, F.col("ord"), zero, zero)
+    tags = tags.unionByName(tag(direct.where(is_weak()), "weak", "id", text, text, F.col("ord"), zero, zero))
+    found_via = via.join(claims.select("id", "ord"), F.col("id") == F.col("_via_id"))
+    tags = tags.unionByName(tag(found_via, "indirect", "_via_id", F.col("via"), text, F.col("v_ord"), F.col("v_slot"), F.col("ord")))
+    tags = materialize(tags.unionByName(tag(rel, "conflicting", "subject_claim", text, F.col("object_claim"), F.col("ord"), zero, zero)), "landscape-tags")
+    wanted = tags.select(F.col("_id").alias("_w")).union(tags.where("_other is not null").select("_other")).distinct()
+    rows = answer_rows(g, g.claim.join(wanted, F.col("id") == F.col("_w"), "left_semi")).select(F.col("claim").alias("_k"), F.struct(*ANSWER).alias("row"))
+    rows = materialize(rows, "landscape-rows")
+    a = rows.select(F.col("_k").alias("_a"), F.col("row").alias("a"))
+    b = rows.select(F.col("_k").alias("_b"), F.col("row").alias("b"))
+    out = tags.join(a, F.col("_id") == F.col("_a")).join(b, F.col("_other") == F.col("_b"), "left")
+    # a pair counts only if both its claims are there
+    return out.where("_other is null or _b is not null").select("kind", "rank", "via", "a", "b")
 
 
 def landscape_summary(landscape: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import text
 from ..graph import Graph, conform, listed_from
 from .link import existing_claims, resolve_or_create
 from .validate import candidate_errors
+from .writes import placed_after
 
 
 def persist(g: Graph, proposals: DataFrame, resolved: DataFrame, model: str = "model") -> tuple[Graph, DataFrame]:
@@ -46,8 +47,7 @@ def persist(g: Graph, proposals: DataFrame, resolved: DataFrame, model: str = "m
     new = ends.join(found.where("how = 'new'").select(F.col("cand_id").alias("_e"), "node_id"), F.col("cand_id") == F.col("_e"))
     new = new.join(g.node.select(F.col("id").alias("_n")), F.col("node_id") == F.col("_n"), "left_anti")
     new = new.withColumn("_rn", F.row_number().over(Window.partitionBy("node_id").orderBy("cand_id"))).where("_rn = 1")
-    top = g.node.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).first()["m"]
-    node = conform(new.drop("id", "cand_id").withColumnRenamed("node_id", "id").withColumn("ord", F.lit(top + 1) + F.pmod(F.xxhash64("id"), F.lit(1 << 40))), schema.NODE)
+    node = conform(placed_after(g.node, new.drop("id").withColumnRenamed("node_id", "id"), "cand_id"), schema.NODE)
     # the edge: an existing claim, else the one that the first proposal of it makes
     edges = good.select("cand_id", "subject", "object", F.col("relationship").alias("type"), "direction")
     have = existing_claims(edges, g).withColumnRenamed("claim", "old").withColumnRenamed("cand_id", "_h")
@@ -61,11 +61,12 @@ def persist(g: Graph, proposals: DataFrame, resolved: DataFrame, model: str = "m
     good = good.withColumn("again", F.col("_k").isNotNull() | again)
     outcome = F.when(F.col("again"), "reused").when(F.col("old").isNotNull() | (F.col("nth") > 1), "merged").otherwise("created")
     good = good.withColumn("outcome", outcome)
-    ctop = g.claim.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).first()["m"]
     claim = good.where("outcome = 'created'").select(
+        "cand_id",
         F.col("claim").alias("id"), F.col("relationship").alias("type"), "subject", "object", "population", "direction", "certainty",
-        F.lit("unverified").alias("status"), (F.lit(ctop + 1) + F.pmod(F.xxhash64("claim"), F.lit(1 << 40))).alias("ord"),
+        F.lit("unverified").alias("status"),
     )
+    claim = placed_after(g.claim, claim, "cand_id")
     last = g.evidence.groupBy(F.col("claim").alias("_l")).agg(F.max("ev_ord").alias("last"))
     add = good.where("not again").join(last, F.col("claim") == F.col("_l"), "left")
     nth = F.row_number().over(Window.partitionBy("claim").orderBy("cand_id"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from .. import schema
 from ..functions import quality, text
 from ..graph import Graph
+from ..runtime import in_order
 from .answers import conflicted_claims, latest
 
 
@@ -190,7 +191,8 @@ def ask_panel(log: DataFrame, last: int = 50) -> DataFrame:
 def append_log(log: DataFrame, rows: DataFrame) -> DataFrame:
     """The log with rows added; their ids follow the greatest one in order of ``created_at``."""
     top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy("created_at")))  # a batch of new entries
+    tie = [c for c, t in rows.dtypes if c != "created_at" and not t.startswith("map")]
+    numbered = in_order(rows.drop("id"), F.col("created_at"), *map(F.col, [c for c in tie if c != "id"]), name="_n")
     numbered = numbered.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("_n")).drop("top", "_n")
     return log.unionByName(numbered, allowMissingColumns=True)
 

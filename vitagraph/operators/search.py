@@ -34,22 +34,28 @@ def vectors(rows: DataFrame) -> DataFrame:
     return text.sparse_vectors(rows, ["owner_type", "owner_id"], "text")
 
 
-def query_vector(rows: DataFrame, q: str) -> DataFrame:
-    """bucket, q_weight of a query: at most 256 rows."""
-    one = rows.sparkSession.createDataFrame([("q", q)], "key string, text string")
-    return text.sparse_vectors(one, ["key"], "text").select("bucket", F.col("weight").alias("q_weight"))
+def build_index(rows: DataFrame) -> DataFrame:
+    """Term counts of a corpus: owner_type, owner_id, bucket, tf, norm2.  Written once, it serves every query."""
+    return text.term_counts(rows, ["owner_type", "owner_id"], "text")
 
 
 def score(rows: DataFrame, q: str, index: DataFrame | None = None) -> DataFrame:
     """Corpus rows with ``score``, the cosine to the query rounded to 4 places; no overlap scores 0.
 
+    Counts stay whole numbers up to the one division, so a score doesn't depend on the order of sums.
     The query's buckets (at most 256) are broadcast; products are summed by owner, map-side first.
     """
-    index = vectors(rows) if index is None else index
-    hits = index.join(F.broadcast(query_vector(rows, q)), "bucket")
-    dots = hits.groupBy(F.col("owner_type").alias("_t"), F.col("owner_id").alias("_i")).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("dot"))
+    index = build_index(rows) if index is None else index
+    one = rows.sparkSession.createDataFrame([("q", q)], "key string, text string")
+    asked = text.term_counts(one, ["key"], "text").select(F.col("bucket").alias("_b"), F.col("tf").alias("_tf"), F.col("norm2").alias("_n2"))
+    hits = index.join(F.broadcast(asked), F.col("bucket") == F.col("_b"))
+    dots = hits.groupBy(F.col("owner_type").alias("_t"), F.col("owner_id").alias("_i")).agg(
+        F.sum(F.col("tf") * F.col("_tf")).alias("dot"), F.max(F.col("norm2") * F.col("_n2")).alias("n2")
+    )
+    cos = F.col("dot") / F.sqrt("n2")
+    dots = dots.select("_t", "_i", (F.floor(cos * 10000 + 0.5) / 10000).alias("_score"))
     out = rows.join(dots, (F.col("owner_type") == F.col("_t")) & (F.col("owner_id") == F.col("_i")), "left")
-    return out.withColumn("score", F.round(F.coalesce("dot", F.lit(0.0)), 4)).drop("_t", "_i", "dot")
+    return out.withColumn("score", F.coalesce("_score", F.lit(0.0))).drop("_t", "_i", "_score")
 
 
 def search(g: Graph, q: str, k: int = 5, owner: str | None = None, index: DataFrame | None = None) -> DataFrame:
@@ -94,17 +100,67 @@ def upsert_embeddings(table: DataFrame, new: DataFrame) -> DataFrame:
     return table.join(new.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti").unionByName(new)
 
 
+#: Vectors and queries that meet in one task at a time.
+VECTOR_BLOCK, QUERY_BLOCK = 16_384, 2_048
+
+
 def nearest(vectors_: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """q_id, vec_id, cos, rk: the k nearest of ``vectors_`` (vec_id, v) to each of a few queries (q_id, q).
+    """q_id, vec_id, cos, rk: the k nearest of ``vectors_`` (vec_id, v) to each query (q_id, q), itself left out.
 
-    The stated queries are broadcast against all vectors; each task keeps k by query before the shuffle.
+    Both sides are dealt into blocks, and each block of queries meets each block of vectors in a
+    matrix product; a block keeps k by query (and what may round to the same cosine) before the
+    shuffle.  Vectors of another length than the query's don't meet it; zero vectors have cosine 0.
     """
     from pyspark.sql.window import Window
 
-    scored = vectors_.crossJoin(F.broadcast(queries)).where("vec_id <> q_id")
-    scored = scored.select("q_id", "vec_id", F.round(text.cosine(F.col("v"), F.col("q")), 6).alias("cos"))
+    from ..runtime import ship
+
+    ship(vectors_.sparkSession)
+    n_v = max(1, -(-vectors_.count() // VECTOR_BLOCK), vectors_.sparkSession.sparkContext.defaultParallelism)
+    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
+    row = lambda df, i, v, own, other, q: df.select(
+        F.size(v).alias("dim"), own, F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))).alias(other[0]), F.lit(q).alias("side"), F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")
+    ).select("dim", "bv", "bq", "side", "id", "v")
+    left = row(queries, "q_id", "q", F.pmod(F.xxhash64("q_id"), F.lit(n_q)).cast("int").alias("bq"), ("bv", n_v), 0)
+    right = row(vectors_, "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).cast("int").alias("bv"), ("bq", n_q), 1)
+    keys = ["dim", "bv", "bq"]
+
+    def run(frames):
+        import numpy as np
+        import pyarrow as pa
+
+        def unit(part):
+            flat = part.column("v").combine_chunks() if isinstance(part.column("v"), pa.ChunkedArray) else part.column("v")
+            x = flat.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            return part.column("id").to_numpy(), x / np.where(norm == 0, 1.0, norm)
+
+        key, asked = None, []
+        for batch in frames:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            marks = np.stack([table.column(c).to_numpy() for c in (*keys, "side")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                here, part = tuple(marks[:3, a]), table.slice(a, b - a)
+                if here != key:
+                    key, asked = here, []
+                if marks[3, a] == 0:
+                    asked.append(unit(part))
+                elif asked:
+                    q_ids, q = np.concatenate([i for i, _ in asked]), np.concatenate([x for _, x in asked])
+                    ids, x = unit(part)
+                    cos = q @ x.T
+                    cos[q_ids[:, None] == ids[None, :]] = -9.0
+                    least = np.partition(cos, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)] - 2e-6
+                    m, n = np.nonzero((cos >= least[:, None]) & (cos > -8))
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[m]), pa.array(ids[n]), pa.array(cos[m, n])], names=["q_id", "vec_id", "cos"])
+
+    dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side")
+    found = dealt.mapInArrow(run, "q_id bigint, vec_id bigint, cos double").withColumn("cos", F.round("cos", 6))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("cos"), "vec_id"))
-    return scored.withColumn("rk", rank).where(F.col("rk") <= k)
+    return found.withColumn("rk", rank).where(F.col("rk") <= k)
 
 
 # --- retrieval for answering ------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..graph import Graph
-from ..runtime import materialize
+from ..runtime import discard, in_order, materialize, scoped
 
 
 @dataclass(frozen=True)
@@ -18,7 +18,8 @@ class Path:
     to_id: str | None
     found: bool
     length: int
-    #: (step, from, relationship, direction, forward, claim, certainty, status, sources, to), or None.
+    #: (step, from, from_name, from_type, relationship, direction, forward, claim, certainty, status, sources,
+    #: to, to_name, to_type), or None.
     steps: DataFrame | None
 
 
@@ -47,8 +48,24 @@ def shortest_path(g: Graph, from_id: str, to_id: str, max_hops: int | None = 6)
         return Path(a, b, False, 0, None)
     if a == b:
         return Path(a, b, True, 0, None)
+    written: list[DataFrame] = []
+    try:
+        chain = _walk(g, from_id, to_id, hops, written)
+    finally:
+        discard(*written)
+    if chain is None:
+        return Path(a, b, False, 0, None)
+    return Path(a, b, True, len(chain), _steps(g, chain))
+
+
+def _walk(g: Graph, from_id: str, to_id: str, hops: int, written: list[DataFrame]) -> list[tuple] | None:
+    """(step, from, claim, forward, to) of the path from its end; tables that it writes are noted."""
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        written.append(materialize(df, label))
+        return written[-1]
+
     spark = g.node.sparkSession
-    edges = adjacency(g)
+    edges = keep(adjacency(g), "path-edges")
     frontier = spark.createDataFrame([(from_id,)], "id string").select(
         "id", F.lit(0).cast("long").alias("rank"), *[F.lit(None).cast(t).alias(n) for n, t in (("prev", "string"), ("claim", "string"), ("forward", "boolean"))]
     )
@@ -59,55 +76,51 @@ def shortest_path(g: Graph, from_id: str, to_id: str, max_hops: int | None = 6)
         first = step.groupBy("dst").agg(
             F.min_by(F.struct("src", "id", "forward"), F.struct("rank", "eo")).alias("w"), F.min(F.struct("rank", "eo")).alias("k")
         )
-        level = materialize(
+        level = keep(
             first.select(F.col("dst").alias("id"), "k", F.col("w.src").alias("prev"), F.col("w.id").alias("claim"), F.col("w.forward").alias("forward")),
             "path-level",
         )
         size = level.agg(F.count("*").alias("n"), F.count_if(F.col("id") == to_id).alias("hit")).first()
         if size["n"] == 0:
-            return Path(a, b, False, 0, None)
+            return None
         levels.append(level)
         if size["hit"]:
             break
         visited = visited.unionByName(level.select("id"))
         # a global order of the new nodes: by (place, edge), ranked range by range
-        frontier = _ranked(level)
+        frontier = keep(in_order(level.select("id", "k"), F.col("k"), name="rank"), "path-rank").select("id", "rank")
     else:
-        return Path(a, b, False, 0, None)
+        return None
     # walk back: one row for each level
     chain, at = [], to_id
     for n in range(len(levels), 0, -1):
         row = levels[n - 1].where(F.col("id") == at).select("prev", "claim", "forward").first()
         chain.append((n, row["prev"], row["claim"], row["forward"], at))
         at = row["prev"]
-    steps = spark.createDataFrame(chain, "step int, `from` string, claim string, forward boolean, `to` string")
+    return chain
+
+
+def _steps(g: Graph, chain: list[tuple]) -> DataFrame:
+    steps = g.node.sparkSession.createDataFrame(chain, "step int, `from` string, claim string, forward boolean, `to` string")
     info = g.claim.select(F.col("id").alias("_id"), F.col("type").alias("relationship"), "direction", "certainty", "status")
-    keys = steps.select(F.col("claim").alias("_k"))
-    per = quality.evidence_per_claim(g.listed.join(F.broadcast(keys), F.col("claim") == F.col("_k"), "left_semi"), g.evidence)
+    keys = F.broadcast(steps.select(F.col("claim").alias("_k")))  # at most 12 claims
+    info = info.join(keys, F.col("_id") == F.col("_k"), "left_semi")
+    per = quality.evidence_per_claim(g.listed.join(keys, F.col("claim") == F.col("_k"), "left_semi"), g.evidence)
     out = steps.join(info, F.col("claim") == F.col("_id")).join(per.select(F.col("claim").alias("_c"), "sources"), F.col("claim") == F.col("_c"), "left")
-    out = out.select(
-        "step", "from", "relationship", "direction", "forward", "claim", "certainty", "status",
-        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "to",
+    ends = F.broadcast(steps.select(F.explode(F.array("from", "to")).alias("_k")).distinct())
+    names = g.node.join(ends, F.col("id") == F.col("_k"), "left_semi")
+    for end in ("from", "to"):
+        out = out.join(names.select(F.col("id").alias("_n"), F.col("name").alias(f"{end}_name"), F.col("type").alias(f"{end}_type")), F.col(end) == F.col("_n")).drop("_n")
+    return out.select(
+        "step", "from", "from_name", "from_type", "relationship", "direction", "forward", "claim", "certainty", "status",
+        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "to", "to_name", "to_type",
     )
-    return Path(a, b, True, len(levels), out)
-
-
-def _ranked(level: DataFrame) -> DataFrame:
-    """id, rank: places by ``k``.  Range partitions are numbered by the counts of those before them,
-    so no task sees the whole frontier."""
-    dealt = level.select("id", "k").repartitionByRange("k").sortWithinPartitions("k").withColumn("p", F.spark_partition_id())
-    dealt = materialize(dealt, "path-rank")
-    from pyspark.sql.window import Window
-
-    sizes = dealt.groupBy("p").count()
-    before = sizes.withColumn("base", F.sum("count").over(Window.orderBy("p")) - F.col("count")).select(F.col("p").alias("_p"), "base")
-    local = dealt.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("k")))
-    return local.join(F.broadcast(before), F.col("p") == F.col("_p")).select("id", (F.col("base") + F.col("i")).alias("rank"))
 
 
+@scoped("distances")
 def distances(g: Graph, from_id: str, max_hops: int = 6) -> DataFrame:
     """id, hops: nodes within ``max_hops`` of a node."""
-    edges = adjacency(g).select("src", "dst").distinct()
+    edges = materialize(adjacency(g).select("src", "dst").distinct(), "distances-edges")
     seen = g.node.where(F.col("id") == from_id).select("id", F.lit(0).alias("hops"))
     frontier = seen
     for hop in range(1, max_hops + 1):

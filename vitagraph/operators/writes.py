@@ -16,12 +16,16 @@ from pyspark.sql.window import Window
 from .. import schema
 from ..functions.text import is_curie, paper_node
 from ..graph import Graph, conform, listed_from
+from ..runtime import in_order
 
 EVIDENCE_INPUT = T.ArrayType(
     T.StructType([T.StructField(n, T.DoubleType() if n == "confidence" else T.StringType()) for n in ("source_id", "source_node", "quote", "study_design", "confidence", "extracted_by")])
 )
 
 
+# Fixed texts of errors, as callers of the write operations know them, stand in the checks below.
+
+
 def _in(c: str, values: tuple[str, ...]) -> Column:
     return F.coalesce(F.col(c).isin(*values), F.lit(False))
 
@@ -71,14 +75,15 @@ def _finish(rows: DataFrame, later: list[tuple[Column, int, Column]]) -> DataFra
     return rows.withColumn("status_code", F.when(own, 400).otherwise(status)).withColumn("errors", F.when(own, F.col("errors")).otherwise(errors))
 
 
-def _next_ord(df: DataFrame) -> Column:
-    top = df.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).first()["m"]
-    return F.lit(top) + F.row_number().over(Window.orderBy("row"))  # rows of an input batch
+def placed_after(table: DataFrame, new: DataFrame, *order: str) -> DataFrame:
+    """New rows with ``ord``: the places after the last one of the table, in the order given."""
+    top = table.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).first()["m"]
+    return in_order(new.drop("ord"), *map(F.col, order), name="_nth").withColumn("ord", F.lit(top) + F.col("_nth")).drop("_nth")
 
 
 def create_nodes(g: Graph, rows: DataFrame) -> tuple[Graph, DataFrame]:
     checked = check_nodes(g, rows)
-    good = checked.where("status_code = 200").withColumn("ord", _next_ord(g.node))
+    good = placed_after(g.node, checked.where("status_code = 200"), "row")
     return g.with_(node=g.node.unionByName(conform(good, schema.NODE))), checked
 
 
@@ -121,7 +126,7 @@ def check_claims(g: Graph, rows: DataFrame, update: bool = False) -> DataFrame:
 def create_claims(g: Graph, rows: DataFrame) -> tuple[Graph, DataFrame]:
     """Claims with their evidence, whose ids are ``<claim>-e1``, ``-e2``, and so on."""
     checked = check_claims(g, rows)
-    good = checked.where("status_code = 200").withColumn("ord", _next_ord(g.claim))
+    good = placed_after(g.claim, checked.where("status_code = 200"), "row")
     claim = g.claim.unionByName(conform(good, schema.CLAIM))
     if "evidence" not in rows.columns:
         return g.with_(claim=claim), checked
@@ -277,13 +282,12 @@ def get_setting(settings: DataFrame, key: str, *fallbacks: str | None) -> str |
 def enrich(g: Graph, meta: DataFrame) -> Graph:
     """Paper nodes for the sources that exist; evidence refers to them and gets a design where it has none."""
     papers = paper_node(meta)
-    top = g.node.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).first()["m"]
     distinct = papers.drop("source_id").dropDuplicates(["id"])
-    # a place after all nodes, the same in every run: by id
-    new = distinct.withColumn("ord", F.lit(top + 1) + F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+    fresh = distinct.join(g.node.select(F.col("id").alias("_n")), F.col("id") == F.col("_n"), "left_anti")
+    new = placed_after(g.node, fresh, "id")
     ids = papers.select(F.col("source_id").alias("_s"), F.col("id").alias("_p"))
     design = meta.select(F.col("source_id").alias("_m"), F.col("study_design").alias("_d"))
     names = g.evidence.columns
     ev = g.evidence.join(ids, F.col("source_id") == F.col("_s"), "left").join(design, F.col("source_id") == F.col("_m"), "left")
     ev = ev.withColumn("source_node", F.coalesce("_p", "source_node")).withColumn("study_design", F.coalesce("study_design", "_d"))
-    return g.with_(node=upsert(g.node, conform(new, schema.NODE), replace=False), evidence=ev.select(names))
+    return g.with_(node=g.node.unionByName(conform(new, schema.NODE)), evidence=ev.select(names))

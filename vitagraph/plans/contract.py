@@ -137,7 +137,7 @@ def q_search(spark: SparkSession, d: str) -> DataFrame:
     docs = M.read(spark, d, "documents").select(
         F.lit("document").alias("owner_type"), F.col("doc_id").cast("string").alias("owner_id"), F.col("doc_id").alias("ord"), F.lit(0).alias("side"), "text"
     )
-    return search.score(docs, "the theory of order and reason").select(F.col("ord").alias("doc_id"), F.round("score", 3).alias("score"))
+    return search.score(docs, "the theory of order and reason").select(F.col("ord").alias("doc_id"), "score")
 
 
 def q_term_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -383,9 +383,10 @@ ORACLES: dict[str, str] = {
     "ask_panel": """ SELECT count(*) FILTER (event_type <> 'error' AND (event_id % 7 = 0 OR floor(value)::BIGINT % 4 = 0)) AS gaps, count(*) FILTER (event_type = 'error') AS errors,
       sum(CASE WHEN event_id % 3 <> 0 THEN event_id % 1000 ELSE 0 END + 10)::BIGINT AS tokens FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50)""",
     "search": "WITH " + TOKENS.format(key="doc_id", text="text", table=f"(SELECT doc_id, text FROM documents UNION ALL SELECT -1, '{QUERY_TEXT}')")
-    + """ , q AS (SELECT bucket, n / norm AS w FROM bk JOIN nm USING (doc_id) WHERE doc_id = -1),
-      s AS (SELECT bk.doc_id, sum(bk.n / nm.norm * q.w) AS s FROM bk JOIN nm USING (doc_id) JOIN q USING (bucket) WHERE bk.doc_id >= 0 GROUP BY 1)
-      SELECT d.doc_id, round(round(coalesce(s.s, 0.0), 4), 3) AS score FROM documents d LEFT JOIN s USING (doc_id)""",
+    + """ , n2 AS (SELECT doc_id, sum(n * n)::BIGINT AS s FROM bk GROUP BY doc_id),
+      s AS (SELECT b.doc_id, sum(b.n * q.n)::BIGINT AS dot FROM bk b JOIN bk q ON b.bucket = q.bucket AND q.doc_id = -1 GROUP BY b.doc_id)
+      SELECT d.doc_id, coalesce(floor(s.dot::DOUBLE / sqrt((x.s * y.s)::DOUBLE) * 10000 + 0.5) / 10000, 0.0) AS score
+      FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN n2 x ON d.doc_id = x.doc_id LEFT JOIN n2 y ON y.doc_id = -1""",
     "term_vectors": PRELUDE + ", " + TOKENS.format(key="id", text="name", table="node") + " SELECT id, bucket, round(n / norm, 6) AS weight FROM bk JOIN nm USING (id)",
     "nearest": """ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
       s AS (SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(v.v, q.v), 6) AS cos FROM v JOIN v q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
@@ -403,3 +404,8 @@ ORACLES: dict[str, str] = {
       SELECT id, 'gc:' || ltrim(string_agg(substr('0123456789abcdefghijklmnopqrstuvwxyz', h // (36 ** p)::BIGINT % 36 + 1, 1), '' ORDER BY p DESC), '0') AS edge_id
       FROM h, (SELECT unnest(range(0, 7)) AS p) GROUP BY id, h""",
 }
+
+from . import contract_more as _more  # noqa: E402  (its queries use the prelude above)
+
+QUERIES |= _more.QUERIES
+ORACLES |= _more.ORACLES | {"path": _more.PATH_SQL, "rate_limit": _more.RATE}

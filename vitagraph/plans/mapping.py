@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schema
-from ..graph import Graph, conform, listed_from, vocabulary
-from ..runtime import ship
+from ..graph import Graph, conform, listed_from, load, save, vocabulary
+from ..runtime import exists, shared_dir, ship
 
 KINDS = {1: "reduces_risk_of", 2: "improves", 3: "treats", 4: "increases_risk_of", 5: "worsens", 6: "recommends", 7: "is_a"}
 
@@ -109,9 +111,37 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(out, schema.RELATION)
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The mapped graph, built once for each application and folder, and read from the shared folder.
+
+    Claims lie in order of their object and evidence in order of its claim, so that lookups by these
+    read few row groups.  A build that is gone is made again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _built and exists(spark, f"{_built[key]}/vocab/_SUCCESS"):
+        return load(spark, _built[key])
     ev = evidence(spark, sf_dir)
-    return Graph(nodes(spark, sf_dir), claims(spark, sf_dir), ev, listed_from(ev), relations(spark, sf_dir), vocabulary(spark))
+    by = lambda df, *c: df.repartitionByRange(*c).sortWithinPartitions(*c)
+    claim = by(claims(spark, sf_dir), "object", "ord")
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    ev = by(ev, "claim", "ev_ord")
+    save(Graph(nodes(spark, sf_dir), claim, ev, by(listed_from(ev), "claim", "ev_ord"), relations(spark, sf_dir), vocabulary(spark)), path)
+    _built[key] = path
+    return load(spark, path)
+
+
+def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search index of the mapped graph, kept beside it."""
+    from ..operators import search
+
+    g = graph(spark, sf_dir)
+    path = f"{_built[spark.sparkContext.applicationId, sf_dir]}/terms"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        search.build_index(search.corpus(g)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

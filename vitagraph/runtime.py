@@ -11,7 +11,8 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -71,6 +72,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of past jobs.
 
@@ -109,3 +115,16 @@ def scoped(label: str) -> Callable:
         return run
 
     return wrap
+
+
+def in_order(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """Adds ``name``: 1, 2, 3, ... in the order given, which should leave no ties.
+
+    Range partitions are numbered by the counts of those before them, so no task sees all rows.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    dealt = materialize(dealt, "in-order")
+    sizes = dealt.groupBy("_p").count()  # a row for each partition
+    before = sizes.select(F.col("_p").alias("_q"), (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_base"))
+    local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    return local.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn(name, F.col("_base") + F.col("_i")).drop("_p", "_q", "_i", "_base")

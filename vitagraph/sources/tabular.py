@@ -29,7 +29,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     to = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     rows = spark.read.schema(to).options(**{**opts, "header": True, "enforceSchema": True}).csv(path)
     last = {n: i for i, n in enumerate(names) if n}
-    cell = lambda i: F.trim(F.regexp_replace(F.coalesce(F.col(f"c{i}"), F.lit("")), r"\r\n?", "\n"))
+    cell = lambda i: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(f"c{i}"), F.lit("")), r"\r\n?", "\n"), r"(?U)^[\s\ufeff]+|[\s\ufeff]+$", "")
     full = reduce(lambda a, b: a | b, [cell(i) != "" for i in range(len(names))])
     # one file is one partition when it is read across lines, and ids grow with the place in it
     return rows.where(full).select(F.monotonically_increasing_id().alias("row"), *[cell(i).alias(n) for n, i in last.items()])
