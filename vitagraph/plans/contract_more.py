@@ -15,7 +15,7 @@ from ..operators import answers as A
 from ..operators import link, review, search, traverse, validate, writes
 from ..sources import tabular
 from . import mapping as M
-from .contract import OBJECT, PRELUDE, SUPPLIER, TOKENS
+from .prelude import OBJECT, PRELUDE, SUPPLIER, TOKENS
 
 NONE = "array<string>"
 QUERIES, ORACLES = {}, {}
@@ -570,7 +570,7 @@ def append_log(spark: SparkSession, d: str) -> DataFrame:
     return review.append_log(runs, new).where("claim_id = 'x'").select("id", "agent")
 
 
-RATE = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, epoch_ms(ts) AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events),
+RATE = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, (epoch_us(ts) // 1000) AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS rn FROM events),
 r(key, rn, seq, at_ms, times, accepted) AS (SELECT key, rn, seq, at_ms, [at_ms], true FROM e WHERE rn = 1
   UNION ALL SELECT key, rn, seq, at_ms, CASE WHEN len(live) < 6 THEN list_append(live, at_ms) ELSE live END, len(live) < 6
   FROM (SELECT e.*, list_filter(r.times, lambda t: e.at_ms - t < 86400000) AS live FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1))
