@@ -322,6 +322,11 @@ def graph_edges(g: Graph) -> DataFrame:
     return rows.withColumnRenamed("subject", "source").withColumnRenamed("object", "target").withColumnRenamed("conflicted", "conflict")
 
 
+def graph_nodes(g: Graph) -> DataFrame:
+    """The nodes of the drawn graph: no more than a drawing shows."""
+    return g.node.select("ord", "id", "name", "type", "domains")
+
+
 def entity_counts(g: Graph) -> DataFrame:
     count = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("entity"), "n")
     out = count(g.node, "nodes")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import quality, text
 from ..operators import answers as A
-from ..operators import link, review, search, traverse, validate, writes
+from ..operators import agents, link, review, search, traverse, validate, writes
 from ..sources import tabular
 from . import mapping as M
 from .prelude import OBJECT, PRELUDE, SUPPLIER, TOKENS
@@ -570,6 +570,95 @@ def append_log(spark: SparkSession, d: str) -> DataFrame:
     return review.append_log(runs, new).where("claim_id = 'x'").select("id", "agent")
 
 
+# --- agents ----------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey AS id, md5('New contact message' || chr(10) || 'From: ' || CASE WHEN c_custkey % 2 = 0 THEN '(anonymous)' ELSE c_name END || chr(10) || 'Email: ' || CASE WHEN c_custkey % 3 = 0 THEN 'a@b.cd' ELSE '(none)' END
+  || chr(10) || chr(10) || c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN chr(10) || chr(10) || 'IP: 1.2.3.4' || CASE WHEN c_custkey % 10 = 0 THEN chr(10) || 'UA: x' ELSE '' END ELSE '' END || chr(10) || '#' || c_custkey) AS notice FROM customer""")
+def contact_notices(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    notice = agents.contact_notice(F.when(k % 2 == 1, F.concat(F.lit(" "), "c_name")), F.when(k % 3 == 0, "a@b.cd").otherwise(" "), F.concat("c_mktsegment", F.lit(" ")), F.when(k % 5 == 0, "1.2.3.4"), F.when(k % 10 == 0, "x"), k)
+    return M.read(spark, d, "customer").select(k.alias("id"), F.md5(notice).alias("notice"))
+
+
+@query("""SELECT sum(CASE WHEN event_id % 3 <> 0 THEN event_id % 1000 ELSE 0 END)::BIGINT AS input_tokens, count(*) * 10 AS output_tokens FROM events""")
+def token_usage(spark: SparkSession, d: str) -> DataFrame:
+    return agents.usage(M.ask_log(spark, d))
+
+
+@query(f"""SELECT 'nodeTypes' AS vocab, unnest([{_list(t for t in schema.NODE_TYPES if t not in ("theory", "model", "knowledge_gap", "research_question"))}]) AS value
+  UNION ALL SELECT 'relationshipTypes', unnest([{_list(t for t in schema.RELATIONSHIPS if t not in ("explains", "informs", "generates"))}])""")
+def harvest_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return agents.harvest_vocabulary(M.graph(spark, d)).select("vocab", "value")
+
+
+@query("""SELECT p_partkey AS id, p_name || '|' || p_type || '|' || p_brand AS terms, p_partkey % 3 = 0 AS same FROM part""")
+def model_replies(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    listed = F.concat(F.lit('Sure: ["'), "p_name", F.lit('", " ", "'), "p_type", F.lit(' ", "'), "p_brand", F.lit('", "fourth"] ok'))
+    same = F.when(k % 3 == 0, 'yes {"same": true}').when(k % 3 == 1, '{"same": "true"}').otherwise("true")
+    return M.read(spark, d, "part").select(k.alias("id"), F.array_join(agents.suggested_terms(listed), "|").alias("terms"), agents.same_concept(same).alias("same"))
+
+
+CODED = """, t AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY p_name)
+"""
+
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms for every second part's name and, under another name, for the others."""
+    rows = M.read(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
+    label = F.when(F.col("ord") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("official "), "p_name"))
+    return rows.select(F.lit("MESH").alias("prefix"), "ord", F.concat(F.lit("MESH:D"), F.col("ord").cast("string")).alias("curie"), F.array(label).alias("labels"))
+
+
+@query(PRELUDE + CODED + """ SELECT id, CASE WHEN code <> '' THEN code WHEN k % 2 = 0 THEN 'MESH:D' || k WHEN k % 3 <> 0 THEN 'MESH:D' || k ELSE '' END AS codes
+  FROM node JOIN t ON node.name = t.p_name WHERE type = 'outcome'""")
+def codes_in_two_passes(spark: SparkSession, d: str) -> DataFrame:
+    """Own names find half of the codes, suggested terms the others, of which some are confirmed."""
+    nodes, terms = M.graph(spark, d).node.where("type = 'outcome'"), _terms(spark, d)
+    suggested = nodes.select("id", F.array(F.concat(F.lit("Official "), "name")).alias("terms"))
+    confirmed = nodes.select("id", "name").join(terms.where("ord % 3 <> 0").select("curie", F.array_join("labels", "").alias("l")), F.lower(F.concat(F.lit("official "), "name")) == F.lower("l"))
+    rows = agents.resolve_codes_twice(nodes, terms, suggested, confirmed.select("id", "curie"))
+    return rows.select("id", F.array_join("external_ids", ";").alias("codes"))
+
+
+@query(PRELUDE + CODED + """ SELECT id, 'MESH' AS prefix, CASE WHEN code <> '' OR k % 2 = 1 THEN 0 ELSE 1 END::BIGINT AS n_candidates,
+  CASE WHEN code <> '' THEN 'already has a code' WHEN k % 2 = 0 THEN 'matched (name): MESH:D' || k ELSE 'no candidates' END AS decision FROM node JOIN t ON node.name = t.p_name WHERE type = 'outcome'""")
+def diagnose_codes(spark: SparkSession, d: str) -> DataFrame:
+    return agents.diagnose(M.graph(spark, d).node.where("type = 'outcome'"), _terms(spark, d)).select("id", "prefix", "n_candidates", "decision")
+
+
+@query(PRELUDE + CODED + """, b AS (SELECT * FROM node WHERE type IN ('outcome', 'intervention', 'mechanism') ORDER BY id LIMIT 200),
+  f AS (SELECT b.*, b.type = 'outcome' AND code = '' AND k % 2 = 0 AS hit FROM b LEFT JOIN t ON b.name = t.p_name)
+  SELECT count(*) AS scanned, count(*) FILTER (hit) AS mapped, count(*) FILTER (hit) AS codes_added, (SELECT count(*) FROM node WHERE type IN ('outcome', 'intervention', 'mechanism')) - count(*) AS remaining FROM f""")
+def map_unmapped(spark: SparkSession, d: str) -> DataFrame:
+    return agents.map_nodes(M.graph(spark, d), _terms(spark, d), 999)[1]
+
+
+@query(PRELUDE + """, e AS (SELECT *, substr(source_id, 6)::BIGINT AS k FROM evidence WHERE claim IN (SELECT id FROM claim WHERE status = 'needs_refinement'))
+  SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN k % 5 = 0 THEN 'unnamed' WHEN k % 5 = 1 THEN 'unresolved' WHEN k % 5 = 2 THEN 'correct' ELSE 'repaired' END AS outcome FROM e) GROUP BY 1""")
+def repair_claims(spark: SparkSession, d: str) -> DataFrame:
+    g = M.graph(spark, d)
+    bad = g.claim.where("status = 'needs_refinement'").select("id")
+    k = F.substring_index("source_id", ":", -1).cast("long")
+    ev = g.evidence.select(F.col("id").alias("evidence"), k.alias("k"))
+    named = ev.where("k % 5 <> 0").select("evidence", F.concat(F.lit("A long title about item "), F.col("k").cast("string")).alias("title"))
+    pmid = F.when(F.col("k") % 5 == 2, F.col("k")).otherwise(F.col("k") + 1)
+    pubmed = ev.where("k % 5 >= 2").select(F.col("evidence").alias("want_id"), F.lit(0).alias("ord"), pmid.cast("string").alias("pmid"), F.concat(F.lit("A long title about item "), F.col("k").cast("string")).alias("title"), F.array().cast(NONE).alias("pubtypes"))
+    crossref = pubmed.limit(0).select("want_id", "ord", F.col("pmid").alias("doi"), "title", F.lit("x").alias("type"))
+    return agents.repair(g, bad, named, pubmed, crossref)[1].groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(PRELUDE + """ SELECT ord, id, name, type, domain FROM node""")
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return A.graph_nodes(M.graph(spark, d)).select("ord", "id", "name", "type", F.array_join("domains", ";").alias("domain"))
+
+
+@query(PRELUDE + """ SELECT id, name FROM node ORDER BY name, id LIMIT 200""")
+def prompt_names(spark: SparkSession, d: str) -> DataFrame:
+    return agents.known_names(M.graph(spark, d)).select("id", "name")
+
+
 RATE = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, (epoch_us(ts) // 1000) AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS rn FROM events),
 r(key, rn, seq, at_ms, times, accepted) AS (SELECT key, rn, seq, at_ms, [at_ms], true FROM e WHERE rn = 1
   UNION ALL SELECT key, rn, seq, at_ms, CASE WHEN len(live) < 6 THEN list_append(live, at_ms) ELSE live END, len(live) < 6
