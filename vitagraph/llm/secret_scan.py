@@ -228,22 +228,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     def step(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            cuts = batch.column(len(names)).to_pylist()
-            hits = [k for k, c in enumerate(cuts) if c]
-            columns = batch.columns[: len(names)]
+            columns, cuts = batch.columns[: len(names)], batch.column(len(names))
+            hits = pc.indices_nonzero(pc.fill_null(pc.greater(pc.list_value_length(cuts), 0), False)).to_pylist()
             if hits:
-                texts = columns[at].to_pylist()
+                # only the texts that change become Python objects
+                new = [cut(columns[at][k].as_py(), [(c["start"], c["end"]) for c in cuts[k].as_py()], mark) for k in hits]
+                put = [False] * batch.num_rows
                 for k in hits:
-                    texts[k] = cut(texts[k], [(c["start"], c["end"]) for c in cuts[k]], mark)
-                columns[at] = pa.array(texts, type=columns[at].type)
-                if "n_chars" in names:
-                    n = columns[names.index("n_chars")]
-                    sizes = n.to_pylist()
-                    for k in hits:
-                        sizes[k] = len(texts[k])
-                    columns[names.index("n_chars")] = pa.array(sizes, type=n.type)
+                    put[k] = True
+                given = {at: new} | ({names.index("n_chars"): [len(t) for t in new]} if "n_chars" in names else {})
+                for n, values in given.items():
+                    columns[n] = pc.replace_with_mask(columns[n], pa.array(put), pa.array(values, type=columns[n].type))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ship(docs.sparkSession)
