@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import discard, materialize, scoped, ship
 
-__all__ = ["WORD", "Forest", "arrow_map", "discard", "materialize", "n_words", "read", "scoped", "segments", "ship", "whole_groups"]
+__all__ = ["WORD", "Forest", "arrow_map", "discard", "materialize", "n_words", "read", "scoped", "segments", "ship", "tidied", "whole_groups"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.  On UTF-8 bytes
 #: ``bytes.split()`` splits at exactly these six, so Python code splits encoded texts.
@@ -24,6 +24,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tidied(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over batches; at the end of a task its worker, which lives on, gives freed memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it keeps its own counsel
+                pass
+
+    return run
+
+
 def arrow_map(
     df: DataFrame, inputs: list[Column], schema: str, make: Callable[[], Callable[[list[list]], list[list]]]
 ) -> DataFrame:
@@ -48,7 +68,7 @@ def arrow_map(
                 )
 
     ship(df.sparkSession)
-    return df.select(*inputs).mapInArrow(run, schema)
+    return df.select(*inputs).mapInArrow(tidied(run), schema)
 
 
 def n_words(text: Column) -> Column:

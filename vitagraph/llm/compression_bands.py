@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship
+from .common import arrow_map, ship, tidied
 
 #: (UTF-8 bytes from, least ratio, greatest ratio) of a whole document.  A short text has
 #: a frame to pay for and little to refer back to, so the limits widen with the length.
@@ -173,4 +173,4 @@ def filter_documents(docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(mask, type=pa.bool_()))
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(tidied(keep), schema)

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Forest, arrow_map, discard, materialize, scoped, segments, ship, whole_groups
+from .common import Forest, arrow_map, discard, materialize, scoped, segments, ship, tidied, whole_groups
 from .components import components
 from .shingles import WordHashes, shingle_set
 
@@ -195,7 +195,7 @@ def _explode(classes: DataFrame, limit: Limit, hot: np.ndarray | None, often: np
         return is_hot, at
 
     def step(batches):
-        for batch in batches:
+        for batch in (part.slice(at, 1000) for part in batches for at in range(0, part.num_rows, 1000)):
             sizes, lows = batch.column("n").to_pylist(), batch.column("low").to_pylist()
             made, cids, spots, rings, outer = [], [], [], [], []
             cid_of = batch.column("cid").to_pylist()
@@ -231,7 +231,7 @@ def _explode(classes: DataFrame, limit: Limit, hot: np.ndarray | None, often: np
                 yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names=names)
 
     schema = "s bigint" + ", cid bigint, spot bigint, g bigint, outer bigint" * (ask == "place")
-    return classes.select("cid", "n", "low").mapInArrow(step, schema)
+    return classes.select("cid", "n", "low").mapInArrow(tidied(step), schema)
 
 
 def _frequent(classes: DataFrame, limit: Limit) -> np.ndarray:
@@ -283,7 +283,7 @@ def _forests(rows: DataFrame, limit: Limit) -> DataFrame:
 
     columns = [*keys, "cid", "spot", "bits"]
     dealt = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "spot", "cid")
-    return dealt.mapInArrow(step, "a bigint, b bigint")
+    return dealt.mapInArrow(tidied(step), "a bigint, b bigint")
 
 
 def _nearest_cells(far: np.ndarray, reach) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +319,7 @@ def _cells(rows: DataFrame, pivots: DataFrame, level: int, limit: Limit) -> Data
             yield pa.RecordBatch.from_arrays([columns[name] for name in ROW], names=ROW)
 
     joined = rows.join(pivots, (F.col("s") == F.col("_s")) & (F.col("g") == F.col("_g"))).select(*inputs)
-    return joined.mapInArrow(step, ROW_SCHEMA)
+    return joined.mapInArrow(tidied(step), ROW_SCHEMA)
 
 
 def _regions(rows: DataFrame, limit: Limit) -> DataFrame:
@@ -439,7 +439,7 @@ def _across(rows: DataFrame, limit: Limit) -> DataFrame:
 
     columns = [*keys, "cid", "spot", "outer", "comp", "home", "code"]
     dealt = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(step, "a bigint, b bigint")
+    return dealt.mapInArrow(tidied(step), "a bigint, b bigint")
 
 
 class _Codes:
@@ -490,7 +490,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, l
 
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
     met = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    met = met.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(near, "a bigint, b bigint")
+    met = met.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(tidied(near), "a bigint, b bigint")
     met = materialize(met, "jaccard-pairs")
     groups = components(met)
     sizes = groups.groupBy(F.col("component").alias("_c")).agg(F.ceil(F.count("*") / VERIFY).alias("blocks"))
@@ -536,7 +536,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, l
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["a", "b"])
 
     dealt = whole.unionByName(asked).repartition(*spots).sortWithinPartitions(*spots, "b")
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+    return dealt.mapInArrow(tidied(compare), "a bigint, b bigint")
 
 
 @scoped("jaccard-groups")

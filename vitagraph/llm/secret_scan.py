@@ -35,7 +35,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, scoped, ship
+from .common import arrow_map, materialize, scoped, ship, tidied
 
 ASSIGN = re.compile(
     r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -245,4 +245,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ship(docs.sparkSession)
-    return hit.select(*[F.col("_row").getField(c).alias(c) for c in names], "_cut").mapInArrow(step, schema)
+    return hit.select(*[F.col("_row").getField(c).alias(c) for c in names], "_cut").mapInArrow(tidied(step), schema)
