@@ -325,7 +325,7 @@ ORACLES: dict[str, str] = {
       d AS (SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM c)
       SELECT page_id, length(body) AS n, md5(body) AS body_md5 FROM d""",
     "match_nodes": """ SELECT 'pt:' || a.p_partkey AS cand_id, 'pt:' || min(b.p_partkey) AS node_id, 1.0::DOUBLE AS score, true AS exact
-      FROM part a JOIN part b ON a.p_name = b.p_name AND b.p_partkey < 200 GROUP BY a.p_partkey""",
+      FROM part a JOIN part b ON a.p_name = b.p_name GROUP BY a.p_partkey""",
     "cited_ids": """ SELECT conv_id, turn, CASE WHEN conv_id = turn THEN 'PMID:' || conv_id || ';pmid:' || turn ELSE 'PMID:' || conv_id || ';pmid:' || turn END AS cited FROM conversations""",
     "claim_ids": PRELUDE + """, k AS (SELECT id, subject || '|' || type || '|' || object || '|' || coalesce(population, '') AS key FROM claim),
       h AS (SELECT id, """ + FNV.format("key") + """ AS h FROM k)
