@@ -203,6 +203,50 @@ def test_recall_of_hashing():
         assert met.mean() >= 0.99
 
 
+@pytest.mark.parametrize("dim", [16, 128, 384])
+def test_recall_in_other_dimensions(dim):
+    from vitagraph.llm import cross_polytope as C
+
+    rng = np.random.default_rng(dim)
+    a = rng.normal(size=(1500, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (b * a).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    y = 0.93 * a + np.sqrt(1 - 0.93**2) * b
+    for size in (1_000, 100_000, 10_000_000):
+        shape = C.shape_for(size, dim)
+        x, z = C.codes(a, *shape), C.codes(y, *shape)
+        assert ((x[:, :, :1] == z) | (z[:, :, :1] == x)).any(axis=(1, 2)).mean() >= 0.97
+    u, v = C.signs(a).view(np.uint64), C.signs(y).view(np.uint64)
+    assert (np.bitwise_count(u ^ v).sum(axis=1) <= C.NEAR_BITS).all()
+
+
+def test_shapes_differ_by_label_and_do_not_change_links(spark, monkeypatch):
+    from vitagraph.llm import cross_polytope as C
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for label, n in ((1, 12), (2, 150), (3, 40)):
+        base = rng.normal(size=(n // 2, 32))
+        for v in np.vstack([base, base + rng.normal(size=base.shape) * 0.1]):
+            # one of the labels holds doubles that floats would round
+            rows.append((len(rows), [float(c if label == 3 else np.float32(c)) for c in v], label))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    whole = sorted(C.near_duplicates(df).collect())
+    links = [0] * len(rows)
+    for (i, a, k), (j, b, m) in itertools.combinations(rows, 2):
+        if k == m and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.93:
+            links[i] += 1
+            links[j] += 1
+    assert [r["n_links"] for r in whole] == links and sum(links) >= len(rows) - 5
+    # labels of one and of two hashes; small groups in blocks of matrices; joins by shuffle
+    monkeypatch.setattr(C, "shape_for", lambda size, dim: (1, 3, 3) if size < 100 else (2, 12, 6))
+    monkeypatch.setattr(C, "SMALL", 2)
+    monkeypatch.setattr(C, "BROADCAST_ROWS", -1)
+    assert sorted(C.near_duplicates(df).collect()) == whole
+
+
 # --- Jaccard join -------------------------------------------------------------------
 
 

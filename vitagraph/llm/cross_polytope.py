@@ -3,19 +3,23 @@
 A rotation (three rounds of random signs and a fast Hadamard transform) is followed by the
 nearest vertex of the cross-polytope: the coordinate of largest magnitude, and its sign.
 Several such hashes joined make the bucket of a table; a vector stands in its own bucket
-and is also sent to the buckets that were nearly chosen (probes).  Vectors that meet are
-compared by cosine in double precision, in blocks, by matrix products.
+and is also sent to the buckets that were nearly chosen (probes).
 
-Exact copies (equal label and components) are one class; only classes are compared.  A
-pair can meet in several tables; every meeting place knows all bucket codes of both, so a
+Exact copies (equal label and components) are one class; only classes are compared, in two
+steps.  First a bucket gets 128 signs of random projections of each vector, not the vector,
+and keeps those with a partner that differs in ``NEAR_BITS`` signs at most: a pair at the
+threshold does in all but about two cases of a million.  Then the few that are kept bring their
+vectors, and are compared by cosine in double precision, in blocks.
+
+A pair can meet in several tables; every meeting place knows all bucket codes of both, so a
 pair is counted only at its first one, and no list of pairs is ever made: a block reports
 how many links each member has there, and a spanning forest of them.  A bucket with more
-rows than ``BLOCK`` is cut into blocks, and each pair of blocks is a group of its own, so
-large groups of near copies neither fill a task nor lose a pair.
+rows than ``BLOCK`` skips the first step and is cut into blocks, and each pair of blocks is a
+group of its own, so large groups of near copies neither fill a task nor lose a pair.
 
-The number of hashes in a table follows the size of the largest label, so that buckets
-keep about ``BUCKET`` vectors; with more hashes the tables and probes grow too, to keep
-recall (measured against brute force in the tests; 0.9 is the least asked for).
+The number of hashes in a table follows the size of the label, so that buckets keep about
+``BUCKET`` vectors at most; tables double and probes grow by one with each further hash, to
+keep recall (measured in the tests for several dimensions; 0.9 is the least asked for).
 
 Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component,
 and vectors with a null label, link with nothing; vectors of different lengths don't link;
@@ -34,15 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_map, materialize, scoped, segments, ship
+from .common import Forest, arrow_map, materialize, scoped, ship, whole_groups
 from .components import components
 
 THRESHOLD = 0.93
-BUCKET = 64
+BUCKET = 256
 BLOCK = 4096
-#: Tables and probes for one hash a table; both grow with the number of hashes.
-TABLES = 6
+#: Tables and probes for one hash a table.
+TABLES = 3
 PROBES = 3
+#: Signs in which a pair at the threshold differs: 15.4 of 128 on average, with a deviation of 3.7.
+NEAR_BITS = 34
+#: Groups up to this size are compared many at a time.
+SMALL = 32
+#: Sizes of labels, and buckets above ``BLOCK``, are broadcast up to this number; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 SEED = 20240501
 
 
@@ -58,7 +68,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def codes(x: np.ndarray, hashes: int, tables: int, probes: int) -> np.ndarray:
-    """Bucket codes, shape (rows, tables, probes); the first probe is the row's own bucket."""
+    """Bucket codes, shape (rows, tables, probes); the first probe is the row's own bucket, -1 is none."""
     n, dim = x.shape
     d = 1 << max(1, (dim - 1).bit_length())
     padded = np.zeros((n, d))
@@ -90,19 +100,25 @@ def codes(x: np.ndarray, hashes: int, tables: int, probes: int) -> np.ndarray:
         picked = np.take_along_axis(moved, best, 1)
         out[:, t, 1 : 1 + picked.shape[1]] = picked
         if picked.shape[1] < probes - 1:
-            out[:, t, 1 + picked.shape[1] :] = own[:, None]
+            out[:, t, 1 + picked.shape[1] :] = -1
     return out
 
 
-def shape_for(largest: int, dim: int = 64) -> tuple[int, int, int]:
-    """(hashes, tables, probes) for the number of vectors of the largest label."""
+def shape_for(size: int, dim: int = 64) -> tuple[int, int, int]:
+    """(hashes, tables, probes) for the number of vectors of a label."""
     vertices = 2 << max(1, (dim - 1).bit_length())
-    hashes = max(1, math.ceil(math.log(max(1.0, largest / BUCKET)) / math.log(vertices)))
-    return hashes, TABLES * hashes, PROBES * hashes
+    hashes = max(1, math.ceil(math.log(max(1.0, size / BUCKET)) / math.log(vertices)))
+    return hashes, TABLES << (hashes - 1), PROBES + hashes - 1
+
+
+def signs(x: np.ndarray) -> np.ndarray:
+    """Signs of 128 random projections of the rows, as two 64-bit numbers."""
+    g = np.random.default_rng(SEED + x.shape[1]).normal(size=(x.shape[1], 128))
+    return np.packbits(x @ g > 0, axis=1).view(np.int64)
 
 
 def _rows(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, dim, key (of equal vectors), vec (float bytes; null if the row can't link)."""
+    """vec_id, label, dim, key (of equal vectors), vec (bytes of floats, of doubles where floats lose; null if the row can't link)."""
 
     def make():
         def step(columns: list[list]) -> list[list]:
@@ -112,7 +128,11 @@ def _rows(vectors: DataFrame) -> DataFrame:
                 if good:
                     a = np.array(v, np.float64)
                     good = bool(np.isfinite(a).all()) and bool(a.any())
-                data = a.tobytes() if good else None
+                data = None
+                if good:
+                    with np.errstate(over="ignore"):
+                        short = a.astype(np.float32)
+                    data = (short if (short == a).all() else a).tobytes()
                 out[2].append(len(v) if good else None)
                 out[3].append(hashlib.blake2b(data, digest_size=16).digest() if good else None)
                 out[4].append(data)
@@ -128,28 +148,77 @@ def _rows(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _meetings(part: pa.Table, tables: int, probes: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
-    """Link counts by row, forest edges (rows), and the ids of one group."""
-    cid = part.column("cid").to_numpy()
-    own = part.column("own").to_numpy(zero_copy_only=False)
-    home = part.column("home").to_numpy()
-    twins = part.column("copies").to_numpy()
-    table, bucket = part.column("tab")[0].as_py(), part.column("bucket")[0].as_py()
-    i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-    x = np.stack([np.frombuffer(b, np.float64) for b in part.column("vec").to_pylist()])
+def unit(raw: list[bytes], dim: int) -> np.ndarray:
+    """Rows of length one, in double precision."""
+    x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64) for b in raw]).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # else squares of large components overflow
-    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-    c = np.stack([np.frombuffer(b, np.int64) for b in part.column("codes").to_pylist()]).reshape(len(x), tables, probes)
-    counts = np.zeros(len(x), np.int64)
-    forest, edges = Forest(len(x)), []
-    rows = np.flatnonzero(own)
-    for at in range(0, len(rows), 512):
-        r = rows[at : at + 512]
-        a, b = np.nonzero(x[r] @ x.T >= THRESHOLD)
-        a = r[a]
-        keep = (cid[a] != cid[b]) & ~(own[b] & (a > b))
-        if i != j:
-            keep &= home[a] != home[b]
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _pairs(starts: np.ndarray, n: int, own: np.ndarray, near, near_all, width: int = 1):
+    """Pairs of rows (arrays a, b) that stand in one group and are near, one of the two at least in its own bucket.
+
+    ``near(a, b)`` judges rows pair by pair, ``near_all(a, b)`` each of a with each of b.  Groups up
+    to ``SMALL`` rows are compared together: each row with the next, the one after that, and so on.
+    ``width`` is the number of values a row brings; it bounds how many pairs are judged at a time.
+    """
+    step = max(1, (1 << 20) // width)
+    ends = np.append(starts[1:], n)
+    sizes = ends - starts
+    end_of = np.repeat(np.where(sizes <= SMALL, ends, starts), sizes)
+    a = np.arange(n)
+    for shift in range(1, SMALL):
+        a = a[a + shift < end_of[a]]
+        if not len(a):
+            break
+        for at in range(0, len(a), step):
+            p = a[at : at + step]
+            p = p[own[p] | own[p + shift]]
+            p = p[near(p, p + shift)]
+            yield p, p + shift
+    for g in np.flatnonzero(sizes > SMALL).tolist():
+        rows = np.arange(starts[g], ends[g])
+        of = rows[own[rows]]
+        for at in range(0, len(of), 512):
+            r = of[at : at + 512]
+            p, q = np.nonzero(near_all(r, rows))
+            p, q = r[p], rows[q]
+            keep = (p != q) & ~(own[q] & (p > q))
+            yield p[keep], q[keep]
+
+
+def _likely(part: pa.Table, starts: list[int]) -> np.ndarray:
+    """Rows of groups (place) that have a partner whose signs are near."""
+    s0, s1 = part.column("s0").to_numpy().view(np.uint64), part.column("s1").to_numpy().view(np.uint64)
+    own = part.column("spot").to_numpy() >= 0
+
+    def near(a, b):
+        return np.bitwise_count(s0[a] ^ s0[b]) + np.bitwise_count(s1[a] ^ s1[b]) <= NEAR_BITS
+
+    some = np.zeros(len(s0), bool)
+    for a, b in _pairs(np.asarray(starts), len(s0), own, near, lambda a, b: near(a[:, None], b[None, :])):
+        some[a] = True
+        some[b] = True
+    return np.flatnonzero(some)
+
+
+def _meetings(part: pa.Table, starts: list[int]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Link counts by row, forest edges (rows), and the ids of groups of one dimension and number of hashes."""
+    dim, tables, probes = (part.column(k)[0].as_py() for k in ("dim", "tables", "probes"))
+    cid, spot, home, twins = (part.column(k).to_numpy() for k in ("cid", "spot", "home", "copies"))
+    place, split = np.abs(spot) // probes, (part.column("i").to_numpy() != part.column("j").to_numpy())
+    n = len(cid)
+    x = unit(part.column("vec").to_pylist(), dim)
+    c = part.column("codes").combine_chunks().flatten().to_numpy().reshape(n, tables, probes)
+    bucket = c.reshape(n, -1)[np.arange(n), np.abs(spot)]
+    counts = np.zeros(n, np.int64)
+    forest, edges = Forest(n), []
+
+    def near(a, b):
+        return np.einsum("ij,ij->i", x[a], x[b]) >= THRESHOLD
+
+    for a, b in _pairs(np.asarray(starts), n, spot >= 0, near, lambda a, b: x[a] @ x[b].T >= THRESHOLD, dim):
+        keep = (cid[a] != cid[b]) & ~(split[a] & (home[a] == home[b]))
         a, b = a[keep], b[keep]
         lo, hi = np.where(cid[a] < cid[b], a, b), np.where(cid[a] < cid[b], b, a)
         for k in range(0, len(lo), 65_536):
@@ -159,16 +228,20 @@ def _meetings(part: pa.Table, tables: int, probes: int) -> tuple[np.ndarray, lis
             first = (at_p | at_q).argmax(axis=1)
             each = np.arange(len(p))
             where = np.where(at_p[each, first], c[p, first, 0], c[q, first, 0])
-            here = (first == table) & (where == bucket)
+            here = (first == place[p]) & (where == bucket[p])
             p, q = p[here], q[here]
             np.add.at(counts, p, twins[q])
             np.add.at(counts, q, twins[p])
-            for m, n in zip(p.tolist(), q.tolist(), strict=True):
-                if forest.join(m, n):
-                    edges.append((m, n))
+            for m, o in zip(p.tolist(), q.tolist(), strict=True):
+                if forest.join(m, o):
+                    edges.append((m, o))
     return counts, edges, cid
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 @scoped("vec-groups")
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each vector."""
@@ -181,79 +254,93 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = materialize(classes, "vec-classes")
-    size = classes.groupBy("label", "dim").count().agg(F.max("count").alias("n"), F.max("dim").alias("d")).first()
-    hashes, tables, probes = shape_for(size["n"] or 1, size["d"] or 64)
+    sizes = materialize(classes.groupBy(F.col("label").alias("_label"), F.col("dim").alias("_dim")).agg(F.count("*").alias("n")), "vec-sizes")
 
     def hashed(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                raw = part.column("vec").to_pylist()
-                made: list[bytes] = [b""] * len(raw)
-                by_size: dict[int, list[int]] = {}
-                for n, b in enumerate(raw):
-                    by_size.setdefault(len(b), []).append(n)
-                for which in by_size.values():
-                    x = np.stack([np.frombuffer(raw[n], np.float64) for n in which])
-                    x = x / np.abs(x).max(axis=1, keepdims=True)
-                    for n, row in zip(which, codes(x, hashes, tables, probes), strict=True):
-                        made[n] = row.tobytes()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*part.schema.names, "codes"])
-
-    def sent(batches):
-        """A row for each table and probe."""
-        for batch in hashed(batches):
-            n = batch.num_rows
-            for at in range(0, n, 256):
-                part = batch.slice(at, 256)
-                c = np.stack([np.frombuffer(b, np.int64) for b in part.column("codes").to_pylist()]).reshape(-1, tables, probes)
-                take, tab, bucket, own = [], [], [], []
-                for t in range(tables):
-                    for p in range(probes):
-                        # a probe that repeats an earlier one is sent once
-                        new = np.flatnonzero(~(c[:, t, p : p + 1] == c[:, t, :p]).any(axis=1)) if p else np.arange(len(c))
-                        take.append(new)
-                        tab.append(np.full(len(new), t))
-                        bucket.append(c[new, t, p])
-                        own.append(np.full(len(new), p == 0))
-                picked = part.take(pa.array(np.concatenate(take)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *picked.columns,
-                        pa.array(np.concatenate(tab), pa.int64()),
-                        pa.array(np.concatenate(bucket), pa.int64()),
-                        pa.array(np.concatenate(own), pa.bool_()),
-                    ],
-                    names=[*picked.schema.names, "tab", "bucket", "own"],
-                )
+                raw, dims, n = (part.column(k).to_pylist() for k in ("vec", "dim", "n"))
+                shape = [shape_for(m, d) for m, d in zip(n, dims, strict=True)]
+                kinds: dict[tuple, list[int]] = {}
+                for r, (d, how) in enumerate(zip(dims, shape, strict=True)):
+                    kinds.setdefault((d, how), []).append(r)
+                made: list = [None] * len(raw)
+                marks = np.zeros((len(raw), 2), np.int64)
+                for (d, how), which in kinds.items():
+                    x = unit([raw[r] for r in which], d)
+                    marks[which] = signs(x)
+                    for r, row in zip(which, codes(x, *how).reshape(len(which), -1), strict=True):
+                        made[r] = row
+                new = [
+                    pa.array(made, pa.list_(pa.int64())),
+                    pa.array(marks[:, 0].copy()),
+                    pa.array(marks[:, 1].copy()),
+                    pa.array([t for _, t, _ in shape], pa.int32()),
+                    pa.array([p for _, _, p in shape], pa.int32()),
+                ]
+                old = ("label", "dim", "key", "cid", "least", "copies", "vec")
+                names = [*old, "codes", "s0", "s1", "tables", "probes"]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in old], *new], names=names)
 
     ship(spark)
-    slim = classes.select("label", F.col("dim").cast("long").alias("dim"), "cid", "copies", "vec")
-    schema = "label bigint, dim bigint, cid bigint, copies bigint, vec binary, codes binary, tab bigint, bucket bigint, own boolean"
-    placed = slim.mapInArrow(sent, schema)
-    place = ["label", "dim", "tab", "bucket"]
-    loads = slim.drop("copies").withColumn("copies", F.lit(0).cast("long")).select(slim.columns).mapInArrow(sent, schema)
-    loads = loads.groupBy(*place).agg(F.count("*").alias("n"), F.max("own").alias("any_own"))
-    loads = loads.where("n > 1 and any_own").select(
-        *[F.col(k).alias(f"_{k}") for k in place], F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")
+    same = (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim"))
+    schema = (
+        "label bigint, dim int, key binary, cid bigint, least bigint, copies bigint, vec binary,"
+        " codes array<bigint>, s0 bigint, s1 bigint, tables int, probes int"
+    )
+    coded = classes.join(_bounded(sizes), same).select(*classes.columns, "n").mapInArrow(hashed, schema)
+    classes = materialize(coded, "vec-codes")
+    # a row for each table and probe: spot is the code's place in codes, negative in buckets other than the vector's own
+    sent = classes.select("label", "dim", "cid", "s0", "s1", "probes", F.posexplode("codes").alias("at", "bucket")).where("bucket >= 0")
+    sent = sent.select(
+        F.xxhash64("label", "dim", F.floor(F.col("at") / F.col("probes")), "bucket").alias("place"),
+        "cid",
+        "s0",
+        "s1",
+        F.when(F.col("at") % F.col("probes") == 0, F.col("at")).otherwise(-F.col("at")).alias("spot"),
     )
-    loads = materialize(loads, "vec-loads")
-    cut = placed.join(loads, [F.col(k) == F.col(f"_{k}") for k in place]).drop(*[f"_{k}" for k in place])
+    loads = sent.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    large = materialize(loads.select(F.col("place").alias("_place"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "vec-large")
+    sent = sent.join(_bounded(large), F.col("place") == F.col("_place"), "left")
+
+    def likely(batches):
+        for part, starts in whole_groups(batches, ["place"]):
+            rows = _likely(part, starts)
+            yield from part.select(["cid", "spot"]).take(pa.array(rows)).to_batches()
+
+    small = sent.where("blocks is null").select("place", "cid", "s0", "s1", "spot").repartition("place").sortWithinPartitions("place")
+    kept = small.mapInArrow(likely, "cid bigint, spot int").withColumn("blocks", F.lit(1).cast("long"))
+    kept = kept.unionByName(sent.where("blocks is not null").select("cid", "spot", "blocks"))
+    kept = materialize(kept.withColumnRenamed("cid", "_cid"), "vec-kept")
+    cut = classes.join(kept, F.col("cid") == F.col("_cid"))
     cut = cut.withColumn("home", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("i", F.least("home", "other")).withColumn("j", F.greatest("home", "other"))
-    keys = [*place, "i", "j"]
+    cut = cut.withColumn("bucket", F.element_at("codes", F.abs("spot") + 1)).withColumn("tab", F.floor(F.abs("spot") / F.col("probes")))
+    keys = ["dim", "probes", "label", "tab", "bucket", "i", "j"]
 
     def compared(batches):
-        for part in segments(batches, keys):
-            counts, edges, cid = _meetings(part, tables, probes)
-            some = np.flatnonzero(counts)
-            a = np.concatenate([cid[some], cid[[m for m, _ in edges]] if edges else np.empty(0, np.int64)])
-            b = np.concatenate([np.full(len(some), -1), cid[[n for _, n in edges]] if edges else np.empty(0, np.int64)])
-            n = np.concatenate([counts[some], np.zeros(len(edges), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (a, b, n)], names=["a", "b", "n"])
-
-    columns = [*keys, "cid", "copies", "own", "home", "vec", "codes"]
+        for table, starts in whole_groups(batches, keys):
+            # runs of groups of one shape
+            ends, kinds = [*starts[1:], table.num_rows], [table.column(k).to_numpy() for k in ("dim", "probes")]
+            at = 0
+            while at < len(starts):
+                to = at
+                rows = 0
+                while to < len(starts) and all(k[starts[to]] == k[starts[at]] for k in kinds) and (to == at or rows < BLOCK):
+                    rows += ends[to] - starts[to]
+                    to += 1
+                part = table.slice(starts[at], ends[to - 1] - starts[at])
+                counts, edges, cid = _meetings(part, [g - starts[at] for g in starts[at:to]])
+                at = to
+                some = np.flatnonzero(counts)
+                a = np.concatenate([cid[some], cid[[m for m, _ in edges]] if edges else np.empty(0, np.int64)])
+                b = np.concatenate([np.full(len(some), -1), cid[[n for _, n in edges]] if edges else np.empty(0, np.int64)])
+                n = np.concatenate([counts[some], np.zeros(len(edges), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (a, b, n)], names=["a", "b", "n"])
+
+    columns = [*keys, "tables", "cid", "copies", "spot", "home", "vec", "codes"]
     found = cut.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compared, "a bigint, b bigint, n bigint")
     found = materialize(found, "vec-found")
     counts = found.where("b = -1").groupBy("a").agg(F.sum("n").alias("n"))
