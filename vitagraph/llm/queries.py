@@ -14,7 +14,9 @@ from . import (
     jaccard_pivots,
     language_kernel,
     license_scan,
+    middle_cut,
     piece_codec,
+    prefix_codec,
     secret_scan,
     toxicity_chain,
     url_rules,
@@ -123,6 +125,30 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_codec.digest_documents(read(spark, sf_dir, "documents"))
+
+
+def op13_middle_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_cut.digest_documents(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT doc_id, t, length(t)::BIGINT AS n,
+        list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(s, i, 8))::BIGINT) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+             WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, t[1 : a] AS pre, t[a + 1 : b] AS mid, t[b + 1 : n] AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_compression_bands": op2_compression_bands,
@@ -134,6 +160,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op12_prefix_codec": op12_prefix_codec,
+    "op13_middle_cut": op13_middle_cut,
 }
 
-ORACLES: dict[str, str] = {"op3_curriculum_mix": OP3_SQL, "op7_jaccard_pivots": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_curriculum_mix": OP3_SQL, "op7_jaccard_pivots": OP7_SQL, "op13_middle_cut": OP13_SQL}
