@@ -38,7 +38,7 @@ def test_against_slices(spark, monkeypatch, unit, run):
     rng = random.Random(run)
     texts = ["".join(rng.choice("ab \n<PSM>é😀") for _ in range(rng.randrange(30))) for _ in range(150)]
     awkward = [t and t[:3_000] for t in AWKWARD] if run == 3 else AWKWARD
-    texts += MARKED + awkward + ["same"] * 3
+    texts += ["abc", "abcdef", "aaaa"] * 12 + MARKED + awkward + ["same"] * 3
     df = nullified(docs(spark, texts))
     df = df.unionByName(df.where("doc_id < 20"))  # repeated rows
     forms = middle_cut.Forms(seed=7, plain=20, spm=40)

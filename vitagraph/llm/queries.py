@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     compression_bands,
+    conversation_trie,
     cross_polytope,
     curriculum_mix,
     jaccard_pivots,
@@ -125,6 +126,42 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos
+  FROM (SELECT conv_id, turn, substr(sha256(length(role) || ':' || role || text), 1, 32) AS k,
+               len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(4294967295::BIGINT, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+      lambda r, b: list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END, xor(r, b)), 4294967295::BIGINT)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth
+  FROM (SELECT c.conv_id, 0 AS part, t.pos, t.k, t.words FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+        UNION ALL SELECT c.conv_id, 1, t.pos, t.k, t.words FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h)),
+p AS (
+  SELECT conv_id, depth, words, sha256(string_agg(k, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM r
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+u AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up, max(depth) OVER (PARTITION BY conv_id) = depth AS last FROM p),
+g AS (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(up) AS up, any_value(words) AS words, count(*) AS n FROM u GROUP BY node),
+k AS (SELECT up, count(*) AS children FROM g WHERE up IS NOT NULL GROUP BY up),
+v AS (SELECT g.*, coalesce(k.children, 0) AS children FROM g LEFT JOIN k ON k.up = g.node),
+s AS (SELECT p.node, sum((v.n - 1) * v.words) AS saved, sum(CASE WHEN v.children = 0 THEN 1 ELSE 0 END) AS leaves
+      FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.node),
+e AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM u WHERE last GROUP BY node)
+SELECT v.conv_id, v.depth::BIGINT AS depth, w.conv_id AS parent_conv_id, v.n::BIGINT AS n_convs, v.children::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM v JOIN s ON s.node = v.node LEFT JOIN g w ON w.node = v.up LEFT JOIN e ON e.node = v.node
+"""
+
+
 def op12_prefix_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_codec.digest_documents(read(spark, sf_dir, "documents"))
 
@@ -160,8 +197,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_prefix_codec": op12_prefix_codec,
     "op13_middle_cut": op13_middle_cut,
 }
 
-ORACLES: dict[str, str] = {"op3_curriculum_mix": OP3_SQL, "op7_jaccard_pivots": OP7_SQL, "op13_middle_cut": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_curriculum_mix": OP3_SQL, "op7_jaccard_pivots": OP7_SQL, "op11_conversation_trie": OP11_SQL, "op13_middle_cut": OP13_SQL}
