@@ -30,7 +30,7 @@ NO_DESIGN = 15
 # Fixed pattern of what a quote says about its sample.
 SAMPLE = (
     r"\b[nN]\s*=\s*([\d][\d,]{1,})"
-    r"|\b(\d[\d,]{2,})\s+(?:participants|patients|subjects|adults|individuals|men|women|people)\b"
+    r"|\b([\d][\d,]{2,})\s+(?:participants|patients|subjects|adults|individuals|men|women|people)\b"
 )
 
 

@@ -71,6 +71,7 @@ def known_names(g: Graph, most: int = 200) -> DataFrame:
 
 def harvest_vocabulary(g: Graph) -> DataFrame:
     """vocab, value: node and relationship types that are asked for from papers, in their order."""
+    # The types that papers are not asked for.
     meta = {"nodeTypes": ("theory", "model", "knowledge_gap", "research_question"), "relationshipTypes": ("explains", "informs", "generates")}
     v = g.vocab.where(F.col("vocab").isin(*meta))
     gone = v.sparkSession.createDataFrame([(k, x) for k, xs in meta.items() for x in xs], "_vocab string, _value string")
