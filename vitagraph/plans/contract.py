@@ -15,7 +15,7 @@ from ..functions import text
 from ..operators import answers as A
 from ..operators import link, review, search, traverse, validate
 from ..streaming import limits
-from . import contract_more
+from . import contract_more, contract_state
 from . import mapping as M
 from .prelude import FNV, NATION, NODE, OBJECT, PRELUDE, REGION, SUPPLIER, TOKENS
 
@@ -333,5 +333,5 @@ ORACLES: dict[str, str] = {
       FROM h, (SELECT unnest(range(0, 7)) AS p) GROUP BY id, h""",
 }
 
-QUERIES |= contract_more.QUERIES
-ORACLES |= contract_more.ORACLES | {"path": contract_more.PATH_SQL, "rate_limit": contract_more.RATE}
+QUERIES |= contract_more.QUERIES | contract_state.QUERIES
+ORACLES |= contract_more.ORACLES | contract_state.ORACLES | {"path": contract_more.PATH_SQL, "rate_limit": contract_more.RATE}

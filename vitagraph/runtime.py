@@ -50,7 +50,7 @@ class _Scopes(threading.local):
     """Written tables of the scopes that are open in this thread, innermost last."""
 
     def __init__(self):
-        self.open: list[list[DataFrame]] = []
+        self.open: list[list[DataFrame | Folder]] = []
 
 
 _scopes = _Scopes()
@@ -72,12 +72,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+class Folder:
+    """A folder in the shared one; a scope deletes it like a written table."""
+
+    def __init__(self, spark: SparkSession, written: str):
+        self.sparkSession, self.written = spark, written
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that the innermost open scope deletes."""
+    folder = Folder(spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    for scope in _scopes.open[-1:]:
+        scope.append(folder)
+    return folder.written
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame | Folder) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of past jobs.
 
     Spark drops these once the JVM's garbage collector has seen that no plan refers to them.
