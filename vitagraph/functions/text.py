@@ -154,9 +154,14 @@ def nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
+def decomposed(text: Column) -> Column:
+    """``nfkd``, which is asked for other texts than ASCII only, as these stay as they are."""
+    return F.coalesce(nfkd(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def canonical(text: Column) -> Column:
     """Words of a name: lower case, without parentheses, punctuation and stop words."""
-    bare = F.regexp_replace(nfkd(F.lower(F.coalesce(text, F.lit("")))), r"\([^)]*\)", " ")
+    bare = F.regexp_replace(decomposed(F.lower(F.coalesce(text, F.lit("")))), r"\([^)]*\)", " ")
     words = F.split(F.regexp_replace(bare, "[^a-z0-9]+", " "), " ")
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*STOP)), " ")
 
@@ -227,7 +232,7 @@ def accept_label(labels: Column, names: Column) -> Column:
 
 def slug(text: Column, length: int, empty: str) -> Column:
     """Lower-case words joined by dashes, cut to ``length``; ``empty`` if nothing is left."""
-    dashed = F.regexp_replace(nfkd(F.lower(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", "-")
+    dashed = F.regexp_replace(decomposed(F.lower(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", "-")
     cut = F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, length)
     return F.when(cut == "", F.lit(empty)).otherwise(cut)
 

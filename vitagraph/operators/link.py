@@ -24,34 +24,63 @@ def _forms(df: DataFrame, *ids: Column) -> DataFrame:
     return rows.withColumn("canon", text.canonical(F.col("form"))).drop("form")
 
 
-def best_match(candidates: DataFrame, nodes: DataFrame, threshold: float = NODE_THRESHOLD) -> DataFrame:
-    """cand_id, node_id, score, exact: the best node of the same type for each candidate, if any.
-
-    ``candidates`` has cand_id, name, type, aliases; ``nodes`` has ord, id, name, type, aliases.
-    Equal canonical names score 1; two names that both come out empty are equal too.  Else the
-    score is the greatest Jaccard of token sets over all pairs of forms.  Ties: the first node.
+def near_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """l, r, sim: the pairs of rows (key, type, toks) of one type whose token sets have a Jaccard of ``threshold`` or more.
 
-    Each distinct canonical name is compared once, however many candidates or nodes bear it: it
-    stands for the first node that bears it, which wins all ties among them.
+    Sets of a and b tokens that are this similar share at least ``need(a, b)`` of them, so in any one order of
+    tokens they share one among the first a - need + 1 of the one and the first b - need + 1 of the other.  The
+    order is rarest first, and sizes are part of what is joined on: sets of equal sizes often meet on a single
+    token each, their rarest, and a word that most names have joins nothing.  Empty sets are near nothing.
     """
-    c, n = _forms(candidates, F.col("cand_id")), _forms(nodes, F.col("ord"), F.col("id"))
-    ct = c.select(F.col("type").alias("c_type"), F.col("canon").alias("c_canon")).distinct()
-    ct = ct.withColumn("c_toks", text.token_set(F.col("c_canon")))
+    rows = left.select(F.lit(0).alias("side"), "key", "type", "toks").unionByName(right.select(F.lit(1).alias("side"), "key", "type", "toks"))
+    each = rows.select("side", "key", "type", F.explode("toks").alias("tok"))
+    often = each.groupBy("tok").agg(F.count("*").alias("often")).withColumnRenamed("tok", "_tok")
+    ranked = each.join(often, F.col("tok") == F.col("_tok")).groupBy("side", "key", "type").agg(F.array_sort(F.collect_list(F.struct("often", "tok"))).alias("s"))
+    ranked = ranked.withColumn("toks", F.transform("s", lambda x: x["tok"])).withColumn("n", F.size("s"))
+    small = 1e-9  # what rounding may add
+    sizes = F.sequence(F.ceil(F.col("n") * threshold - small).cast("int"), F.floor(F.col("n") / threshold + small).cast("int"))
+    met = ranked.select("side", "key", "type", "toks", "n", F.explode(sizes).alias("m"))
+    need = F.ceil((F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - small).cast("int")
+    keys = met.withColumn("tok", F.explode(F.slice("toks", F.lit(1), F.col("n") - need + 1)))
+    a = keys.where("side = 0").select("type", "tok", "n", "m", F.col("key").alias("l"), F.col("toks").alias("l_toks"))
+    b = keys.where("side = 1").select(F.col("type").alias("_type"), F.col("tok").alias("_t"), F.col("n").alias("_n"), F.col("m").alias("_m"), F.col("key").alias("r"), F.col("toks").alias("r_toks"))
+    both = a.join(b, (F.col("type") == F.col("_type")) & (F.col("tok") == F.col("_t")) & (F.col("n") == F.col("_m")) & (F.col("m") == F.col("_n")))
+    pairs = both.select("l", "r", text.jaccard(F.col("l_toks"), F.col("r_toks")).alias("sim")).where(F.col("sim") >= threshold)
+    return pairs.distinct()
+
+
+def best_nodes(names: DataFrame, nodes: DataFrame, threshold: float = NODE_THRESHOLD) -> DataFrame:
+    """type, canon, best (minus score, ord, id, inexact) for the names (type, canon) that a node has or is near to.
+
+    Each distinct name of a node is compared once: it stands for the first node that bears it, which wins
+    all ties among them.  Ties between names: the first node.
+    """
+    n = _forms(nodes, F.col("ord"), F.col("id"))
     nt = n.groupBy(F.col("type").alias("n_type"), F.col("canon").alias("n_canon")).agg(F.min(F.struct("ord", "id")).alias("n"))
-    nt = nt.withColumn("n_toks", text.token_set(F.col("n_canon")))
+    ct = names.select(F.col("type").alias("c_type"), F.col("canon").alias("c_canon")).distinct()
     exact = ct.join(nt, (F.col("c_type") == F.col("n_type")) & (F.col("c_canon") == F.col("n_canon")))
     exact = exact.select("c_type", "c_canon", "n", F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
-    # a pair at the threshold t shares a token among the first size - ceil(t * size) + 1 of each, in
-    # one fixed order; so only these few tokens are matched, and sizes must be in proportion
-    window = lambda toks: F.slice(F.array_sort(toks), 1, (F.size(toks) - F.ceil(F.size(toks) * threshold) + 1).cast("int"))
-    ce = ct.where(F.size("c_toks") > 0).withColumn("tok", F.explode(window(F.col("c_toks"))))
-    ne = nt.where(F.size("n_toks") > 0).withColumn("n_tok", F.explode(window(F.col("n_toks"))))
-    size = (F.least(F.size("c_toks"), F.size("n_toks")) / F.greatest(F.size("c_toks"), F.size("n_toks"))) >= threshold
-    near = ce.join(ne, (F.col("tok") == F.col("n_tok")) & (F.col("c_type") == F.col("n_type"))).where(size)
-    near = near.select("c_type", "c_canon", "n", text.jaccard(F.col("c_toks"), F.col("n_toks")).alias("score"), F.lit(False).alias("exact"))
+    keyed = lambda df, t, c: df.select(F.col(c).alias("key"), F.col(t).alias("type"), text.token_set(F.col(c)).alias("toks"))
+    # the type goes along, as names of several types may be equal
+    struct = lambda df: df.withColumn("key", F.struct("type", "key"))
+    pairs = near_pairs(struct(keyed(ct, "c_type", "c_canon")), struct(keyed(nt, "n_type", "n_canon")), threshold)
+    near = pairs.join(nt, (F.col("r.type") == F.col("n_type")) & (F.col("r.key") == F.col("n_canon")))
+    near = near.select(F.col("l.type").alias("c_type"), F.col("l.key").alias("c_canon"), "n", F.col("sim").alias("score"), F.lit(False).alias("exact"))
     # the least is the best: by score, then the first node, then exact before not
     rank = F.struct((-F.col("score")).alias("minus"), F.col("n.ord"), F.col("n.id"), (~F.col("exact")).alias("inexact"))
-    best = exact.unionByName(near.where(F.col("score") >= threshold)).groupBy("c_type", "c_canon").agg(F.min(rank).alias("best"))
+    return exact.unionByName(near).groupBy(F.col("c_type").alias("type"), F.col("c_canon").alias("canon")).agg(F.min(rank).alias("best"))
+
+
+def best_match(candidates: DataFrame, nodes: DataFrame, threshold: float = NODE_THRESHOLD) -> DataFrame:
+    """cand_id, node_id, score, exact: the best node of the same type for each candidate, if any.
+
+    ``candidates`` has cand_id, name, type, aliases; ``nodes`` has ord, id, name, type, aliases.
+    Equal canonical names score 1; two names that both come out empty are equal too.  Else the
+    score is the greatest Jaccard of token sets over all pairs of forms.  Ties: the first node.
+    However many candidates bear a name, it is compared once.
+    """
+    c = _forms(candidates, F.col("cand_id"))
+    best = best_nodes(c, nodes, threshold).withColumnsRenamed({"type": "c_type", "canon": "c_canon"})
     each = c.join(best, (F.col("type") == F.col("c_type")) & (F.col("canon") == F.col("c_canon")))
     top = each.groupBy("cand_id").agg(F.min("best").alias("best"))
     return top.select("cand_id", F.col("best.id").alias("node_id"), F.round(-F.col("best.minus"), 4).alias("score"), (~F.col("best.inexact")).alias("exact"))

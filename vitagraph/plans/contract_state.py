@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import vector_index
+from ..operators import leaders, propose, vector_index
+from ..operators.answers import named
 from ..runtime import scoped, scratch
 from . import mapping as M
 
@@ -35,3 +36,61 @@ def nearest_in_cells(spark: SparkSession, d: str) -> DataFrame:
     index = vector_index.build(rows, scratch(spark, "cells"))
     found = vector_index.search(index, rows.where("id % 50 = 0").select(F.col("id").alias("q_id"), F.col("v").alias("q")), 10, exact=True)
     return found.select(F.col("q_id").cast("long").alias("q_id"), F.col("id").cast("long").alias("vec_id"), "cos", "rk")
+
+
+# --- candidates in order ---------------------------------------------------------
+
+
+@query(""" WITH c AS (SELECT p_partkey AS k, p_name, 'The ' || p_name || ' (trial)' AS name, CASE WHEN p_partkey % 3 = 0 THEN 'outcome' ELSE 'drug' END AS type FROM part),
+  old AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1),
+  led AS (SELECT p_name, max(k) AS k FROM c WHERE type = 'drug' GROUP BY 1)
+  SELECT c.k AS cand_id, CASE WHEN type = 'outcome' THEN 'pt:' || old.k ELSE 'ga:' || substr(regexp_replace(regexp_replace(lower((SELECT x.name FROM c x WHERE x.k = led.k)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) END AS node_id,
+    CASE WHEN type = 'drug' AND c.k = led.k THEN 'new' ELSE 'match' END AS how
+  FROM c JOIN old USING (p_name) LEFT JOIN led USING (p_name)""")
+def names_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts, the last part first: of each name one type is there as a node, the other is led by the first candidate."""
+    key = F.col("p_partkey")
+    type_ = F.when(key % 3 == 0, "outcome").otherwise("drug")
+    name = F.concat(F.lit("The "), "p_name", F.lit(" (trial)"))
+    cands = M.read(spark, d, "part").select(key.alias("cand_id"), (-key).alias("pos"), F.lit(None).cast("string").alias("id"), name.alias("name"), type_.alias("type"))
+    return leaders.resolve_in_order(cands, M.graph(spark, d)).found
+
+
+PROPOSED = """ WITH p AS (SELECT o_orderkey AS k, 'agent ' || o_custkey % 40 AS s, 'effect ' || o_orderkey % 30 AS o,
+    CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'increase' WHEN '2' THEN 'decrease' WHEN '3' THEN 'no_effect' END AS dir, 'PMID:' || o_custkey % 500 AS src FROM orders),
+  f AS (SELECT *, min(k) OVER (PARTITION BY s, o, dir) AS made, min(k) OVER (PARTITION BY s, o, dir, src) = k AS added FROM p)"""
+
+
+def _proposed(spark: SparkSession, d: str) -> tuple:
+    """Each order proposes an edge between 40 agents and 30 effects, with a population for each direction, and cites one of 500 papers."""
+    first = F.substring("o_orderpriority", 1, 1)
+    direction = F.when(first == "1", "increase").when(first == "2", "decrease").when(first == "3", "no_effect")
+    text_ = lambda s: F.lit(s)
+    orders = M.read(spark, d, "orders").withColumn("direction", direction)
+    rows = orders.select(
+        F.col("o_orderkey").alias("cand_id"), F.concat(F.lit("agent "), F.col("o_custkey") % 40).alias("subject_name"), text_("drug").alias("subject_type"),
+        F.concat(F.lit("effect "), F.col("o_orderkey") % 30).alias("object_name"), text_("outcome").alias("object_type"), text_("improves").alias("relationship"), "direction",
+        F.concat(F.lit("people of "), "direction").alias("population"), text_("low").alias("certainty"), text_("A long enough title").alias("citation_title"),
+        F.lit(None).cast("string").alias("quote"), F.when(F.col("o_orderkey") % 2 == 0, "rct").otherwise("no such design").alias("study_design"),
+    )
+    resolved = orders.select(F.col("o_orderkey").alias("cand_id"), (F.col("o_custkey") % 500).cast("string").alias("source_id"))
+    return propose.persist(M.graph(spark, d), rows, resolved)
+
+
+@query(PROPOSED + """ SELECT k AS cand_id, CASE WHEN k = made THEN 'created' ELSE 'merged' END AS outcome, added FROM f""")
+def proposals_taken_in(spark: SparkSession, d: str) -> DataFrame:
+    return _proposed(spark, d)[1].select("cand_id", "outcome", "added")
+
+
+@query(PROPOSED + """ SELECT s AS subject, o AS object, dir AS direction, 'people of ' || dir AS population, src AS source_id, k % 2 = 0 AS has_design, 'agent:curator:model' AS extracted_by,
+    row_number() OVER (PARTITION BY s, o, dir ORDER BY k) AS ev_ord, (SELECT count(*) FROM (SELECT DISTINCT s FROM p)) + (SELECT count(*) FROM (SELECT DISTINCT o FROM p)) + (SELECT count(DISTINCT dir) FROM p) AS new_nodes
+  FROM f WHERE added""")
+def graph_after_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence that proposals brought, with the names of their claims' nodes, and how many nodes are new."""
+    g, new = M.graph(spark, d), _proposed(spark, d)[0]
+    claims = new.claim.where("status = 'unverified' and type = 'improves' and id like 'gc:%'").select("id", "subject", "object", "direction", "population")
+    for c in ("subject", "object", "population"):
+        claims = named(claims, new.node, c, f"_{c}")
+    n = new.node.count() - g.node.count()
+    rows = new.evidence.join(claims, F.col("claim") == claims["id"])
+    return rows.select(F.col("_subject").alias("subject"), F.col("_object").alias("object"), "direction", F.when(F.col("population").isNotNull(), F.col("_population")).alias("population"), "source_id", F.col("study_design").isNotNull().alias("has_design"), "extracted_by", "ev_ord", F.lit(n).cast("long").alias("new_nodes"))

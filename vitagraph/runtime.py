@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import gc
 import tempfile
 import threading
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -132,6 +133,20 @@ def scoped(label: str) -> Callable:
     return wrap
 
 
+@contextlib.contextmanager
+def keeping() -> Iterator[list[DataFrame]]:
+    """A scope whose written tables are deleted at its end, but those put into the list, which belong to the scope outside."""
+    kept: list[DataFrame] = []
+    _scopes.open.append([])
+    try:
+        yield kept
+    finally:
+        inner = _scopes.open.pop()
+        discard(*[t for t in inner if not any(t is k for k in kept)])
+        for scope in _scopes.open[-1:]:
+            scope.extend(t for t in inner if any(t is k for k in kept))
+
+
 def in_order(df: DataFrame, *order: Column, name: str) -> DataFrame:
     """Adds ``name``: 1, 2, 3, ... in the order given, which should leave no ties.
 
