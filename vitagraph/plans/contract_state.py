@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import leaders, propose, vector_index
 from ..operators.answers import named
 from ..runtime import scoped, scratch
+from ..streaming import limits
 from . import mapping as M
+from .contract_more import RATE
 
 QUERIES, ORACLES = {}, {}
 
@@ -94,3 +96,26 @@ def graph_after_proposals(spark: SparkSession, d: str) -> DataFrame:
     n = new.node.count() - g.node.count()
     rows = new.evidence.join(claims, F.col("claim") == claims["id"])
     return rows.select(F.col("_subject").alias("subject"), F.col("_object").alias("object"), "direction", F.when(F.col("population").isNotNull(), F.col("_population")).alias("population"), "source_id", F.col("study_design").isNotNull().alias("has_design"), "extracted_by", "ev_ord", F.lit(n).cast("long").alias("new_nodes"))
+
+
+# --- hits of a window ------------------------------------------------------------
+
+
+@query(RATE)
+def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events replayed late and out of order in micro-batches; the verdicts are those of the batch."""
+    events = M.read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    stream = limits.replayed(events, scratch(spark, "replay"), jitter_ms=3_600_000)
+    return limits.all_verdicts(limits.limited_stream(stream, 6, 86_400_000, "2 hours"), scratch(spark, "verdicts"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id, user_id) AS i FROM events),
+  p AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY user_id ORDER BY i), 0) AS before FROM e),
+  m AS (SELECT count(DISTINCT user_id) * 4 // 5 AS most FROM events),
+  s(epoch, start) AS (SELECT 0, 1::BIGINT UNION ALL
+    SELECT epoch, i + 1 FROM (SELECT s.epoch + 1 AS epoch, p.i, row_number() OVER (ORDER BY p.i) AS rn FROM s JOIN p ON p.i >= s.start AND p.before < s.start), m WHERE rn = most + 1)
+  SELECT user_id AS key, event_id AS seq, p.at_ms, (SELECT max(epoch) FROM s WHERE start <= p.i)::BIGINT AS epoch FROM p""")
+def key_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """How often a limiter that remembers four fifths of all users has forgotten them before an event."""
+    events = M.read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return limits.epochs(events, events.select("key").distinct().count() * 4 // 5)
