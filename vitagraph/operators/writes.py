@@ -187,40 +187,47 @@ def update_claims(g: Graph, rows: DataFrame) -> tuple[Graph, DataFrame]:
     return g.with_(claim=_overwrite(g.claim, checked.where("status_code = 200"), schema.CLAIM, ("ord", "created_at"))), checked
 
 
-def node_references(g: Graph, ids: list[str]) -> DataFrame:
+def _ids(g: Graph, ids: list[str] | DataFrame) -> DataFrame:
+    """Distinct ids as a table (id): of a list, or of a table with such a column."""
+    if isinstance(ids, DataFrame):
+        return ids.select("id").distinct()
+    return g.node.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
+
+
+def _without(table: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    return table.join(ids.select(F.col("id").alias("_gone")), F.col(column) == F.col("_gone"), "left_anti")
+
+
+def node_references(g: Graph, ids: list[str] | DataFrame) -> DataFrame:
     """id, refs: claims that touch a node (one each) and evidence that names it."""
     ends = g.claim.select(F.explode(F.array_distinct(F.array("subject", "object", "population", "mechanism"))).alias("id"))
-    both = ends.unionByName(g.evidence.select(F.col("source_node").alias("id"))).where(F.col("id").isin(*ids))
+    both = ends.unionByName(g.evidence.select(F.col("source_node").alias("id")))
+    both = both.join(_ids(g, ids).select(F.col("id").alias("_asked")), F.col("id") == F.col("_asked"), "left_semi")
     return both.groupBy("id").agg(F.count("*").alias("refs"))
 
 
-def delete_nodes(g: Graph, ids: list[str]) -> tuple[Graph, DataFrame]:
+def delete_nodes(g: Graph, ids: list[str] | DataFrame) -> tuple[Graph, DataFrame]:
     """Nodes go unless something refers to them; results hold id and status_code."""
-    asked = g.node.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
+    asked = _ids(g, ids)
     rows = _known(asked, g.node, "id", "_there").join(node_references(g, ids).withColumnRenamed("id", "_r"), F.col("id") == F.col("_r"), "left")
     rows = rows.select("id", F.when(~F.col("_there"), 404).when(F.coalesce("refs", F.lit(0)) > 0, 409).otherwise(200).alias("status_code"))
-    gone = rows.where("status_code = 200").select(F.col("id").alias("_i"))
-    return g.with_(node=g.node.join(gone, F.col("id") == F.col("_i"), "left_anti")), rows
+    return g.with_(node=_without(g.node, "id", rows.where("status_code = 200"))), rows
 
 
-def delete_claims(g: Graph, ids: list[str]) -> Graph:
+def delete_claims(g: Graph, ids: list[str] | DataFrame) -> Graph:
     """Claims with their evidence and contradictions."""
-    out = lambda c: ~F.coalesce(F.col(c).isin(*ids), F.lit(False))
+    gone = _ids(g, ids)
     return g.with_(
-        claim=g.claim.where(out("id")),
-        evidence=g.evidence.where(out("claim")),
-        listed=g.listed.where(out("claim")),
-        relation=g.relation.where(out("subject_claim") & out("object_claim")),
+        claim=_without(g.claim, "id", gone),
+        evidence=_without(g.evidence, "claim", gone),
+        listed=_without(g.listed, "claim", gone),
+        relation=_without(_without(g.relation, "subject_claim", gone), "object_claim", gone),
     )
 
 
-def delete_evidence(g: Graph, ids: list[str]) -> Graph:
-    out = lambda c: ~F.coalesce(F.col(c).isin(*ids), F.lit(False))
-    return g.with_(evidence=g.evidence.where(out("id")), listed=g.listed.where(out("evidence")))
-
-
-def drop_embeddings(table: DataFrame, owner_type: str, ids: list[str]) -> DataFrame:
-    return table.where(~((F.col("owner_type") == owner_type) & F.col("owner_id").isin(*ids)))
+def delete_evidence(g: Graph, ids: list[str] | DataFrame) -> Graph:
+    gone = _ids(g, ids)
+    return g.with_(evidence=_without(g.evidence, "id", gone), listed=_without(g.listed, "evidence", gone))
 
 
 def add_alias(g: Graph, id: str, alias: str) -> Graph:

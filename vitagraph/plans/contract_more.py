@@ -425,8 +425,7 @@ def delete_nodes(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'relation', count(*) FROM relation WHERE subject_claim NOT IN (SELECT id FROM gone) AND object_claim NOT IN (SELECT id FROM gone)""")
 def delete_claims(spark: SparkSession, d: str) -> DataFrame:
     g = M.graph(spark, d)
-    ids = [r["id"] for r in g.claim.where(F.col("object") == OBJECT).select("id").collect()]
-    after = writes.delete_claims(g, ids)
+    after = writes.delete_claims(g, g.claim.where(F.col("object") == OBJECT).select("id"))
     n = lambda t: getattr(after, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("entity"), "n")
     return n("claim").unionByName(n("evidence")).unionByName(n("relation"))
 

@@ -3,15 +3,17 @@ an index, and runs of several stages.  Each has its SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import leaders, propose, vector_index
+from ..operators import leaders, propose, search, vector_index
 from ..operators.answers import named
+from ..operators.live import Store
 from ..runtime import scoped, scratch
 from ..streaming import limits
 from . import mapping as M
-from .contract_more import RATE
+from .contract_more import ASKED, CORPUS, RATE
+from .prelude import PRELUDE
 
 QUERIES, ORACLES = {}, {}
 
@@ -119,3 +121,27 @@ def key_epochs(spark: SparkSession, d: str) -> DataFrame:
     """How often a limiter that remembers four fifths of all users has forgotten them before an event."""
     events = M.read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
     return limits.epochs(events, events.select("key").distinct().count() * 4 // 5)
+
+
+# --- an index kept current by writes ----------------------------------------------
+
+
+AFTER_WRITES = """, node2 AS (SELECT ord, id, type, CASE WHEN id LIKE 'su:%' AND split_part(id, ':', 2)::BIGINT % 3 = 0 THEN 'renamed ' || name ELSE name END AS name, domain FROM node
+    UNION ALL SELECT (SELECT max(ord) FROM node) + 1 + row_number() OVER (ORDER BY n_nationkey) - 1, 'new:' || n_nationkey, 'exercise', 'supplier in ' || n_name, '' FROM nation),
+  answer2 AS (SELECT s.*, s.ord AS a_ord, s.id AS a_claim, coalesce(x.name, s.subject) AS a_subject, coalesce(y.name, s.object) AS a_object, coalesce(z.name, s.population) AS a_population
+    FROM scored s LEFT JOIN node2 x ON s.subject = x.id LEFT JOIN node2 y ON s.object = y.id LEFT JOIN node2 z ON s.population = z.id WHERE split_part(s.subject, ':', 2)::BIGINT % 5 <> 0)"""
+
+
+@query(PRELUDE + AFTER_WRITES + CORPUS.format(ASKED, "'node', 'claim'", 60).replace("FROM node", "FROM node2").replace("FROM answer", "FROM answer2"))
+def search_after_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes made and renamed, claims deleted; the search reads the old index with what the writes added to it."""
+    g = M.graph(spark, d)
+    store = Store(g, scratch(spark, "live"), terms=M.term_index(spark, d))
+    nation = M.read(spark, d, "nation")
+    store.create_nodes(nation.select(F.col("n_nationkey").alias("row"), F.concat(F.lit("new:"), "n_nationkey").alias("id"), F.lit("exercise").alias("type"), F.concat(F.lit("supplier in "), "n_name").alias("name"), F.array().cast("array<string>").alias("external_ids")))
+    key = F.substring_index("id", ":", -1).cast("long")
+    store.update_nodes(g.node.where(F.col("id").startswith("su:") & (key % 3 == 0)).select(key.alias("row"), "id", "type", F.concat(F.lit("renamed "), "name").alias("name")))
+    store.delete_claims(g.claim.where(F.substring_index("subject", ":", -1).cast("long") % 5 == 0).select("id"))
+    rows = search.search(store.graph, ASKED, 60, index=store.terms.rows())
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "side", "ord"))  # k rows
+    return rows.select("owner_type", "owner_id", "name", "score", place.alias("place"))
