@@ -10,6 +10,7 @@ from ..operators import leaders, propose, search, vector_index
 from ..operators.answers import named
 from ..operators.live import Store
 from ..runtime import scoped, scratch
+from ..sources import pages
 from ..streaming import limits
 from . import mapping as M
 from .contract_more import ASKED, CORPUS, RATE
@@ -145,3 +146,16 @@ def search_after_writes(spark: SparkSession, d: str) -> DataFrame:
     rows = search.search(store.graph, ASKED, 60, index=store.terms.rows())
     place = F.row_number().over(Window.orderBy(F.desc("score"), "side", "ord"))  # k rows
     return rows.select("owner_type", "owner_id", "name", "score", place.alias("place"))
+
+
+# --- articles of pages -------------------------------------------------------------
+
+
+@query(r""" WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+  e AS (SELECT page_id, trim(regexp_replace(replace(replace(t, '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a)
+  SELECT page_id, CASE WHEN length(t) >= 200 THEN length(t) END AS n, CASE WHEN length(t) >= 200 THEN md5(t) END AS text_md5 FROM e""")
+def page_articles(spark: SparkSession, d: str) -> DataFrame:
+    """The articles of pages, found by the density of their text; these pages mark them, which the SQL goes by."""
+    text = pages.article_text(F.col("html"))
+    rows = M.read(spark, d, "pages").select("page_id", text.alias("t"))
+    return rows.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("text_md5"))

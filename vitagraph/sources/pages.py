@@ -3,68 +3,19 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.article import article
 from ..functions.text import html_to_text, norm_term
 
-ARTICLE_CHARS = 200
-_SKIP = {"script", "style", "noscript", "head", "nav", "header", "footer", "aside", "form"}
-_BLOCK = {"p", "article", "section", "div", "main", "li", "td", "blockquote", "pre"}
-
-
-class _Blocks(HTMLParser):
-    """Text of blocks, with how much of it stands in links."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.skip = self.link = 0
-        self.blocks: list[list] = [["", 0]]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.skip += 1
-        elif tag == "a":
-            self.link += 1
-        elif tag in _BLOCK:
-            self.blocks.append(["", 0])
-
-    def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "a":
-            self.link = max(0, self.link - 1)
-        elif tag in _BLOCK:
-            self.blocks.append(["", 0])
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.blocks[-1][0] += data
-            self.blocks[-1][1] += len(data) if self.link else 0
-
-
-def _article(html: str | None) -> str | None:
-    if html is None:
-        return None
-    parser = _Blocks()
-    parser.feed(html)
-    parser.close()
-    kept = [re.sub(r"\s+", " ", t).strip() for t, linked in parser.blocks if len(t) > 0 and linked < 0.5 * len(t)]
-    text = " ".join(t for t in kept if len(t.split()) >= 4)
-    return text if len(text) >= ARTICLE_CHARS else None
-
-
 @F.pandas_udf(StringType())
 def article_text(html: pd.Series) -> pd.Series:
-    """The running text of a page, without navigation and link lists; null if it is short.
-
-    A heuristic of its own: blocks of at least four words with less than half in links.
-    """
-    return html.map(_article)
+    """The text of a page's article, in one pass over Arrow batches of pages; null if there is none, or little."""
+    return html.map(article)
 
 
 def page_text(html: Column) -> Column:
