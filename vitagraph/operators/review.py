@@ -80,6 +80,26 @@ def recent_activity(runs: DataFrame, now: Column | None = None, days: int = 7) -
     return recent.groupBy("agent", "outcome").agg(F.count("*").alias("n")).select("agent", F.coalesce("outcome", F.lit("?")).alias("outcome"), "n")
 
 
+def review_stats(g: Graph, topics: DataFrame, runs: DataFrame, now: Column | None = None, days: int = 7) -> DataFrame:
+    """section, key, outcome, n of the review desk in one aggregation: claims by status (a null key is all of
+    them), nodes and papers, topics by status, and the last days' runs by agent and outcome.
+
+    Each table is read once, as rows of two labels; the totals are grouping sets of the same pass.
+    """
+    at = F.current_timestamp() if now is None else now
+    recent = runs.where(F.col("created_at") > at - F.make_interval(days=F.lit(days)))
+    none = F.lit(None).cast("string")
+    rows = g.claim.select(F.lit("claims").alias("section"), F.coalesce("status", F.lit("?")).alias("key"), none.alias("outcome"))
+    rows = rows.unionByName(g.node.select(F.lit("nodes").alias("section"), F.when(F.col("type") == "paper", "papers").otherwise("others").alias("key"), none.alias("outcome")))
+    rows = rows.unionByName(topics.select(F.lit("topics").alias("section"), F.coalesce("status", F.lit("?")).alias("key"), none.alias("outcome")))
+    rows = rows.unionByName(recent.select(F.lit("recent").alias("section"), F.coalesce("agent", F.lit("?")).alias("key"), F.coalesce("outcome", F.lit("?")).alias("outcome")))
+    sets = rows.groupingSets([["section"], ["section", "key"], ["section", "key", "outcome"]], "section", "key", "outcome")
+    made = sets.agg(F.count("*").alias("n"), F.grouping("key").alias("_all"), F.grouping("outcome").alias("_any"))
+    # runs are told apart by outcome, all else by key; every section has its total
+    wanted = (F.col("_all") == 1) | F.when(F.col("section") == "recent", F.col("_any") == 0).otherwise((F.col("_any") == 1) & (F.col("key") != "others"))
+    return made.where(wanted).select("section", "key", "outcome", "n")
+
+
 def reviewable(g: Graph) -> DataFrame:
     """Unverified claims with evidence."""
     have = g.evidence.select(F.col("claim").alias("_c"))
@@ -155,6 +175,21 @@ def batch_tallies(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count("*").alias("reviewed"), *[F.count_if(F.col("outcome") == n).alias(n) for n in names])
 
 
+def review_round(after: Graph, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The claims after a round of reviews, written, and one row of tallies with ``remaining``: how many
+    unverified claims with evidence are left, observed while the claims are written instead of counted again."""
+    from pyspark.sql import Observation
+
+    from ..runtime import materialize
+
+    have = after.evidence.select(F.col("claim").alias("_c")).distinct()
+    rows = after.claim.join(have, F.col("id") == F.col("_c"), "left")
+    seen = Observation()
+    left = F.count_if((F.col("status") == "unverified") & F.col("_c").isNotNull())
+    written = materialize(rows.observe(seen, left.alias("remaining")).drop("_c"), "reviewed-claims")
+    return written, batch_tallies(outcomes).withColumn("remaining", F.lit(seen.get["remaining"]).cast("long"))
+
+
 def evidence_badges(evidence: DataFrame, runs: DataFrame) -> DataFrame:
     """Evidence with ``resolved`` from the citation checks in the last review of its claim."""
     log = latest(runs.where("agent = 'reviewer'"), "claim_id", "created_at", "id")

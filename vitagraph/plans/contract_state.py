@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import leaders, propose, search, vector_index
+from ..operators import leaders, prompts, propose, review, search, vector_index
 from ..operators.answers import named
 from ..operators.live import Store
 from ..runtime import scoped, scratch
-from ..sources import pages
+from ..sources import pages, seed_source
 from ..streaming import limits
 from . import mapping as M
 from .contract_more import ASKED, CORPUS, RATE
@@ -159,3 +159,73 @@ def page_articles(spark: SparkSession, d: str) -> DataFrame:
     text = pages.article_text(F.col("html"))
     rows = M.read(spark, d, "pages").select("page_id", text.alias("t"))
     return rows.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("text_md5"))
+
+
+# --- seeds ---------------------------------------------------------------------------
+
+
+@query(PRELUDE + """ SELECT 'node' AS entity, id AS key, name AS value, 1 AS n FROM node WHERE type IN ('population', 'mechanism')
+  UNION ALL SELECT 'contradiction', 'rel:' || ord, subject_claim || ' ' || object_claim, 1 FROM relation
+  UNION ALL SELECT 'claim', type, status, count(*) FROM claim GROUP BY type, status
+  UNION ALL SELECT 'evidence', study_design, NULL, count(*) FROM evidence GROUP BY study_design""")
+def graph_from_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """The graph written as seed files and read by the data source, some of it by filters that the reader takes."""
+    path = scratch(spark, "seeds")
+    seed_source.write_seeds(M.graph(spark, d), path, 8)
+    table = lambda name: seed_source.seed_table(spark, path, name)
+    one, g = F.lit(1).cast("long").alias("n"), seed_source.load_seeds(spark, path)
+    out = table("nodes").where(F.col("type").isin("population", "mechanism")).select(F.lit("node").alias("entity"), F.col("id").alias("key"), F.col("name").alias("value"), one)
+    against = table("contradictions").where("type = 'contradicts'")
+    out = out.unionByName(against.select(F.lit("contradiction").alias("entity"), F.col("id").alias("key"), F.concat_ws(" ", "subject_claim", "object_claim").alias("value"), one))
+    out = out.unionByName(g.claim.groupBy(F.col("type").alias("key"), F.col("status").alias("value")).agg(F.count("*").alias("n")).withColumn("entity", F.lit("claim")))
+    return out.unionByName(g.evidence.groupBy(F.col("study_design").alias("key")).agg(F.count("*").alias("n")).selectExpr("'evidence' AS entity", "key", "CAST(NULL AS STRING) AS value", "n"))
+
+
+# --- the review desk -----------------------------------------------------------------
+
+
+@query(PRELUDE + """, runs AS (SELECT * FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY),
+  t AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status FROM orders)
+  SELECT 'claims' AS section, status AS key, NULL AS outcome, count(*) AS n FROM claim GROUP BY status UNION ALL SELECT 'claims', NULL, NULL, count(*) FROM claim
+  UNION ALL SELECT 'nodes', NULL, NULL, count(*) FROM node
+  UNION ALL SELECT 'topics', status, NULL, count(*) FROM t GROUP BY status UNION ALL SELECT 'topics', NULL, NULL, count(*) FROM t
+  UNION ALL SELECT 'recent', NULL, NULL, count(*) FROM runs HAVING count(*) > 0
+  UNION ALL SELECT 'recent', event_type, CASE WHEN value >= 5 THEN event_type ELSE '?' END, count(*) FROM runs GROUP BY ALL""")
+def review_desk(spark: SparkSession, d: str) -> DataFrame:
+    topics = M.read(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed").alias("status"))
+    runs = M.agent_runs(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    last = runs.agg(F.max("created_at").alias("t")).first()["t"]
+    return review.review_stats(M.graph(spark, d), topics, runs, F.lit(last))
+
+
+@query(PRELUDE + """, u AS (SELECT id, ord, EXISTS (SELECT 1 FROM evidence e WHERE e.claim = c.id) AS cited FROM claim c WHERE status = 'unverified'),
+  o AS (SELECT *, CASE ord % 3 WHEN 0 THEN 'curated' WHEN 1 THEN 'flagged' ELSE 'deferred' END AS outcome FROM u WHERE cited AND ord % 2 = 0)
+  SELECT count(*) AS reviewed, count(*) FILTER (outcome = 'curated') AS curated, count(*) FILTER (outcome = 'flagged') AS flagged, count(*) FILTER (outcome = 'deferred') AS deferred,
+    (SELECT count(*) FROM u WHERE cited AND NOT (ord % 2 = 0 AND ord % 3 <> 2)) AS remaining FROM o""")
+def review_round(spark: SparkSession, d: str) -> DataFrame:
+    """Every other reviewable claim is reviewed; deferred ones stay unverified."""
+    g = M.graph(spark, d)
+    third = F.col("ord") % 3
+    outcomes = review.reviewable(g).where("ord % 2 = 0").select("id", F.when(third == 0, "curated").when(third == 1, "flagged").otherwise("deferred").alias("outcome"))
+    new = outcomes.where("outcome <> 'deferred'").select(F.col("id").alias("_r"), F.when(F.col("outcome") == "curated", "curated").otherwise("needs_refinement").alias("_s"))
+    claim = g.claim.join(new, F.col("id") == F.col("_r"), "left").withColumn("status", F.coalesce("_s", "status")).drop("_r", "_s")
+    return review.review_round(g.with_(claim=claim), outcomes)[1]
+
+
+# --- prompts within a budget -----------------------------------------------------------
+
+
+@query(PRELUDE + """, l AS (SELECT type, name, id, id || ' (' || type || '): ' || name AS line FROM node),
+  s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY type ORDER BY name, id) AS upto FROM l)
+  SELECT type AS key, id, line, upto::BIGINT AS upto FROM s WHERE upto <= 6000""")
+def node_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes that a prompt about a type can list in 6,000 characters, by name."""
+    return prompts.node_lines(M.graph(spark, d), 6_000)
+
+
+@query(PRELUDE + """, pool AS (SELECT *, a_claim || ': ' || a_subject || ' ' || replace(type, '_', ' ') || ' ' || a_object || coalesce(' [' || certainty || ']', '') AS line FROM answer WHERE status = 'curated'),
+  s AS (SELECT *, sum(length(line) + 1) OVER (ORDER BY a_ord, a_claim) AS upto FROM pool)
+  SELECT md5(string_agg(line, chr(10) ORDER BY a_ord, a_claim)) AS catalogue_md5, count(*) AS n FROM s WHERE upto <= 20000""")
+def claim_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue of curated claims that fits into 20,000 characters of a prompt."""
+    return prompts.catalogue(M.graph(spark, d), 20_000).select(F.md5("catalogue").alias("catalogue_md5"), "n")
