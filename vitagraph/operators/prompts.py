@@ -46,11 +46,14 @@ def node_lines(g: Graph, budget: int) -> DataFrame:
 
 def claim_lines(g: Graph, claims: DataFrame) -> DataFrame:
     """ord, id, line: a claim in a line, as a catalogue lists it."""
-    rows = claims.select("ord", "id", "type", "subject", "object", "certainty")
-    for c in ("subject", "object"):
+    rows = claims.select("ord", "id", "type", "subject", "object", "population", "direction", "certainty")
+    for c in ("subject", "object", "population"):
         rows = named(rows, g.node, c, f"_{c}")
-    sure = F.when(F.col("certainty").isNotNull(), F.concat(F.lit(" ["), "certainty", F.lit("]"))).otherwise("")
-    line = F.concat("id", F.lit(": "), "_subject", F.lit(" "), F.replace("type", F.lit("_"), F.lit(" ")), F.lit(" "), "_object", sure)
+    part = lambda before, c, after="": F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(before), c, F.lit(after))).otherwise("")
+    line = F.concat(
+        "id", F.lit(" | "), "_subject", F.lit(" — "), F.replace("type", F.lit("_"), F.lit(" ")), part(" (", F.col("direction"), ")"), F.lit(" → "), "_object",
+        part(" · in ", F.col("_population")), part(" · ", F.col("certainty")),
+    )
     return rows.select("ord", "id", line.alias("line"))
 
 

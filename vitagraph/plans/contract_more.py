@@ -277,7 +277,7 @@ def _full():
 
 
 @query(f"""WITH n AS (SELECT p_partkey AS ord, {STEMMED.format(FULL)} AS t FROM part),
-  c AS (SELECT p_partkey AS k, {STEMMED.format(FULL + " || 'x'")} AS t FROM part WHERE p_partkey % 10 = 0),
+  c AS (SELECT p_partkey AS k, {STEMMED.format(FULL + " || 'x'")} AS t FROM part),
   s AS (SELECT k, ord, len(list_intersect(c.t, n.t)) / (len(c.t) + len(n.t) - len(list_intersect(c.t, n.t)))::DOUBLE AS s FROM c, n),
   b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, ord) AS rn FROM s WHERE s >= 0.82)
   SELECT k AS cand_id, 'pt:' || ord AS node_id, round(s, 4) AS score, s = 1 AS exact FROM b WHERE rn = 1""")
@@ -285,11 +285,11 @@ def fuzzy_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Long names of parts, one word changed, against those of all parts: 11 of 13 words in common."""
     parts, none = M.read(spark, d, "part"), F.array().cast(NONE).alias("aliases")
     nodes = parts.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("pt:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("outcome").alias("type"), _full().alias("name"), none)
-    cand = parts.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("cand_id"), F.lit("outcome").alias("type"), F.concat(_full(), F.lit("x")).alias("name"), none)
+    cand = parts.select(F.col("p_partkey").alias("cand_id"), F.lit("outcome").alias("type"), F.concat(_full(), F.lit("x")).alias("name"), none)
     return link.best_match(cand, nodes)
 
 
-@query(f"""WITH w AS (SELECT p_partkey AS k, {FULL} AS title FROM part WHERE p_partkey % 4 = 0), p AS (SELECT k, 0 AS ord, 'Erratum: ' || title AS title, k * 10 AS id FROM w
+@query(f"""WITH w AS (SELECT p_partkey AS k, {FULL} AS title FROM part), p AS (SELECT k, 0 AS ord, 'Erratum: ' || title AS title, k * 10 AS id FROM w
     UNION ALL SELECT k, 1, title || ' and many other words about something else entirely', k * 10 + 1 FROM w WHERE k % 8 = 0
     UNION ALL SELECT k, 2, replace(title, 'alpha', 'omega'), k * 10 + 2 FROM w WHERE k % 3 = 0),
   x AS (SELECT k, 0 AS ord, title, '10.1/' || k || '/review1' AS id FROM w UNION ALL SELECT k, 1, title, '10.1/' || k FROM w WHERE k % 5 = 0),
@@ -300,7 +300,7 @@ def fuzzy_nodes(spark: SparkSession, d: str) -> DataFrame:
   r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY via DESC, s DESC, ord) AS rn FROM s WHERE s >= 0.6)
   SELECT k AS want_id, id AS source_id, title AS matched_title, s AS score, via FROM r WHERE rn = 1""")
 def resolve_citations(spark: SparkSession, d: str) -> DataFrame:
-    w = M.read(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("want_id"), _full().alias("title"))
+    w = M.read(spark, d, "part").select(F.col("p_partkey").alias("want_id"), _full().alias("title"))
     key = F.col("want_id")
     of = lambda ord_, title, where=F.lit(True): w.where(where).select("want_id", F.lit(ord_).alias("ord"), title.alias("title"))
     p = of(0, F.concat(F.lit("Erratum: "), "title")).union(of(1, F.concat("title", F.lit(" and many other words about something else entirely")), key % 8 == 0))
@@ -311,19 +311,15 @@ def resolve_citations(spark: SparkSession, d: str) -> DataFrame:
     return link.resolve_citations(w, p, x.select("want_id", "ord", "title", doi.alias("doi"), F.lit("journal-article").alias("type")))
 
 
-@query(PRELUDE + """ SELECT o_orderkey AS cand_id, arg_min(id, CASE WHEN status = 'curated' THEN 0 ELSE 1 END * 1e15 + epoch(created_at) * 1e3 + 0) AS n_any, count(*) AS n
-  FROM (SELECT DISTINCT o_orderkey, 'su:' || (o_custkey % 10) AS s, 'pt:' || (o_orderkey % 200) AS o FROM orders) q JOIN claim c ON c.subject = q.s AND c.object = q.o AND c.type = 'treats' AND c.direction = 'decrease'
-  GROUP BY 1 HAVING count(*) = 1""")
+@query(PRELUDE + """ SELECT cand_id, id AS claim FROM (SELECT o_orderkey AS cand_id, c.id, row_number() OVER (PARTITION BY o_orderkey ORDER BY (status = 'curated') DESC NULLS LAST, created_at NULLS LAST, id) AS rn
+  FROM (SELECT DISTINCT o_orderkey, 'su:' || (o_custkey % 10) AS s, 'pt:' || (o_orderkey % 200) AS o FROM orders) q JOIN claim c ON c.subject = q.s AND c.object = q.o AND c.type = 'treats' AND c.direction = 'decrease') WHERE rn = 1""")
 def existing_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The claim that states an asked edge, where there is exactly one."""
+    """The claim that states an asked edge; of several the curated, then the oldest one."""
     q = M.read(spark, d, "orders").select(
         F.col("o_orderkey").alias("cand_id"), F.concat(F.lit("su:"), (F.col("o_custkey") % 10).cast("string")).alias("subject"),
         F.concat(F.lit("pt:"), (F.col("o_orderkey") % 200).cast("string")).alias("object"), F.lit("treats").alias("type"), F.lit("decrease").alias("direction"),
     )
-    g = M.graph(spark, d)
-    n = g.claim.where("type = 'treats' and direction = 'decrease'").groupBy(F.col("subject").alias("s"), F.col("object").alias("o")).agg(F.count("*").alias("n"))
-    one = q.join(n.where("n = 1"), (F.col("subject") == F.col("s")) & (F.col("object") == F.col("o"))).select("cand_id", "n")
-    return link.existing_claims(q, g).join(one, "cand_id").select("cand_id", F.col("claim").alias("n_any"), "n")
+    return link.existing_claims(q, M.graph(spark, d))
 
 
 # --- texts -----------------------------------------------------------------------
@@ -585,10 +581,16 @@ def token_usage(spark: SparkSession, d: str) -> DataFrame:
     return agents.usage(M.ask_log(spark, d))
 
 
-@query(f"""SELECT 'nodeTypes' AS vocab, unnest([{_list(t for t in schema.NODE_TYPES if t not in ("theory", "model", "knowledge_gap", "research_question"))}]) AS value
-  UNION ALL SELECT 'relationshipTypes', unnest([{_list(t for t in schema.RELATIONSHIPS if t not in ("explains", "informs", "generates"))}])""")
+@query(PRELUDE + f""", v AS (SELECT 'nodeTypes' AS vocab, unnest([{_list(t for t in schema.NODE_TYPES if t not in ("theory", "model", "knowledge_gap", "research_question"))}]) AS value
+    UNION ALL SELECT 'relationshipTypes', unnest([{_list(t for t in schema.RELATIONSHIPS if t not in ("explains", "informs", "generates"))}])),
+  n AS (SELECT 'nodeTypes' AS vocab, type AS value, count(*) AS n FROM node GROUP BY type UNION ALL SELECT 'relationshipTypes', type, count(*) FROM claim GROUP BY type)
+  SELECT v.vocab, v.value, coalesce(n.n, 0) AS n FROM v LEFT JOIN n ON v.vocab = n.vocab AND v.value = n.value""")
 def harvest_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return agents.harvest_vocabulary(M.graph(spark, d)).select("vocab", "value")
+    """The types that papers are asked for, and how many nodes or claims of each there are."""
+    g = M.graph(spark, d)
+    used = [getattr(g, t).groupBy(F.col("type").alias("_value")).agg(F.count("*").alias("n")).withColumn("_vocab", F.lit(v)) for t, v in (("node", "nodeTypes"), ("claim", "relationshipTypes"))]
+    rows = agents.harvest_vocabulary(g).join(used[0].unionByName(used[1]), (F.col("vocab") == F.col("_vocab")) & (F.col("value") == F.col("_value")), "left")
+    return rows.select("vocab", "value", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @query("""SELECT p_partkey AS id, p_name || '|' || p_type || '|' || p_brand AS terms, p_partkey % 3 = 0 AS same FROM part""")

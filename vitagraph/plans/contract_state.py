@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import leaders, prompts, propose, review, search, vector_index
+from ..operators import ask, leaders, prompts, propose, review, search, vector_index
 from ..operators.answers import named
 from ..operators.live import Store
 from ..runtime import scoped, scratch
@@ -14,7 +14,7 @@ from ..sources import pages, seed_source
 from ..streaming import limits
 from . import mapping as M
 from .contract_more import ASKED, CORPUS, RATE
-from .prelude import PRELUDE
+from .prelude import PRELUDE, TOKENS
 
 QUERIES, ORACLES = {}, {}
 
@@ -223,9 +223,49 @@ def node_lists(spark: SparkSession, d: str) -> DataFrame:
     return prompts.node_lines(M.graph(spark, d), 6_000)
 
 
-@query(PRELUDE + """, pool AS (SELECT *, a_claim || ': ' || a_subject || ' ' || replace(type, '_', ' ') || ' ' || a_object || coalesce(' [' || certainty || ']', '') AS line FROM answer WHERE status = 'curated'),
+@query(PRELUDE + """, pool AS (SELECT *, a_claim || ' | ' || a_subject || ' — ' || replace(type, '_', ' ') || coalesce(' (' || direction || ')', '') || ' → ' || a_object || coalesce(' · in ' || a_population, '') || coalesce(' · ' || certainty, '') AS line FROM answer WHERE status = 'curated'),
   s AS (SELECT *, sum(length(line) + 1) OVER (ORDER BY a_ord, a_claim) AS upto FROM pool)
   SELECT md5(string_agg(line, chr(10) ORDER BY a_ord, a_claim)) AS catalogue_md5, count(*) AS n FROM s WHERE upto <= 20000""")
 def claim_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue of curated claims that fits into 20,000 characters of a prompt."""
     return prompts.catalogue(M.graph(spark, d), 20_000).select(F.md5("catalogue").alias("catalogue_md5"), "n")
+
+
+# --- runs of several stages ------------------------------------------------------------
+
+
+ANSWERS = """, q AS (SELECT r_regionkey AS key, 'what improves a red widget for people in ' || lower(r_name) || ' with order' AS question FROM region),
+  corp AS (SELECT a_claim AS id, a_ord AS ord, status, concat_ws(' ', a_subject, replace(type, '_', ' '), a_object, 'in ' || a_population, direction, comparator) AS txt FROM answer),
+  texts AS (SELECT 'c' || id AS k, txt FROM corp UNION ALL SELECT 'q' || key, question FROM q), """ + TOKENS.format(key="k", text="txt", table="texts") + """,
+  n2 AS (SELECT k, sum(n * n)::BIGINT AS s FROM bk GROUP BY k),
+  dots AS (SELECT y.k AS q, x.k, sum(x.n * y.n)::BIGINT AS dot FROM bk x JOIN bk y ON x.bucket = y.bucket AND y.k LIKE 'q%' AND x.k LIKE 'c%' GROUP BY 1, 2),
+  sc AS (SELECT q, dots.k, floor(dot::DOUBLE / sqrt((a.s * b.s)::DOUBLE) * 10000 + 0.5) / 10000 AS score FROM dots JOIN n2 a ON a.k = dots.k JOIN n2 b ON b.k = dots.q),
+  near AS (SELECT q.key, corp.id, corp.status, row_number() OVER (PARTITION BY q.key ORDER BY coalesce(score, 0.0) DESC, ord) AS place FROM q CROSS JOIN corp LEFT JOIN sc ON sc.q = 'q' || q.key AND sc.k = 'c' || corp.id),
+  picked AS (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY place)::INT AS rank FROM near WHERE place <= 600 AND status = 'curated'),
+  c AS (SELECT * FROM picked WHERE rank <= 3 AND key <> 2),
+  src AS (SELECT c.key, c.rank, c.id, e.source_id, row_number() OVER (PARTITION BY c.key ORDER BY c.rank, e.ev_ord) AS i FROM c JOIN evidence e ON e.claim = c.id),
+  said AS (SELECT key, list_distinct(list(source_id)) AS ids, string_agg(source_id, ';' ORDER BY m) AS cites FROM (SELECT key, source_id, min(i) AS m FROM src WHERE i <= 2 GROUP BY ALL) GROUP BY key)
+  SELECT q.key, CASE WHEN q.key = 2 THEN 'failed' WHEN EXISTS (SELECT 1 FROM c WHERE c.key = q.key) THEN 'answered' ELSE 'no_evidence' END AS status,
+    (SELECT string_agg(c.id, ';' ORDER BY c.rank) FROM c WHERE c.key = q.key) AS claims, said.cites AS citations,
+    (SELECT count(*) FROM c WHERE c.key = q.key AND EXISTS (SELECT 1 FROM evidence e WHERE e.claim = c.id AND list_contains(said.ids, e.source_id))) AS n_cited
+  FROM q LEFT JOIN said ON said.key = q.key"""
+
+
+def _reader(prompts_: DataFrame) -> DataFrame:
+    """A recorded model: picks the first three claims listed, cites the first two sources it is given; one question gets no reply."""
+    picked = F.slice(F.regexp_extract_all("prompt", F.lit(r"(?m)^(\S+) \| "), F.lit(1)), 1, 3)
+    sources = F.slice(F.regexp_extract_all("prompt", F.lit(r"(?m)^    - (PMID:\d+)"), F.lit(1)), 1, 2)
+    said = F.concat(F.lit("This is known "), F.array_join(F.transform(sources, lambda s: F.concat(F.lit("["), s, F.lit("]"))), " and "), F.lit("."))
+    reply = F.when(F.col("prompt").contains("Claims:"), F.to_json(picked)).otherwise(said)
+    return prompts_.where("key <> 2").select("key", reply.alias("reply"), F.lit(10).alias("input_tokens"), F.lit(1).alias("output_tokens"))
+
+
+@query(PRELUDE + ANSWERS)
+def answered_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each region, answered from the claims nearest to it."""
+    name = F.concat(F.lit("what improves a red widget for people in "), F.lower("r_name"), F.lit(" with order"))
+    questions = M.read(spark, d, "region").select(F.col("r_regionkey").alias("key"), name.alias("question"))
+    made = ask.answer_questions(M.graph(spark, d), questions, _reader, scratch(spark, "answers"), 8, M.term_index(spark, d))
+    ids = F.when(F.size("claims") > 0, F.array_join(F.transform("claims", lambda c: c["id"]), ";"))
+    cites = F.when(F.size("citations") > 0, F.array_join("citations", ";"))
+    return made.select("key", "status", ids.alias("claims"), cites.alias("citations"), F.size(F.filter("claims", lambda c: c["cited"])).cast("long").alias("n_cited"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .. import schema
 from ..graph import Graph, conform, listed_from, load, save, vocabulary
-from ..runtime import exists, shared_dir, ship
+from ..runtime import Folder, discard, exists, shared_dir, ship, state_of
 
 KINDS = {1: "reduces_risk_of", 2: "improves", 3: "treats", 4: "increases_risk_of", 5: "worsens", 6: "recommends", 7: "is_a"}
 
@@ -111,25 +113,41 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(out, schema.RELATION)
 
 
-_built: dict[tuple[str, str], str] = {}
+#: The tables that the graph is made of.
+TABLES = ("region", "nation", "supplier", "part", "customer", "orders", "lineitem")
+#: By application and folder: the state of the tables that a graph was made of, and where it lies.
+_built: dict[tuple[str, str], tuple[str, Folder]] = {}
+
+
+def _forget(*keys: tuple[str, str]) -> None:
+    """Delete built graphs."""
+    for key in keys or list(_built):
+        with contextlib.suppress(Exception):  # at the end the application may be gone, and its folder with it
+            discard(_built.pop(key)[1])
+
+
+atexit.register(_forget)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The mapped graph, built once for each application and folder, and read from the shared folder.
+    """The mapped graph, built once for each application and state of a folder's tables, and read from the shared folder.
 
     Claims lie in order of their object and evidence in order of its claim, so that lookups by these
-    read few row groups.  A build that is gone is made again.
+    read few row groups.  A build that is gone, or whose tables have changed, is made again.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _built and exists(spark, f"{_built[key]}/vocab/_SUCCESS"):
-        return load(spark, _built[key])
+    now = state_of(spark, *[f"{sf_dir}/{t}.parquet" for t in TABLES])
+    if key in _built:
+        if _built[key][0] == now and exists(spark, f"{_built[key][1].written}/vocab/_SUCCESS"):
+            return load(spark, _built[key][1].written)
+        _forget(key)
     ev = evidence(spark, sf_dir)
     by = lambda df, *c: df.repartitionByRange(*c).sortWithinPartitions(*c)
     claim = by(claims(spark, sf_dir), "object", "ord")
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     ev = by(ev, "claim", "ev_ord")
     save(Graph(nodes(spark, sf_dir), claim, ev, by(listed_from(ev), "claim", "ev_ord"), relations(spark, sf_dir), vocabulary(spark)), path)
-    _built[key] = path
+    _built[key] = now, Folder(spark, path)
     return load(spark, path)
 
 
@@ -138,7 +156,7 @@ def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import search
 
     g = graph(spark, sf_dir)
-    path = f"{_built[spark.sparkContext.applicationId, sf_dir]}/terms"
+    path = f"{_built[spark.sparkContext.applicationId, sf_dir][1].written}/terms"
     if not exists(spark, f"{path}/_SUCCESS"):
         search.build_index(search.corpus(g)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -102,6 +102,16 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in found)
 
 
+def state_of(spark: SparkSession, *paths: str) -> str:
+    """What tells one state of files or folders from another: names, sizes and times of what lies there."""
+    context, found = spark.sparkContext, []
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(at)
+        found += [f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files]
+    return "\n".join(sorted(found))
+
+
 def discard(*tables: DataFrame | Folder) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of past jobs.
 
