@@ -44,11 +44,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones are dropped here already
 #: Further kinds, in the order in which they are listed after the base ones.
 FURTHER = (
-    ("provider", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{12,}|[sr]k[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
+    ("provider", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{12,}|[sr]k[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,})")),
     ("key", re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:((?:[^-]|-(?!----))*+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|((?:(?:[\s>|*#\"'+,]|\\[nrt])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nrt])++[A-Za-z0-9+/]{1,15}+(?:={1,2}+|\Z))?))")),
     ("url", re.compile(r"(?<=://)[^\s/:@]{1,64}:[^\s/:@]{4,128}(?=@[A-Za-z0-9])")),
     ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/_=-])")),
 )
+#: A web token is a provider's too.  Its first part may begin within a run of its characters; the run is
+#: looked through once, from its start, and not anew from each place within where a part could begin.
+WEB_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?\beyJ[A-Za-z0-9_-]{8})[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+WEB_START = re.compile(r"\beyJ[A-Za-z0-9_-]{8}")
 KINDS = ("assign", "access", "hex", *(k for k, _ in FURTHER))
 BASE = 3
 #: What is no part of a private key's body: escaped line ends, and characters out of its alphabet.
@@ -82,6 +86,8 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
             new = [(m.start(), k, m.end(), NO_KEY.sub("", m[1] or m[2] or "") or m[0]) for m in pattern.finditer(text)] if "PRIVATE KEY" in text else []
         else:
             new = [(m.start(), k, m.end(), m[0]) for m in pattern.finditer(text)]
+        if kind == "provider" and ".eyJ" in text:
+            new = _first_ones(new + _web_tokens(text, k))
         if kind == "random" and out:  # what another kind explains is not reported again
             new = _apart(new, out)
         out += new
@@ -89,6 +95,23 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
+def _web_tokens(text: str, kind: int) -> list[tuple]:
+    out = []
+    for m in WEB_TOKEN.finditer(text):
+        start = WEB_START.search(text, m.start()).start()
+        out.append((start, kind, m.end(), text[start : m.end()]))
+    return out
+
+
+def _first_ones(spans: list[tuple]) -> list[tuple]:
+    """Spans from left to right, without those that begin within one before them."""
+    out: list[tuple] = []
+    for x in sorted(spans):
+        if not out or x[0] >= out[-1][2]:
+            out.append(x)
+    return out
+
+
 def _apart(new: list[tuple], others: list[tuple]) -> list[tuple]:
     """The spans of ``new`` that overlap none of ``others``."""
     ends: list[int] = []  # of the others' union, as disjoint spans in order
