@@ -70,3 +70,22 @@ def test_a_round_leaves_what_is_not_decided(spark, g):  # noqa: F811
     written, tallies = review.review_round(after, outcomes)
     assert tuple(tallies.first()) == (2, 1, 0, 1, n - 1)
     assert written.count() == claims.count() and written.columns == claims.columns
+
+
+def test_decisions_are_logged(spark, g):  # noqa: F811
+    from vitagraph import schema
+    from vitagraph.operators.review import decide_claims
+
+    rows = [(1, "c1", "approve", "low"), (2, "c2", "approve", "odd"), (3, "c3", "approve", "high"), (4, "c3", "reject", None), (5, "c3", "approve", None), (6, "zz", "reject", None), (7, "c2", "approve", "moderate"), (8, "c2", "approve", None)]
+    decisions = spark.createDataFrame([(*r, f"note {r[0]}") for r in rows], "row int, id string, action string, certainty string, note string").withColumn("at", F.timestamp_seconds("row"))
+    runs = spark.createDataFrame([(7, "reviewer", None, "c1", "curated", None, None)], schema.AGENT_RUN)
+    after, log, results = decide_claims(g, runs, decisions)
+    assert {r["row"]: (r["status_code"], r["outcome"]) for r in results.collect()} == {
+        1: (200, "curated"), 2: (200, "curated"), 3: (200, "curated"), 4: (200, "rejected"), 5: (404, None), 6: (404, None), 7: (200, "curated"), 8: (200, "curated")
+    }
+    claims = {r["id"]: (r["status"], r["certainty"]) for r in after.claim.collect()}
+    assert claims["c1"] == ("curated", "low") and claims["c2"] == ("curated", "moderate") and "c3" not in claims
+    assert after.evidence.where("claim = 'c3'").count() == 0 and after.relation.where("object_claim = 'c3'").count() == 0
+    human = log.where("agent = 'human'").orderBy("id").collect()
+    assert [(r["id"], r["claim_id"], r["outcome"]) for r in human] == [(8, "c1", "curated"), (9, "c2", "curated"), (10, "c3", "curated"), (11, "c3", "rejected"), (12, "c2", "curated"), (13, "c2", "curated")]
+    assert '"note":"note 1"' in human[0]["summary"] and '"certainty":"low"' in human[0]["summary"]

@@ -75,7 +75,7 @@ def test_equal_to_a_loop(spark, seed):
     words = (5, 9) if seed % 2 else (1, 8)
     nodes = [(f"ga:n{k}", name(rng, *words), rng.choice(["drug", "scale"]), [name(rng, *words)] * (k % 2)) for k in range(5)]
     ids = [None, None, None, "ga:n1", "X:1", "X:2", "nocolon", " "]
-    cands = [(k, k * 3, rng.choice(ids) if seed > 1 else None, rng.choice([name(rng, *words), name(rng, *words).upper(), "(!)"]), rng.choice(["drug", "scale"])) for k in range(120)]
+    cands = [(k, k * 3, rng.choice(ids) if seed > 1 else None, rng.choice([name(rng, *words), name(rng, *words).upper(), "(!)"]), rng.choice(["drug", "scale"])) for k in range(60)]
     # the id of a node that is there, taken by a new name
     cands += [(500, 7, None, "n1", "tool"), (501, 8, None, "n1", "tool"), (502, 9, "ga:n1", "other", "tool")]
     found, new, aliases, g = run(spark, cands, nodes)
@@ -90,9 +90,9 @@ def test_equal_to_a_loop(spark, seed):
 
 def test_chains_and_ties(spark):
     nine = WORDS
-    chain = [(k, k, None, " ".join(f"w{j}" for j in range(k, k + 12)), "drug") for k in range(12)]
+    chain = [(k, k, None, " ".join(f"w{j}" for j in range(k, k + 12)), "drug") for k in range(6)]
     random.Random(1).shuffle(chain)
-    ties = [(100 + k, 100 + k, None, " ".join(w for j, w in enumerate(nine) if j != k % 9), "scale") for k in range(12)]
+    ties = [(100 + k, 100 + k, None, " ".join(w for j, w in enumerate(nine) if j != k % 9), "scale") for k in range(9)]
     cands = chain + ties + [(200, 300, None, " ".join(nine), "scale"), (201, 301, None, " ".join(reversed(nine)), "scale")]
     found, new, aliases, _ = run(spark, cands, [])
     assert (found, new, aliases) == loop(cands, [])

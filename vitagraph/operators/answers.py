@@ -348,6 +348,14 @@ def effects_on(g: Graph, object: str) -> DataFrame:
     return rows.join(F.broadcast(order), F.col("certainty") == F.col("_v"), "left").drop("_v")
 
 
+def contradictions(g: Graph) -> DataFrame:
+    """Pairs of claims that contradict each other, scoped by the first one's population and dose."""
+    a = g.claim.select(F.col("id").alias("claim_a"), F.col("direction").alias("dir_a"), F.col("population").alias("pop_a"), "dose")
+    b = g.claim.select(F.col("id").alias("claim_b"), F.col("direction").alias("dir_b"))
+    pairs = g.relation.where("type = 'contradicts'").join(a, F.col("subject_claim") == F.col("claim_a")).join(b, F.col("object_claim") == F.col("claim_b"))
+    return pairs.select("claim_a", "dir_a", "pop_a", "dose", "claim_b", "dir_b")
+
+
 def latest(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """The newest row of each key."""
     w = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col(tie).desc())

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import schema
 from ..functions import quality, text
-from ..graph import Graph
+from ..graph import Graph, conform
 from ..runtime import in_order
 from .answers import conflicted_claims, latest
 
@@ -122,6 +122,35 @@ def decide(g: Graph, claim: str, approve: bool, certainty: str | None = None) ->
     return g.with_(claim=new.withColumn("certainty", F.when(hit, F.coalesce(known, "certainty")).otherwise(F.col("certainty"))))
 
 
+def decide_claims(g: Graph, runs: DataFrame, decisions: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
+    """The graph and the run log after people's decisions, and (row, id, status_code, outcome) of each.
+
+    ``decisions``: row (their order), id, action (approve or reject), certainty, note, at.  Approved claims are curated, with
+    the last known certainty that was given; rejected ones go, with their evidence, and later decisions on them find
+    nothing.  Each decision that found its claim is logged as a run of ``human``.
+    """
+    from .writes import delete_claims
+
+    known = F.when(F.col("certainty").isin(*schema.CERTAINTIES), F.col("certainty"))
+    ends = decisions.where("action = 'reject'").groupBy(F.col("id").alias("_r")).agg(F.min("row").alias("_end"))
+    rows = decisions.withColumn("certainty", known).join(ends, F.col("id") == F.col("_r"), "left").join(g.claim.select(F.col("id").alias("_c")), F.col("id") == F.col("_c"), "left")
+    found = F.col("_c").isNotNull() & (F.col("_end").isNull() | (F.col("row") <= F.col("_end")))
+    outcome = F.when(found, F.when(F.col("action") == "reject", "rejected").otherwise("curated"))
+    rows = rows.select("row", "id", "action", "certainty", "note", "at", "_end", F.when(found, 200).otherwise(404).alias("status_code"), outcome.alias("outcome"))
+    done = rows.where("status_code = 200")
+    good = done.where("_end is null").groupBy(F.col("id").alias("_g")).agg(F.max(F.when(F.col("certainty").isNotNull(), F.struct("row", "certainty")))["certainty"].alias("_certainty"), F.max("at").alias("_at"))
+    after = delete_claims(g, done.where("outcome = 'rejected'").select("id"))
+    claim = after.claim.join(good, F.col("id") == F.col("_g"), "left")
+    put = {
+        "status": F.when(F.col("_g").isNotNull(), "curated").otherwise(F.col("status")),
+        "certainty": F.coalesce("_certainty", "certainty"),
+        "updated_at": F.coalesce(F.col("_at").cast(dict(g.claim.dtypes)["updated_at"]), "updated_at"),
+    }
+    after = after.with_(claim=claim.select(*[put.get(c, F.col(c)).alias(c) for c in g.claim.columns]))
+    log = done.select(F.lit("human").alias("agent"), F.col("id").alias("claim_id"), "outcome", F.to_json(F.struct("action", "note", "certainty")).alias("summary"), F.col("at").alias("created_at"))
+    return after, append_log(runs, conform(log.withColumn("id", F.lit(None).cast("long")), schema.AGENT_RUN)), rows.select("row", "id", "status_code", "outcome")
+
+
 # --- verdicts ----------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ask, leaders, prompts, propose, review, search, vector_index
-from ..operators.answers import named
+from ..operators.answers import contradictions, named
 from ..operators.live import Store
 from ..runtime import scoped, scratch
 from ..sources import pages, seed_source
@@ -212,6 +212,37 @@ def review_round(spark: SparkSession, d: str) -> DataFrame:
     return review.review_round(g.with_(claim=claim), outcomes)[1]
 
 
+DECIDED = """, d AS (SELECT o_orderkey AS k, 'cl:' || o_orderkey || '-1' AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'reject' ELSE 'approve' END AS action, CASE WHEN o_orderkey % 4 = 0 THEN 'high' END AS certainty FROM orders WHERE o_orderstatus = 'O'),
+  f AS (SELECT d.*, c.id IS NOT NULL AS found, c.certainty AS old FROM d LEFT JOIN claim c ON c.id = d.id)"""
+
+
+def _decided(spark: SparkSession, d: str) -> tuple:
+    """The first claim of each open order is decided on: every third is rejected."""
+    key = F.col("o_orderkey")
+    rows = M.read(spark, d, "orders").where("o_orderstatus = 'O'").select(
+        key.alias("row"), F.concat(F.lit("cl:"), key, F.lit("-1")).alias("id"), F.when(key % 3 == 0, "reject").otherwise("approve").alias("action"),
+        F.when(key % 4 == 0, "high").otherwise("no certainty").alias("certainty"), F.lit("seen").alias("note"), F.timestamp_seconds(key).alias("at"),
+    )
+    return review.decide_claims(M.graph(spark, d), M.agent_runs(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp")), rows)
+
+
+@query(PRELUDE + DECIDED + """ SELECT status, certainty, count(*) AS n FROM (
+    SELECT CASE WHEN f.id IS NOT NULL THEN 'curated' ELSE c.status END AS status, coalesce(f.certainty, c.certainty) AS certainty FROM claim c LEFT JOIN f ON f.id = c.id WHERE f.id IS NULL OR f.action = 'approve') GROUP BY ALL""")
+def claims_after_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d)[0].claim.groupBy("status", "certainty").agg(F.count("*").alias("n"))
+
+
+@query(PRELUDE + DECIDED + """ SELECT id AS claim_id, CASE action WHEN 'reject' THEN 'rejected' ELSE 'curated' END AS outcome, '{"action":"' || action || '","note":"seen"' || coalesce(',"certainty":"' || certainty || '"', '') || '}' AS summary,
+    (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY k) AS id FROM f WHERE found""")
+def human_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d)[1].where("agent = 'human'").select("claim_id", "outcome", "summary", "id")
+
+
+@query(PRELUDE + """ SELECT a.id AS claim_a, a.direction AS dir_a, a.population AS pop_a, b.id AS claim_b, b.direction AS dir_b FROM relation r JOIN claim a ON a.id = r.subject_claim JOIN claim b ON b.id = r.object_claim""")
+def contradictions_scoped(spark: SparkSession, d: str) -> DataFrame:
+    return contradictions(M.graph(spark, d)).drop("dose")
+
+
 # --- prompts within a budget -----------------------------------------------------------
 
 
