@@ -17,7 +17,7 @@ def test_as_a_plain_pattern():
         want = [(m.start(), m.end(), m[0]) for m in PLAIN.finditer(text)]
         assert [(a, b, v) for a, k, b, v in find(text) if k == BASE] == want, text
         found += bool(want)
-    assert found > 2_000
+    assert found > 200
 
 
 def test_hostile_runs_take_linear_time():
