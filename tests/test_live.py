@@ -57,3 +57,21 @@ def test_compaction_by_share(spark, g, tmp_path):
     store.delete_claims(ids)
     assert store.terms._generations()[1] == []
     same(store)
+
+
+def test_another_models_vectors(spark, g):  # noqa: F811
+    """A model that fails for some owners: a later run embeds what is missing, and nothing else."""
+    from vitagraph.operators import search
+
+    asked = []
+
+    def embed(rows, fails="node"):
+        asked.append(rows.count())
+        return rows.select("owner_type", "owner_id", F.when(F.col("owner_type") != fails, F.array(F.length("text").cast("double"), F.lit(0.0), F.lit(1.0))).alias("vector"))
+
+    corpus = search.corpus(g)
+    first = search.embeddings(corpus, "lengths-3", embed)
+    assert {r["owner_type"] for r in first.collect()} == {"claim"} and {r["model"] for r in first.collect()} == {"lengths-3"}
+    assert all(sum(x * x for x in r["vector"]) == pytest.approx(1.0) for r in first.collect())
+    second = search.reembed(g, first, model="lengths-3", embed=lambda rows: embed(rows, "nothing"))
+    assert second.count() == corpus.count() and asked[-1] == g.node.count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +68,20 @@ def search(g: Graph, q: str, k: int = 5, owner: str | None = None, index: DataFr
     return score(rows, q, index).orderBy(F.desc("score"), "side", "ord").limit(k).select("owner_type", "owner_id", "node_id", "name", "score", "side", "ord")
 
 
-def embeddings(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """Dense vectors in the layout of the embedding table; all zero for a text without tokens."""
+#: Rows (owner_type, owner_id, text) in, rows (owner_type, owner_id, vector) out; an owner without a row has failed.
+Embed = Callable[[DataFrame], DataFrame]
+
+
+def embeddings(rows: DataFrame, model: str = MODEL, embed: Embed | None = None) -> DataFrame:
+    """Dense vectors in the layout of the embedding table; all zero for a text without tokens.
+
+    With ``embed``, another model's, scaled to length 1; owners for which it has none are left out, so
+    that a later run finds them missing.
+    """
+    if embed is not None:
+        made = embed(rows.select("owner_type", "owner_id", "text")).where("vector is not null")
+        ident = F.concat(F.lit("emb-"), "owner_type", F.lit("-"), "owner_id").alias("id")
+        return made.select(ident, "owner_type", "owner_id", F.lit(model).alias("model"), text.l2_normalize(F.col("vector").cast("array<double>")).alias("vector"))
     sparse = vectors(rows).groupBy(F.col("owner_type").alias("_t"), F.col("owner_id").alias("_i")).agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m")  # at most 256 entries
     )
@@ -85,14 +99,14 @@ def missing(rows: DataFrame, table: DataFrame, model: str = MODEL) -> DataFrame:
     return rows.join(have, (F.col("owner_type") == F.col("_t")) & (F.col("owner_id") == F.col("_i")), "left_anti")
 
 
-def reembed(g: Graph, table: DataFrame, mode: str = "missing", model: str = MODEL) -> DataFrame:
+def reembed(g: Graph, table: DataFrame, mode: str = "missing", model: str = MODEL, embed: Embed | None = None) -> DataFrame:
     """The embedding table after a run: ``missing`` adds what lacks a vector, ``full`` makes all anew."""
     rows = corpus(g)
     if mode == "full":
-        return embeddings(rows, model)
+        return embeddings(rows, model, embed)
     if mode != "missing":
         raise ValueError(f"unknown mode: {mode}")
-    new = embeddings(missing(rows, table, model), model)
+    new = embeddings(missing(rows, table, model), model, embed)
     return upsert_embeddings(table, new)
 
 
