@@ -22,7 +22,7 @@ from .prompts import claim_lines
 from .propose import persist
 from .search import CATALOGUE, build_index, candidate_pool, context_lines, corpus, hydrate
 
-#: What is answered where nothing in the graph bears on a question.
+# Fixed text: what is answered where nothing in the graph bears on a question.
 NO_EVIDENCE = "The graph doesn't yet have evidence on this — no relevant claims were found."
 NONE = "array<string>"
 

@@ -23,7 +23,7 @@ from .link import existing_claims
 from .validate import candidate_errors
 from .writes import placed_after
 
-#: Who has extracted the evidence of proposals.
+# Fixed prefix of who has extracted the evidence of proposals.
 AGENT = "agent:curator:"
 EDGE = ["subject", "object", "relationship", "direction"]
 # Fixed text of an error, as callers know it.
