@@ -175,7 +175,7 @@ def test_a_replaced_table_gives_a_new_graph(spark, tmp_path):
     first = M.graph(spark, str(folder))
     n = first.node.count()
     key = (spark.sparkContext.applicationId, str(folder))
-    old = M._built[key][1].written
+    old = M._built[key][1]
     assert M.graph(spark, str(folder)).node.inputFiles() == first.node.inputFiles()
     regions = spark.read.parquet(f"{folder}/region.parquet").toPandas()
     regions.iloc[:2].to_parquet(folder / "region.parquet")

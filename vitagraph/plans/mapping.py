@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .. import schema
 from ..graph import Graph, conform, listed_from, load, save, vocabulary
-from ..runtime import Folder, discard, exists, shared_dir, ship, state_of
+from ..runtime import exists, remover, shared_dir, ship, state_of
 
 KINDS = {1: "reduces_risk_of", 2: "improves", 3: "treats", 4: "increases_risk_of", 5: "worsens", 6: "recommends", 7: "is_a"}
 
@@ -115,15 +116,15 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The tables that the graph is made of.
 TABLES = ("region", "nation", "supplier", "part", "customer", "orders", "lineitem")
-#: By application and folder: the state of the tables that a graph was made of, and where it lies.
-_built: dict[tuple[str, str], tuple[str, Folder]] = {}
+#: By application and folder: the state of the tables that a graph was made of, where it lies, and what deletes it.
+_built: dict[tuple[str, str], tuple[str, str, Callable[[], None]]] = {}
 
 
 def _forget(*keys: tuple[str, str]) -> None:
     """Delete built graphs."""
     for key in keys or list(_built):
         with contextlib.suppress(Exception):  # at the end the application may be gone, and its folder with it
-            discard(_built.pop(key)[1])
+            _built.pop(key)[2]()
 
 
 atexit.register(_forget)
@@ -138,8 +139,8 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     key = (spark.sparkContext.applicationId, sf_dir)
     now = state_of(spark, *[f"{sf_dir}/{t}.parquet" for t in TABLES])
     if key in _built:
-        if _built[key][0] == now and exists(spark, f"{_built[key][1].written}/vocab/_SUCCESS"):
-            return load(spark, _built[key][1].written)
+        if _built[key][0] == now and exists(spark, f"{_built[key][1]}/vocab/_SUCCESS"):
+            return load(spark, _built[key][1])
         _forget(key)
     ev = evidence(spark, sf_dir)
     by = lambda df, *c: df.repartitionByRange(*c).sortWithinPartitions(*c)
@@ -147,7 +148,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     ev = by(ev, "claim", "ev_ord")
     save(Graph(nodes(spark, sf_dir), claim, ev, by(listed_from(ev), "claim", "ev_ord"), relations(spark, sf_dir), vocabulary(spark)), path)
-    _built[key] = now, Folder(spark, path)
+    _built[key] = now, path, remover(spark, path)
     return load(spark, path)
 
 
@@ -156,7 +157,7 @@ def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import search
 
     g = graph(spark, sf_dir)
-    path = f"{_built[spark.sparkContext.applicationId, sf_dir][1].written}/terms"
+    path = f"{_built[spark.sparkContext.applicationId, sf_dir][1]}/terms"
     if not exists(spark, f"{path}/_SUCCESS"):
         search.build_index(search.corpus(g)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

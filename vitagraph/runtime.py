@@ -112,6 +112,13 @@ def state_of(spark: SparkSession, *paths: str) -> str:
     return "\n".join(sorted(found))
 
 
+def remover(spark: SparkSession, path: str) -> Callable[[], None]:
+    """A function that deletes a folder, also after the session has been stopped."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return lambda: store.delete(at, True)
+
+
 def discard(*tables: DataFrame | Folder) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of past jobs.
 
