@@ -119,3 +119,30 @@ def test_common_words_join_nothing(spark):
     cands = nodes.select(F.col("ord").alias("cand_id"), F.concat("name", F.lit("s")).alias("name"), "type", "aliases")
     got = link.best_match(cands, nodes)
     assert got.where(F.col("node_id") == F.concat(F.lit("n"), "cand_id")).count() == 100_000
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.82, 1.0])
+def test_near_pairs_are_all_found(spark, threshold):
+    from vitagraph.operators import link
+
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(40)]
+    make = lambda: [(f"{k}", rng.choice(["drug", "outcome"]), rng.sample(words[:9] if k % 3 else words, rng.randint(0, 9 if k % 3 else 24))) for k in range(160)]
+    left, right = make(), make()
+    right += [(f"c{k}", t, (toks + ["more"])[1:]) for k, (_, t, toks) in enumerate(left) if toks]
+    frame = lambda rows: spark.createDataFrame(rows, "key string, type string, toks array<string>")
+    got = {(r["l"], r["r"]): round(r["sim"], 9) for r in link.near_pairs(frame(left), frame(right), threshold).collect()}
+    sim = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    assert got == {(a, b): round(sim(x, y), 9) for a, t, x in left for b, u, y in right if t == u and x and y and sim(x, y) >= threshold}
+
+
+def test_names_of_middling_words_meet_few(spark):
+    """Words that many names have, none of them rare: names meet those that they are near to, not all that share a word or two."""
+    from vitagraph.operators import link
+
+    common = [f"common{k}" for k in range(6)]
+    names = [(f"{a}-{b}-{c}-{d}", "drug", [*common, f"a{a}", f"b{b}", f"c{c}", f"d{d}"]) for a in range(6) for b in range(6) for c in range(6) for d in range(10)]
+    left = spark.createDataFrame([(k, t, [*toks, "x"]) for k, t, toks in names], "key string, type string, toks array<string>")
+    right = spark.createDataFrame(names, "key string, type string, toks array<string>")
+    assert link.meetings(left, right, 0.82).count() < 25 * len(names)
+    assert link.near_pairs(left, right, 0.82).count() == len(names)

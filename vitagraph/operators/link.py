@@ -6,6 +6,8 @@ candidates share a token.  No bare theta join is planned.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,27 +26,57 @@ def _forms(df: DataFrame, *ids: Column) -> DataFrame:
     return rows.withColumn("canon", text.canonical(F.col("form"))).drop("form")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """l, r, sim: the pairs of rows (key, type, toks) of one type whose token sets have a Jaccard of ``threshold`` or more.
+#: How many tokens make a key, by how many of its own the longer of two sets may have beyond those in common; one beyond these.
+KEY_TOKENS = {0: 6, 1: 5, 2: 4, 3: 3, 4: 2, 5: 2, 6: 2}
 
-    Sets of a and b tokens that are this similar share at least ``need(a, b)`` of them, so in any one order of
-    tokens they share one among the first a - need + 1 of the one and the first b - need + 1 of the other.  The
-    order is rarest first, and sizes are part of what is joined on: sets of equal sizes often meet on a single
-    token each, their rarest, and a word that most names have joins nothing.  Empty sets are near nothing.
-    """
+
+def _shapes() -> list[tuple[int, int, list[int]]]:
+    """The ways to take ``x`` tokens of the ``first`` ones of a set: (first, x, places), for all keys of more than one token."""
+    return [(d + x, x, list(c)) for x in range(2, max(KEY_TOKENS.values()) + 1) for d in KEY_TOKENS if KEY_TOKENS[d] >= x for c in combinations(range(d + x), x)]
+
+
+def _keyed(ranked: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
+    """key, type, toks, n, m, picked: sets under each key that they may share with a set of m tokens, if ``other`` has any of that size."""
+    small = 1e-9  # what rounding may add
+    sizes = F.sequence(F.ceil(F.col("n") * threshold - small).cast("int"), F.floor(F.col("n") / threshold + small).cast("int"))
+    there = F.broadcast(other.select(F.col("type").alias("_type"), F.size("toks").alias("_m")).distinct())  # types and sizes
+    met = ranked.select("key", "type", "toks", "n", F.explode(sizes).alias("m")).join(there, (F.col("type") == F.col("_type")) & (F.col("m") == F.col("_m")), "left_semi")
+    met = met.withColumn("need", F.ceil((F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - small).cast("int"))
+    x = F.lit(1)
+    for beyond, tokens in KEY_TOKENS.items():
+        x = F.when(F.greatest("n", "m") - F.col("need") == beyond, tokens).otherwise(x)
+    met = met.withColumn("x", F.least(x, "need")).withColumn("first", F.col("n") - F.col("need") + F.col("x"))
+    shapes = F.broadcast(ranked.sparkSession.createDataFrame(_shapes(), "_first int, _x int, places array<int>"))
+    many = met.join(shapes, (F.col("first") == F.col("_first")) & (F.col("x") == F.col("_x")))
+    many = many.withColumn("picked", F.transform("places", lambda i: F.get("toks", i)))
+    one = met.where("x = 1").withColumn("picked", F.explode(F.transform(F.slice("toks", F.lit(1), F.col("first")), lambda t: F.array(t))))
+    cols = ["key", "type", "toks", "n", "m", "picked"]
+    return many.select(cols).unionByName(one.select(cols))
+
+
+def meetings(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """l, l_toks, r, r_toks: rows of one type that share a key, among them all pairs of ``near_pairs``; a pair once for each key."""
     rows = left.select(F.lit(0).alias("side"), "key", "type", "toks").unionByName(right.select(F.lit(1).alias("side"), "key", "type", "toks"))
     each = rows.select("side", "key", "type", F.explode("toks").alias("tok"))
     often = each.groupBy("tok").agg(F.count("*").alias("often")).withColumnRenamed("tok", "_tok")
     ranked = each.join(often, F.col("tok") == F.col("_tok")).groupBy("side", "key", "type").agg(F.array_sort(F.collect_list(F.struct("often", "tok"))).alias("s"))
     ranked = ranked.withColumn("toks", F.transform("s", lambda x: x["tok"])).withColumn("n", F.size("s"))
-    small = 1e-9  # what rounding may add
-    sizes = F.sequence(F.ceil(F.col("n") * threshold - small).cast("int"), F.floor(F.col("n") / threshold + small).cast("int"))
-    met = ranked.select("side", "key", "type", "toks", "n", F.explode(sizes).alias("m"))
-    need = F.ceil((F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - small).cast("int")
-    keys = met.withColumn("tok", F.explode(F.slice("toks", F.lit(1), F.col("n") - need + 1)))
-    a = keys.where("side = 0").select("type", "tok", "n", "m", F.col("key").alias("l"), F.col("toks").alias("l_toks"))
-    b = keys.where("side = 1").select(F.col("type").alias("_type"), F.col("tok").alias("_t"), F.col("n").alias("_n"), F.col("m").alias("_m"), F.col("key").alias("r"), F.col("toks").alias("r_toks"))
-    both = a.join(b, (F.col("type") == F.col("_type")) & (F.col("tok") == F.col("_t")) & (F.col("n") == F.col("_m")) & (F.col("m") == F.col("_n")))
+    # the hash stands for the key: pairs that it brings together by chance are no near ones
+    a = _keyed(ranked.where("side = 0"), right, threshold).select(F.xxhash64("type", "n", "m", "picked").alias("k"), F.col("type").alias("l_type"), F.col("key").alias("l"), F.col("toks").alias("l_toks"))
+    b = _keyed(ranked.where("side = 1"), left, threshold).select(F.xxhash64("type", "m", "n", "picked").alias("_k"), F.col("type").alias("r_type"), F.col("key").alias("r"), F.col("toks").alias("r_toks"))
+    return a.join(b, (F.col("k") == F.col("_k")) & (F.col("l_type") == F.col("r_type"))).select("l", "l_toks", "r", "r_toks")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """l, r, sim: the pairs of rows (key, type, toks) of one type whose token sets have a Jaccard of ``threshold`` or more.
+
+    Sets of a and b tokens that are this similar share at least ``need(a, b)`` of them, so in any one order of
+    tokens they share x among the first a - need + x of the one and the first b - need + x of the other, for
+    every x up to need.  All choices of x of these tokens are the keys of a set.  The order is rarest first, and
+    sizes are part of a key: a word that most names have joins nothing, nor does one that many have, as a key is
+    as many tokens as keep their number small.  Empty sets are near nothing.
+    """
+    both = meetings(left, right, threshold)
     pairs = both.select("l", "r", text.jaccard(F.col("l_toks"), F.col("r_toks")).alias("sim")).where(F.col("sim") >= threshold)
     return pairs.distinct()
 
