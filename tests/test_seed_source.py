@@ -63,3 +63,25 @@ def test_edges(spark, tmp_path):
     assert load_seeds(spark, f"{tmp_path}/none.json").claim.count() == 0
     with pytest.raises(Exception, match="gone"):
         seed_table(spark, f"{tmp_path}/gone", "nodes").count()
+
+
+def test_written_seeds_come_back_from_files_of_bounded_size(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from vitagraph.sources.seed import load_graph
+    from vitagraph.sources.seed_source import load_seeds, write_seeds
+
+    more = [{"id": f"n{k}", "type": "drug", "name": f'A "name"\n{k}'} for k in range(500)]
+    write(tmp_path / "s.json", **{**SEED, "nodes": SEED["nodes"] + more})
+    g = load_graph(spark, f"{tmp_path}/s.json")
+    write_seeds(g, f"{tmp_path}/out", 2, most=50)
+    written = [p.read_text() for p in (tmp_path / "out").rglob("part-*")]
+    sizes = [sum(len(json.loads(t)[k]) for k in SEED) for t in written]
+    assert sum(sizes) == g.node.count() + 6 and len(written) > 8 and max(sizes) < 100
+    assert max(len(line) for t in written for line in t.splitlines()) < 1000  # an entry is a line: no task puts a file together
+    again = load_seeds(spark, f"{tmp_path}/out")
+    for table in ("node", "claim", "evidence", "listed", "relation"):
+        plain = lambda x: getattr(x, table).drop("ord", "ev_ord")  # noqa: B023, E731
+        assert rows(plain(again)) == rows(plain(g)), table
+    write_seeds(g.with_(**{t: getattr(g, t).where(F.lit(False)) for t in ("node", "claim", "evidence", "listed", "relation")}), f"{tmp_path}/none", 2)
+    assert load_seeds(spark, f"{tmp_path}/none").node.count() == 0

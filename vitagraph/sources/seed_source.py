@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition
@@ -29,6 +29,8 @@ from .seed import GRAPH_FILE
 NAME, TABLES = "graph_seed", ("nodes", "claims", "evidence", "contradictions")
 #: Places within a file that are told apart in ``ord``.
 PER_FILE = 1 << 32
+#: Entries of a file that is written, about.
+MOST_ENTRIES = 50_000
 
 
 def _fields(table: str) -> list[T.StructField]:
@@ -155,21 +157,28 @@ def load_seeds(spark: SparkSession, path: str) -> Graph:
     )
 
 
-def write_seeds(g: Graph, path: str, files: int) -> None:
-    """The graph as a folder of about ``files`` seed files, each with the nodes, claims, evidence and contradictions of a part of the ids.
+def write_seeds(g: Graph, path: str, files: int, most: int = MOST_ENTRIES) -> None:
+    """The graph as a folder of ``files`` seed files, each with the nodes, claims, evidence and contradictions of a part of the ids.
 
-    An entry's place is kept within its file; a claim's evidence goes with the claim.
+    There are more files if each would hold more than about ``most`` entries, as a reader takes a file as a whole.
+    An entry's place is kept within its file; a claim's evidence goes with the claim.  Files are written line by
+    line from sorted rows, so no task holds one.
     """
+    spark = g.node.sparkSession
+    files = max(files, -(-sum(df.count() for df in (g.node, g.claim, g.evidence, g.relation)) // most))
     listed = g.listed.groupBy(F.col("claim").alias("_claim")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ev_ord", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
     claims = g.claim.join(listed, F.col("id") == F.col("_claim"), "left")
-    parts = None
+    # a file's lines: before each list and at the end what stands between them (kind 0), then its entries (kind 1)
+    between = ['{"version":1,', *["],"] * (len(TABLES) - 1), "]}"]
+    opens = [F.struct(F.lit(k).alias("t"), F.lit(b + (f'"{TABLES[k]}":[' if k < len(TABLES) else "")).alias("j")) for k, b in enumerate(between)]
+    lines = spark.range(files).select(F.col("id").alias("part"), F.explode(F.array(*opens)).alias("l"))
+    lines = lines.select("part", "l.t", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("o"), "l.j")
     for table, rows, key in (("nodes", g.node, "id"), ("claims", claims, "id"), ("evidence", g.evidence, "claim"), ("contradictions", g.relation, "id")):
         order = F.col("ord") if "ord" in rows.columns else F.col("ev_ord")
         entry = F.struct(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in _fields(table)])
-        part = rows.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("part"), F.lit(table).alias("t"), order.alias("o"), F.to_json(entry).alias("j"))
-        parts = part if parts is None else parts.unionByName(part)
-    every = F.array_sort(F.collect_list(F.struct("t", "o", "j")))
-    of = lambda table: F.transform(F.filter("every", lambda x: x["t"] == table), lambda x: x["j"])
-    lists = [F.concat(F.lit(f'"{t}":['), F.array_join(of(t), ","), F.lit("]")) for t in TABLES]
-    text = parts.groupBy("part").agg(every.alias("every")).select("part", F.concat(F.lit('{"version":1,'), F.concat_ws(",", *lists), F.lit("}")).alias("value"))
-    text.repartition(files, "part").select("value", "part").write.partitionBy("part").text(path)
+        part = F.pmod(F.xxhash64(key), F.lit(files)).alias("part")
+        lines = lines.unionByName(rows.select(part, F.lit(TABLES.index(table)).alias("t"), F.lit(1).alias("kind"), order.alias("o"), F.to_json(entry).alias("j")))
+    place = ["kind", "o", "j"]
+    nth = F.row_number().over(Window.partitionBy("part", "t").orderBy(*place))
+    lines = lines.repartition(files, "part").withColumn("value", F.when(nth > 2, F.concat(F.lit(","), "j")).otherwise(F.col("j")))
+    lines.sortWithinPartitions("part", "t", *place).select("value", "part").write.partitionBy("part").text(path)
