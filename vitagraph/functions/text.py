@@ -87,10 +87,10 @@ class WordBuckets(dict):
         return made
 
 
-def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, bucket, tf, norm2: token counts of each row folded into DIMENSION buckets, and their squares' sum.
+def term_lists(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, buckets, tfs, norm2: token counts of each row folded into DIMENSION buckets, those that are there, and their squares' sum.
 
-    One pass over the texts, without a shuffle; a text without tokens has no rows.
+    One pass over the texts, without a shuffle; a text without tokens has no row.
     """
     import numpy as np
     import pyarrow as pa
@@ -112,16 +112,23 @@ def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
                     if found:
                         n = np.bincount(found, minlength=DIMENSION)
                         here = np.flatnonzero(n)
-                        take.append(np.full(len(here), k))
+                        take.append(k)
                         bucket.append(here)
                         tf.append(n[here])
-                        norm.append(np.full(len(here), int((n * n).sum())))
+                        norm.append(int((n * n).sum()))
                 if take:
-                    own = part.select(keys).take(pa.array(np.concatenate(take)))
-                    made = [pa.array(np.concatenate(v), t) for v, t in ((bucket, pa.int32()), (tf, pa.int64()), (norm, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*keys, "bucket", "tf", "norm2"])
+                    own = part.select(keys).take(pa.array(take, pa.int64()))
+                    ends = pa.array(np.cumsum([0, *map(len, bucket)]), pa.int32())
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(v), t)) for v, t in ((bucket, pa.int32()), (tf, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *lists, pa.array(norm, pa.int64())], names=[*keys, "buckets", "tfs", "norm2"])
+
+    return rows.mapInArrow(run, f"{kinds}, buckets array<int>, tfs array<bigint>, norm2 bigint")
 
-    return rows.mapInArrow(run, f"{kinds}, bucket int, tf bigint, norm2 bigint")
+
+def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, bucket, tf, norm2: ``term_lists`` with a row for each bucket."""
+    each = term_lists(df, keys, text).select(*keys, F.explode(F.arrays_zip("buckets", "tfs")).alias("t"), "norm2")
+    return each.select(*keys, F.col("t.buckets").alias("bucket"), F.col("t.tfs").alias("tf"), "norm2")
 
 
 def sparse_vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
