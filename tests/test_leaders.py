@@ -121,6 +121,20 @@ def test_common_words_join_nothing(spark):
     assert got.where(F.col("node_id") == F.concat(F.lit("n"), "cand_id")).count() == 100_000
 
 
+def test_of_one_name_two_candidates_are_looked_at(spark, monkeypatch):
+    """Many candidates of few names: the work on names is on two of each, and all become what one by one they would."""
+    from vitagraph.operators import leaders
+
+    names = ["ba co", "ba  co!", "ba co di fu ge", "ba co di fu ge ha", "X!", ""]
+    rows = [(k, 1000 - k, "pt:1" if k % 50 == 0 else None, names[k % 6], "drug") for k in range(700)]
+    seen, classes = [], leaders._classes
+    monkeypatch.setattr(leaders, "_classes", lambda c: (seen.append(c.count()), classes(c))[1])
+    got, new, aliases, _ = run(spark, rows, [("ga:x", "Other", "drug", [])])
+    assert seen == [2 * 6 + 14]
+    want = loop(sorted(rows, key=lambda r: r[1]), [("ga:x", "Other", "drug", [])])
+    assert got == want[0] and new == want[1] and aliases == want[2]
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.6, 0.82, 1.0])
 def test_near_pairs_are_all_found(spark, threshold):
     from vitagraph.operators import link

@@ -9,6 +9,7 @@ some, and candidates without anything in common all in one round.  There are as
 longest chain of candidates has members of which each must wait for the one before: few, but for
 runs whose names drift step by step.
 
+Of candidates without an id that bear one name only the first two are looked at; the others become what these do.
 Names of one type with the same set of tokens are one class.  Whatever its first member becomes all
 others do, however many there are, so only classes are joined, by ``near_pairs``.
 
@@ -56,11 +57,39 @@ def _classes(candidates: DataFrame) -> DataFrame:
     return rows.withColumn("would", F.when(text.is_curie(F.col("given")), F.col("given")).otherwise(text.node_id(F.col("name"))))
 
 
+def _some_of_each(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """name, type, pos of the first candidate of each name without an id, and the candidates that tell what all become.
+
+    These are those with ids, and the first two of each name: all of a name are one node, made by the first at most, and
+    the second is the first that may bring an alias.
+    """
+    blank = F.trim(F.coalesce("id", F.lit(""))) == ""
+    plain = candidates.where(blank).select(F.col("pos").cast("long").alias("pos"), "name", "type")
+    first = materialize(plain.groupBy("name", "type").agg(F.min("pos").alias("pos")), "first-of-names")
+    again = first.select(F.col("name").alias("_n"), F.col("type").alias("_t"), F.col("pos").alias("_p"))
+    same = F.col("name").eqNullSafe(F.col("_n")) & F.col("type").eqNullSafe(F.col("_t"))
+    second = plain.join(again, same).where("pos > _p").groupBy("name", "type").agg(F.min("pos").alias("pos"))
+    at = first.select("pos").unionByName(second.select("pos")).select(F.col("pos").alias("_at"))
+    return first, candidates.where(~blank).unionByName(candidates.where(blank).join(at, F.col("pos") == F.col("_at"), "left_semi"))
+
+
+def _found(candidates: DataFrame, first: DataFrame, resolved: DataFrame) -> DataFrame:
+    """cand_id, node_id, how of all candidates, from those that were resolved."""
+    blank = F.trim(F.coalesce("id", F.lit(""))) == ""
+    led = first.join(resolved.select(F.col("pos").alias("_pos"), "node_id", F.col("how").alias("_how")), F.col("pos") == F.col("_pos"))
+    led = led.select(F.col("name").alias("_n"), F.col("type").alias("_t"), "_pos", "node_id", "_how")
+    same = F.col("name").eqNullSafe(F.col("_n")) & F.col("type").eqNullSafe(F.col("_t"))
+    plain = candidates.where(blank).join(led, same).select("cand_id", "node_id", F.when(F.col("pos") == F.col("_pos"), F.col("_how")).otherwise("match").alias("how"))
+    own = candidates.where(~blank).select(F.col("pos").cast("long").alias("_own"))
+    return plain.unionByName(resolved.join(own, F.col("pos") == F.col("_own"), "left_semi").select("cand_id", "node_id", "how"))
+
+
 def resolve_in_order(candidates: DataFrame, g: Graph, threshold: float = NODE_THRESHOLD) -> Resolution:
     """Candidates (cand_id, pos, id, name, type), ``pos`` without ties, resolved as if one by one in order of ``pos``."""
     ship(candidates.sparkSession)
     with keeping() as kept:
-        rows = materialize(_classes(candidates), "candidates")
+        opening, some = _some_of_each(candidates)
+        rows = materialize(_classes(some), "candidates")
         there = g.node.groupBy(F.col("id").alias("_id")).agg(F.min("ord").alias("_ord"))
         asked = rows.where(F.col("given").isNotNull()).select("cand_id", "given").join(there, F.col("given") == F.col("_id")).select(F.col("cand_id").alias("_c"))
         asked = materialize(asked, "known-ids")
@@ -84,7 +113,7 @@ def resolve_in_order(candidates: DataFrame, g: Graph, threshold: float = NODE_TH
         own = own.select(F.col("id").alias("_i"), text.canonical(F.col("form")).alias("_f"))
         aliases = names.join(own, (F.col("id") == F.col("_i")) & (F.col("canon") == F.col("_f")), "left_anti").select("id", "r.pos", F.trim("r.name").alias("alias"))
         aliases = materialize(aliases, "new-aliases")
-        found = materialize(all_.select("cand_id", "node_id", "how"), "found-nodes")
+        found = materialize(_found(candidates, opening, all_), "found-nodes")
         kept += [found, made, aliases]
     return Resolution(found, made, aliases)
 

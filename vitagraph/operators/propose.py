@@ -30,13 +30,15 @@ EDGE = ["subject", "object", "relationship", "direction"]
 NO_CURIE = "each evidence needs a CURIE source_id (DOI:/PMID:/URL)"
 
 
-def _ends(good: DataFrame, active: DataFrame) -> DataFrame:
-    """Names to resolve: subject, object and, for those in ``active``, the population of each proposal, in this order."""
+def _ends(good: DataFrame, active: DataFrame | None) -> DataFrame:
+    """Names to resolve: subject, object and, for those in ``active`` (all if none), the population of each proposal, in this order."""
     out = []
     for k, role in enumerate(("subject", "object")):
         id_ = F.col(f"{role}_id") if f"{role}_id" in good.columns else F.lit(None)
         out.append(good.select(F.col("cand_id"), F.lit(k).alias("k"), id_.cast("string").alias("id"), F.col(f"{role}_name").alias("name"), F.col(f"{role}_type").alias("type")))
-    pop = good.where(F.coalesce("population", F.lit("")) != "").join(active, F.col("cand_id") == F.col("_a"), "left_semi")
+    pop = good.where(F.coalesce("population", F.lit("")) != "")
+    if active is not None:
+        pop = pop.join(active, F.col("cand_id") == F.col("_a"), "left_semi")
     out.append(pop.select("cand_id", F.lit(2).alias("k"), F.lit(None).cast("string").alias("id"), F.col("population").alias("name"), F.lit("population").alias("type")))
     every = out[0].unionByName(out[1]).unionByName(out[2])
     return every.select(F.struct("cand_id", "k").alias("cand_id"), (F.col("cand_id").cast("long") * 3 + F.col("k")).alias("pos"), "id", "name", "type")
@@ -98,7 +100,7 @@ def persist(g: Graph, proposals: DataFrame, resolved: DataFrame, model: str = "m
         rows = materialize(candidate_errors(proposals).join(src, F.col("cand_id") == F.col("_c"), "left").drop("_c"), "proposals")
         kept.append(rows)
         good = rows.where((F.size("errors") == 0) & F.col("source_id").isNotNull())
-        active, state = good.select(F.col("cand_id").alias("_a")), None
+        active, state = None, None
         while True:
             r = resolve_in_order(_ends(good, active), g)
             edges = materialize(_edges(g, good, r), "edges")
