@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -71,9 +74,9 @@ def ascii_hash(text: Column) -> Column:
 
 
 class WordBuckets(dict):
-    """A lower-case ASCII word to the buckets of its tokens: the word and the 3-grams of ``#word#``; bounded."""
+    """A lower-case ASCII word to the buckets of its tokens, an array: the word and the 3-grams of ``#word#``; bounded."""
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> np.ndarray:
         if len(self) >= 100_000:
             self.clear()
         padded = f"#{word}#"
@@ -83,46 +86,102 @@ class WordBuckets(dict):
             for c in token.encode():
                 h = (h ^ c) * 16777619 & 0xFFFFFFFF
             made.append(h % DIMENSION)
-        self[word] = made
-        return made
+        self[word] = np.array(made)
+        return self[word]
 
 
-def term_lists(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, buckets, tfs, norm2: token counts of each row folded into DIMENSION buckets, those that are there, and their squares' sum.
+#: Texts and words that are counted at a time.
+TEXTS, WORDS = 512, 65_536
+
+
+def _bucket_counts(texts: pa.Array, known: WordBuckets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the texts that have a word, and their counts by bucket (a row for each), some texts at a time."""
+    words = re.compile("[a-z0-9]+")
+    rows, found = [], []
+
+    def counted():
+        arrays = [known[w] for f in found for w in f]
+        row = np.repeat(np.repeat(np.arange(len(found)), [len(f) for f in found]), [len(a) for a in arrays])
+        return np.array(rows), np.bincount(row * DIMENSION + np.concatenate(arrays), minlength=len(found) * DIMENSION).reshape(-1, DIMENSION)
+
+    n = 0
+    for k, t in ((k, t) for at in range(0, len(texts), TEXTS) for k, t in enumerate(texts.slice(at, TEXTS).to_pylist(), at)):
+        here = words.findall(t or "")
+        if here:
+            rows.append(k)
+            found.append(here)
+            n += len(here)
+        if len(rows) >= TEXTS or n >= WORDS:
+            yield counted()
+            rows, found, n = [], [], 0
+    if rows:
+        yield counted()
+
+
+def _counted(df: DataFrame, keys: list[str], text: str, columns: str, made: Callable[[np.ndarray], list[pa.Array]]) -> DataFrame:
+    """keys, what ``made`` makes of counts (``columns`` says what), norm2: the squares' sum.
 
     One pass over the texts, without a shuffle; a text without tokens has no row.
     """
-    import numpy as np
-    import pyarrow as pa
-
     from ..runtime import ship
 
     ship(df.sparkSession)
     rows = df.select(*keys, F.lower(F.col(text).cast("string")).alias("_text"))
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
+    names = [*keys, *(c.split()[0] for c in columns.split(", ")), "norm2"]
 
     def run(batches):
-        known, words = WordBuckets(), re.compile("[a-z0-9]+")
+        known = WordBuckets()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                take, bucket, tf, norm = [], [], [], []
-                for k, t in enumerate(part.column(len(keys)).to_pylist()):
-                    found = [b for w in words.findall(t or "") for b in known[w]]
-                    if found:
-                        n = np.bincount(found, minlength=DIMENSION)
-                        here = np.flatnonzero(n)
-                        take.append(k)
-                        bucket.append(here)
-                        tf.append(n[here])
-                        norm.append(int((n * n).sum()))
-                if take:
-                    own = part.select(keys).take(pa.array(take, pa.int64()))
-                    ends = pa.array(np.cumsum([0, *map(len, bucket)]), pa.int32())
-                    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(v), t)) for v, t in ((bucket, pa.int32()), (tf, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*own.columns, *lists, pa.array(norm, pa.int64())], names=[*keys, "buckets", "tfs", "norm2"])
-
-    return rows.mapInArrow(run, f"{kinds}, buckets array<int>, tfs array<bigint>, norm2 bigint")
+            for at, counts in _bucket_counts(batch.column(len(keys)), known):
+                own = batch.select(keys).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, *made(counts), pa.array((counts * counts).sum(axis=1), pa.int64())], names=names)
+
+    return rows.mapInArrow(run, f"{kinds}, {columns}, norm2 bigint")
+
+
+def _ends(counts: np.ndarray, each: int = 1) -> np.ndarray:
+    return (np.concatenate([[0], np.cumsum(counts)]) * each).astype(np.int32)
+
+
+def term_lists(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, buckets, tfs, norm2: token counts of each row folded into DIMENSION buckets, those that are there, and their squares' sum."""
+
+    def lists(counts):
+        ends = pa.array(_ends(np.count_nonzero(counts, axis=1)), pa.int32())
+        row, bucket = np.nonzero(counts)
+        return [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((bucket, pa.int32()), (counts[row, bucket], pa.int64()))]
+
+    return _counted(df, keys, text, "buckets array<int>, tfs array<bigint>", lists)
+
+
+def packed_terms(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, terms, norm2: ``term_lists`` as one binary: a byte for the bucket and one for the count, of a count above 255 as often as it takes."""
+
+    def packed(counts):
+        row, bucket = np.nonzero(counts)
+        n = counts[row, bucket]
+        times = (n + 254) // 255
+        row, bucket, rest = np.repeat(row, times), np.repeat(bucket, times), np.repeat(n - 255 * (times - 1), times)
+        last = np.zeros(len(row), bool)
+        last[np.cumsum(times) - 1] = True
+        pairs = np.stack([bucket, np.where(last, rest, 255)], axis=1).astype(np.uint8)
+        ends = _ends(np.bincount(row, minlength=len(counts)), 2)
+        return [pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())])]
+
+    return _counted(df, keys, text, "terms binary", packed)
+
+
+def unpacked(terms: pa.Array) -> np.ndarray:
+    """The counts by bucket of ``packed_terms``, a row for each."""
+    if not len(terms):
+        return np.zeros((0, DIMENSION))
+    terms = terms.cast(pa.binary())
+    ends = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1]
+    pairs = np.frombuffer(terms.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 2)
+    row = np.repeat(np.arange(len(terms)), np.diff(ends) // 2)
+    flat = np.bincount(row * DIMENSION + pairs[:, 0], weights=pairs[:, 1], minlength=len(terms) * DIMENSION)
+    return flat.reshape(-1, DIMENSION)
 
 
 def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -143,7 +143,7 @@ def search_after_writes(spark: SparkSession, d: str) -> DataFrame:
     key = F.substring_index("id", ":", -1).cast("long")
     store.update_nodes(g.node.where(F.col("id").startswith("su:") & (key % 3 == 0)).select(key.alias("row"), "id", "type", F.concat(F.lit("renamed "), "name").alias("name")))
     store.delete_claims(g.claim.where(F.substring_index("subject", ":", -1).cast("long") % 5 == 0).select("id"))
-    rows = search.search(store.graph, ASKED, 60, index=store.terms.rows())
+    rows = search.search(store.graph, ASKED, 60, index=store.terms)
     place = F.row_number().over(Window.orderBy(F.desc("score"), "side", "ord"))  # k rows
     return rows.select("owner_type", "owner_id", "name", "score", place.alias("place"))
 
