@@ -62,8 +62,9 @@ def save(g: Graph, path: str) -> None:
         getattr(g, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load(spark: SparkSession, path: str) -> Graph:
-    table = lambda name, to: spark.read.schema(to).parquet(f"{path}/{name}")
+def load(spark: SparkSession, path: str, **plans: DataFrame) -> Graph:
+    """``plans``: tables that are not there."""
+    table = lambda name, to: plans[name] if name in plans else spark.read.schema(to).parquet(f"{path}/{name}")
     return Graph(
         table("node", schema.NODE),
         table("claim", schema.CLAIM),

@@ -129,7 +129,7 @@ ASKED = "supplier 0000012 improves a red widget in asia"
 
 
 def _hits(spark: SparkSession, d: str, k: int, owner: str | None) -> DataFrame:
-    g = M.graph(spark, d)
+    g = M.graph(spark, d, "node", "claim")
     rows = search.search(g, ASKED, k, owner, index=M.term_index(spark, d))
     place = F.row_number().over(Window.orderBy(F.desc("score"), "side", "ord"))  # k rows
     return rows.select("owner_type", "owner_id", "name", "score", place.alias("place"))

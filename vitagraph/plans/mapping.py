@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schema
-from ..graph import Graph, conform, listed_from, load, save, vocabulary
-from ..runtime import exists, remover, shared_dir, ship, state_of
+from ..graph import Graph, conform, listed_from, load, vocabulary
+from ..runtime import exists, keeping, materialize, release, remover, shared_dir, ship, state_of
 
 KINDS = {1: "reduces_risk_of", 2: "improves", 3: "treats", 4: "increases_risk_of", 5: "worsens", 6: "recommends", 7: "is_a"}
 
@@ -50,30 +50,50 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(out, schema.NODE)
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+#: Suppliers that are broadcast at most.
+SUPPLIERS = 500_000
+
+
+def _claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What claims are made of, as keys and codes: rows that are narrow to shuffle.
+
+    Lines move once, by their order, for both their grouping and the join; customers meet the orders, which are fewer.
+    """
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_shipdate")
+    lines = lines.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_suppkey").alias("sk"), F.min("l_partkey").alias("pk"), F.min("l_returnflag").alias("rf"), F.max("l_shipdate").alias("shipped")
     )
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
-    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("priority"), "o_orderdate")
+    orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderstatus", "priority", "o_orderdate", "n_regionkey")
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(supplier, F.col("sk") == F.col("s_suppkey"))
-    number = F.col("l_linenumber")
+    supplier = F.broadcast(supplier) if supplier.count() <= SUPPLIERS else supplier
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("sk") == F.col("s_suppkey"))
+    return rows.select("l_orderkey", "l_linenumber", "sk", "pk", "rf", "shipped", "o_orderstatus", "priority", "o_orderdate", "n_regionkey", "s_nationkey")
+
+
+def claims(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """``ordered``: in order of object and place; rows are written first, so that what the joins shuffled is gone when they are dealt out."""
+    rows, number, key = _claim_rows(spark, sf_dir), F.col("l_linenumber"), F.col("l_orderkey")
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    place, object_ = key * 10 + number, tag("pt:", "pk")
+    if ordered:
+        rows = materialize(rows, "claim-rows")
+        release(spark)
+        rows = rows.repartitionByRange(object_, place).sortWithinPartitions(object_, place)
     out = rows.select(
-        (F.col("l_orderkey") * 10 + number).alias("ord"),
-        F.concat(F.lit("cl:"), F.col("l_orderkey").cast("string"), F.lit("-"), number.cast("string")).alias("id"),
+        place.alias("ord"),
+        F.concat(F.lit("cl:"), key.cast("string"), F.lit("-"), number.cast("string")).alias("id"),
         _pick(KINDS, number).alias("type"),
         tag("su:", "sk").alias("subject"),
-        tag("pt:", "pk").alias("object"),
-        F.when(F.col("o_orderkey") % 2 == 0, tag("rg:", "n_regionkey")).alias("population"),
-        F.when(F.col("o_orderkey") % 3 == 0, tag("nt:", "s_nationkey")).alias("mechanism"),
+        object_.alias("object"),
+        F.when(key % 2 == 0, tag("rg:", "n_regionkey")).alias("population"),
+        F.when(key % 3 == 0, tag("nt:", "s_nationkey")).alias("mechanism"),
         _pick({"A": "increase", "N": "decrease"}, F.col("rf")).alias("direction"),
-        _pick({"1": "high", "2": "moderate", "3": "low", "4": "very_low"}, F.substring("o_orderpriority", 1, 1)).alias("certainty"),
+        _pick({"1": "high", "2": "moderate", "3": "low", "4": "very_low"}, F.col("priority")).alias("certainty"),
         _pick({"F": "curated", "O": "unverified", "P": "needs_refinement"}, F.col("o_orderstatus")).alias("status"),
-        F.when((number == 2) & (F.col("o_orderkey") % 4 == 0), "usual_care").alias("comparator"),
+        F.when((number == 2) & (key % 4 == 0), "usual_care").alias("comparator"),
         F.col("o_orderdate").alias("created_at"),
         F.col("shipped").alias("updated_at"),
     )
@@ -130,37 +150,62 @@ def _forget(*keys: tuple[str, str]) -> None:
 atexit.register(_forget)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+def graph(spark: SparkSession, sf_dir: str, *only: str) -> Graph:
     """The mapped graph, built once for each application and state of a folder's tables, and read from the shared folder.
 
     Claims lie in order of their object and evidence in order of its claim, so that lookups by these
     read few row groups.  A build that is gone, or whose tables have changed, is made again.
+    ``only``: the graph's tables that a query reads, if not all; others that have not been built are plans.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     now = state_of(spark, *[f"{sf_dir}/{t}.parquet" for t in TABLES])
-    if key in _built:
-        if _built[key][0] == now and exists(spark, f"{_built[key][1]}/vocab/_SUCCESS"):
-            return load(spark, _built[key][1])
+    if key in _built and (_built[key][0] != now or not exists(spark, f"{_built[key][1]}/node/_SUCCESS")):
         _forget(key)
-    ev = evidence(spark, sf_dir)
+    if key not in _built:
+        path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        _built[key] = now, path, remover(spark, path)
+    path = _built[key][1]
     by = lambda df, *c: df.repartitionByRange(*c).sortWithinPartitions(*c)
-    claim = by(claims(spark, sf_dir), "object", "ord")
-    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
-    ev = by(ev, "claim", "ev_ord")
-    save(Graph(nodes(spark, sf_dir), claim, ev, by(listed_from(ev), "claim", "ev_ord"), relations(spark, sf_dir), vocabulary(spark)), path)
-    _built[key] = now, path, remover(spark, path)
-    return load(spark, path)
+    made = {
+        "node": lambda: nodes(spark, sf_dir),
+        "claim": lambda: claims(spark, sf_dir, ordered="claim" in wanted),
+        "evidence": lambda: by(evidence(spark, sf_dir), "claim", "ev_ord"),
+        "listed": lambda: by(listed_from(evidence(spark, sf_dir)), "claim", "ev_ord"),
+        "relation": lambda: relations(spark, sf_dir),
+        "vocab": lambda: vocabulary(spark),
+    }
+    lack = [name for name in made if not exists(spark, f"{path}/{name}/_SUCCESS")]
+    wanted = [name for name in lack if name in ("node", *(only or made))]
+    for name in wanted:
+        with keeping():
+            made[name]().write.mode("overwrite").parquet(f"{path}/{name}")
+        if name in ("claim", "evidence", "listed"):
+            release(spark)
+    return load(spark, path, **{name: made[name]() for name in lack if name not in wanted})
+
+
+#: Claims that are indexed at a time.
+INDEXED = 20_000_000
 
 
 def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search index of the mapped graph, kept beside it."""
+    """The search index of the mapped graph, kept beside it.
+
+    It is made of slices of the claims one after the other, so that what finding their names shuffles is bounded.
+    """
     from ..operators import search
 
-    g = graph(spark, sf_dir)
-    path = f"{_built[spark.sparkContext.applicationId, sf_dir][1]}/terms"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        search.build_index(search.corpus(g)).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    g = graph(spark, sf_dir, "node", "claim")
+    slices = max(1, -(-g.claim.count() // INDEXED))
+    paths = [f"{_built[spark.sparkContext.applicationId, sf_dir][1]}/terms/{i}-{slices}" for i in range(slices)]
+    for i, path in enumerate(paths):
+        if not exists(spark, f"{path}/_SUCCESS"):
+            claim = g.claim.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == i) if slices > 1 else g.claim
+            rows = search.claim_corpus(claim, g.node)
+            rows = rows if i else search.node_corpus(g.node).unionByName(rows)
+            search.build_index(rows).write.mode("overwrite").option("compression", "zstd").parquet(path)
+            release(spark)
+    return spark.read.parquet(*paths)
 
 
 def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

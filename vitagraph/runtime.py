@@ -7,6 +7,7 @@ import functools
 import gc
 import tempfile
 import threading
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -119,6 +120,14 @@ def remover(spark: SparkSession, path: str) -> Callable[[], None]:
     return lambda: store.delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of all past jobs, those of the last one too, to which a first collection leaves references."""
+    gc.collect()
+    for pause in (0.3, 0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def discard(*tables: DataFrame | Folder) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of past jobs.
 
